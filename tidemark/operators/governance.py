@@ -25,15 +25,14 @@ def access_review(attempts: DataFrame, memberships: DataFrame, allowed: list[str
     )
 
 
-def mask_rules(masks: DataFrame, dataset_id: int) -> dict[str, str]:
-    """column -> mask type for one dataset. A dataset has at most one rule per column."""
-    rows = (
-        newest_per_key(
-            masks.where(F.col("dataset_id") == dataset_id), ["column_name"], [F.col("id").desc()]
-        )
-        .select("column_name", "mask_type")
-        .collect()
-    )
+def current_rules(masks: DataFrame) -> DataFrame:
+    """The newest stored rule of each dataset column. ``masks``: id, dataset_id, column_name, mask_type."""
+    return newest_per_key(masks, ["dataset_id", "column_name"], [F.col("id").desc()])
+
+
+def mask_rules(masks: DataFrame, dataset_id: object) -> dict[str, str]:
+    """column -> mask type of one dataset; as many entries as the dataset has masked columns."""
+    rows = current_rules(masks.where(F.col("dataset_id") == F.lit(dataset_id))).select("column_name", "mask_type").collect()
     return {r["column_name"]: r["mask_type"] for r in rows}
 
 

@@ -364,7 +364,7 @@ _KINDS = {
 _TRY_NUMBER = "COUNT(TRY_CAST({c} AS DOUBLE)) = COUNT(*)"
 _KINDS_SQL = "kinds AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS name, "
-    + ("'datetime'" if k == "datetime" else f"CASE WHEN {_TRY_NUMBER.format(c=c)} THEN 'number' ELSE 'string' END")
+    + ("CASE WHEN COUNT(*) > 0 THEN 'datetime' END" if k == "datetime" else f"CASE WHEN {_TRY_NUMBER.format(c=c)} THEN 'number' ELSE 'string' END")
     + " AS data_type FROM orders"
     for c, k in _KINDS.items()
 ) + ")"
