@@ -147,6 +147,21 @@ def normalise_plans(plans: DataFrame, reply: str = "reply") -> DataFrame:
     return plans.withColumn("_payload", reply_object(F.col(reply))).withColumns(fields).drop("_payload")
 
 
+def plan_actions(plans: DataFrame, text: str = "automation_json") -> DataFrame:
+    """Add action_names, plan_status and plan_reason of stored plans; a plan without a list of actions failed."""
+    document = F.try_parse_json(F.col(text))
+    actions = F.try_variant_get(document, "$.actions", "array<variant>")
+    names = F.transform(actions, lambda a: F.coalesce(_text(_field(a, "name")), F.lit(fixed.UNKNOWN_ACTION)))
+    reason = F.when(document.isNull(), fixed.INVALID_PLAN).when(actions.isNull(), fixed.PLAN_WITHOUT_ACTIONS)
+    return plans.withColumns(
+        {
+            "action_names": F.coalesce(names, F.array().cast("array<string>")),
+            "plan_status": F.when(reason.isNull(), "completed").otherwise("failed"),
+            "plan_reason": reason,
+        }
+    )
+
+
 def attach_trace(plans: DataFrame, objective: str, evidence: Column) -> DataFrame:
     """Add trace: id, time, provider, objective, signal snapshot and evidence."""
     snapshot = F.struct(*[F.col(s) for s in fixed.SIGNALS])

@@ -135,7 +135,10 @@ NO_DASHBOARDS = "No dashboards found; recommend operational dashboard baseline"
 NO_MODELS = "Datasets exist without trained models; recommend baseline model training"
 WEAK_COLLABORATION = "Collaboration signal is weak; recommend comments/sharing activation"
 
-# --- action outcomes
+# --- plan and action outcomes
+INVALID_PLAN = "Invalid automation_json payload"
+PLAN_WITHOUT_ACTIONS = "No actions found in plan"
+UNKNOWN_ACTION = "Unknown"
 UNMAPPED_ACTION = "No executor mapped for this action"
 HAS_DATASETS = "Workspace already has datasets"
 WORKSPACE_MISSING = "Workspace not found"

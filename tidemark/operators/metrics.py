@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fixed
 from tidemark.operators.registry import newest_per_key
 
+# Paths are few and requests many: see newest_per_key.
+PATH_GROUPS = 64
+
 
 def _newest() -> list[Column]:
     return [F.col("ts").desc(), F.col("event_id").desc()]
@@ -40,7 +43,7 @@ def request_totals(log: DataFrame) -> DataFrame:
 
 def last_n_per_path(log: DataFrame, n: int = fixed.LATENCY_SAMPLES) -> DataFrame:
     """The newest ``n`` requests of each path."""
-    return newest_per_key(log, ["path"], _newest(), n)
+    return newest_per_key(log, ["path"], _newest(), n, spread=PATH_GROUPS)
 
 
 def recent_requests(log: DataFrame, n: int = fixed.RECENT_SHOWN) -> DataFrame:

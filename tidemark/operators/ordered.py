@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_dir
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str = "number") -> DataFrame:
-    """Exact 1, 2, 3 … per key in ``order``, for keys of any size.
+def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "number") -> DataFrame:
+    """Exact 1, 2, 3 … per key in ``order``, for keys of any size; without keys, over the whole table.
 
     Rows are range-partitioned by key and order (Spark samples the cut points, so a hot key
     spreads over many partitions), numbered within a partition, and shifted by the number of
-    the key's rows in earlier partitions. The checkpoint fixes the cut points for both uses.
+    the key's rows in earlier partitions. The checkpoint fixes the cut points for both uses,
+    so pass only the columns that are needed.
     """
     shared_dir(df.sparkSession)
     ranged = (
-        df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys + order])
+        df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
         .withColumn("_piece", F.spark_partition_id())
         .checkpoint()
     )

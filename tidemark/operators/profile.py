@@ -13,7 +13,7 @@ from tidemark.functions.cells import FLOATING, INTEGRAL, TEMPORAL, as_text, is_i
 from tidemark.operators.ordered import asof_last
 
 COLUMNS_PER_PASS = 100
-RAW_KEYS = 16
+KEY_COLUMNS = 16
 
 _FIXED_WIDTH = INTEGRAL + FLOATING + TEMPORAL + (T.BooleanType,)
 
@@ -70,30 +70,45 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, slices)
 
 
-def text_digest(names: list[str], schema: T.StructType) -> Column:
+def short_key(text: Column) -> Column:
+    """Text that equals another's exactly when the texts are equal, at most 64 bytes per cell.
+
+    Longer text is replaced by its 64-digit SHA-256; shorter text is never that long.
+    """
+    return F.when(F.octet_length(text) < 64, text).otherwise(F.sha2(text, 256))
+
+
+def folded_key(names: list[str], schema: T.StructType) -> Column:
     """SHA-256 of several cells; each carries its length so cells cannot run together."""
     parts = []
     for name in names:
         text = as_text(name, schema[name].dataType)
         parts += [F.length(text).cast("string"), F.lit(":"), text]
-    return F.unhex(F.sha2(F.concat(*parts), 256))
+    return F.sha2(F.concat(*parts), 256)
 
 
 def row_totals(df: DataFrame) -> DataFrame:
     """One row: row_count, distinct_rows, blank_rows over normalised rows.
 
     Copies collapse before the shuffle, so a row repeated in a third of the table costs one
-    record per task. Text of any length moves as a 32-byte digest; up to RAW_KEYS fixed-width
-    cells move as they are, which is cheaper than turning them to text.
+    record per task. Records stay small: fixed-width cells move as they are, long text as a
+    digest, and columns beyond KEY_COLUMNS as one digest together.
     """
     schema = df.schema
-    fixed_width = [f.name for f in schema.fields if isinstance(f.dataType, _FIXED_WIDTH)][:RAW_KEYS]
-    texts = [f.name for f in schema.fields if f.name not in fixed_width]
-    keys = [F.col(f"`{n}`").alias(f"k{i}") for i, n in enumerate(fixed_width)]
-    blank = [F.col(f"`{n}`").isNull() for n in fixed_width]
-    if texts:
-        keys.append(text_digest(texts, schema).alias("digest"))
-        blank += [as_text(n, schema[n].dataType) == "" for n in texts]
+    own, folded = schema.fields[:KEY_COLUMNS], [f.name for f in schema.fields[KEY_COLUMNS:]]
+    keys, blank = [], []
+    for i, field in enumerate(own):
+        if isinstance(field.dataType, _FIXED_WIDTH):
+            cell = F.col(f"`{field.name}`")
+            blank.append(cell.isNull())
+        else:
+            text = as_text(field.name, field.dataType)
+            cell = short_key(text)
+            blank.append(text == "")
+        keys.append(cell.alias(f"k{i}"))
+    if folded:
+        keys.append(folded_key(folded, schema).alias("rest"))
+        blank += [as_text(n, schema[n].dataType) == "" for n in folded]
     rows = df.select(*keys, reduce(Column.__and__, blank).alias("blank"))
     return (
         rows.groupBy(*rows.columns)

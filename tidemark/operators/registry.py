@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
+from tidemark.operators.ordered import number_within
+
+DEEP_PAGE = 100_000
 
 # --- filters -------------------------------------------------------------------------
 
@@ -36,12 +39,20 @@ def point_lookup(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def newest_first_page(
     df: DataFrame, created_at: str, key: str, limit: int = fixed.PAGE_DEFAULT, offset: int = 0
 ) -> DataFrame:
-    """One page in newest-first order; ties fall back to the key."""
+    """One page in newest-first order; ties fall back to the key.
+
+    Spark keeps the first ``offset + limit`` rows of every task for a plain page. Past DEEP_PAGE
+    rows that would grow too large, so positions come from a distributed sort instead.
+    """
     if not 1 <= limit <= fixed.PAGE_MAXIMUM:
         raise ValueError(f"limit must be between 1 and {fixed.PAGE_MAXIMUM}")
     if offset < 0:
         raise ValueError("offset must not be negative")
-    ordered = df.orderBy(F.col(created_at).desc_nulls_last(), F.col(key).desc_nulls_last())
+    order = [F.col(created_at).desc_nulls_last(), F.col(key).desc_nulls_last()]
+    if offset + limit > DEEP_PAGE:
+        wanted = F.col("_position").between(offset + 1, offset + limit)
+        return number_within(df, [], order, "_position").where(wanted).drop("_position")
+    ordered = df.orderBy(*order)
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
@@ -65,12 +76,24 @@ def total_counts(**tables: DataFrame) -> DataFrame:
 # --- newest rows per key ---------------------------------------------------------------
 
 
-def newest_per_key(df: DataFrame, keys: list[str], order: list[Column], rows: int = 1, rank: str | None = None) -> DataFrame:
+def newest_per_key(
+    df: DataFrame, keys: list[str], order: list[Column], rows: int = 1, rank: str | None = None, spread: int = 1
+) -> DataFrame:
     """The first ``rows`` rows of each key in the given order.
 
-    Spark cuts every task's input to ``rows`` per key before the shuffle, so a hot key moves
-    no more than that from each task.
+    Spark cuts every task's input to ``rows`` per key before the shuffle, so a hot key moves no
+    more than that from each task. With few keys and many tasks the survivors still add up;
+    ``spread`` cuts them once more in that many groups per key. Which task held a row does not
+    affect the result.
     """
+    if spread > 1:
+        group = Window.partitionBy(*keys, "_group").orderBy(*order)
+        df = (
+            df.withColumn("_group", F.spark_partition_id() % spread)
+            .withColumn("_rank", F.row_number().over(group))
+            .where(F.col("_rank") <= rows)
+            .drop("_group", "_rank")
+        )
     window = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= rows)
     return ranked.withColumnRenamed("_rank", rank) if rank else ranked.drop("_rank")

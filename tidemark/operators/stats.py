@@ -21,11 +21,14 @@ def _family(dtype: T.DataType) -> str:
         return "bigint"
     if isinstance(dtype, FLOATING + (T.DecimalType,)):
         return "double"
+    if isinstance(dtype, TEMPORAL):
+        return "timestamp_ntz"
     return "string"
 
 
 def _cell(field: T.StructField, family: str) -> Column:
     if family == "string":
+        # Blank text counts as missing.
         text = as_text(field.name, field.dataType)
         return F.when(text != "", text)
     return F.col(f"`{field.name}`").cast(family)
@@ -41,7 +44,7 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     position = {f.name: i for i, f in enumerate(fields)}
     branches = []
-    for family in ("bigint", "double", "string"):
+    for family in ("bigint", "double", "timestamp_ntz", "string"):
         members = [f for f in fields if _family(f.dataType) == family]
         if not members:
             continue
@@ -55,13 +58,18 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
         counted = cells.groupBy("position", "value").agg(F.count(F.lit(1)).alias("copies"))
         value, copies = F.col("value"), F.col("copies")
         present = F.sum(F.when(value.isNotNull(), copies))
+        words, number = F.lit(0), value.cast("double") if family in ("bigint", "double") else F.lit(None).cast("double")
+        first, last = F.min(value), F.max(value)
         if family == "string":
-            number = to_double(value)
-            words = F.count_if(value.isNotNull() & ~is_number(value))
-            text_range = [F.min(value).alias("min_text"), F.max(value).alias("max_text")]
-        else:
-            number, words = value.cast("double"), F.lit(0)
-            text_range = [F.lit(None).cast("string").alias("min_text"), F.lit(None).cast("string").alias("max_text")]
+            words, number = F.count_if(value.isNotNull() & ~is_number(value)), to_double(value)
+        elif family == "timestamp_ntz":
+            words = F.count(value)
+            dates = [position[f.name] for f in members if isinstance(f.dataType, T.DateType)]
+            first, last = (
+                F.when(F.col("position").isin(dates), t.cast("date").cast("string")).otherwise(t.cast("string"))
+                for t in (first, last)
+            )
+        text_range = [first.cast("string").alias("min_text"), last.cast("string").alias("max_text")]
         branches.append(
             counted.groupBy("position").agg(
                 F.sum(copies).alias("row_count"),

@@ -49,7 +49,7 @@ def coerce_features(df: DataFrame, columns: list[str]) -> DataFrame:
 # --- split ---------------------------------------------------------------------------------
 
 
-def test_rows(total: int, share: float = TEST_SHARE) -> int:
+def held_out_rows(total: int, share: float = TEST_SHARE) -> int:
     """Size of the test part, rounded up."""
     return math.ceil(share * total)
 
@@ -60,7 +60,12 @@ def split_order(key: Column, seed: int = SEED) -> Column:
 
 
 def split_train_test(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """Add is_test: exactly ``ceil(share * rows)`` rows with the lowest hashed positions.
+    """Add is_test, as ``split_with_total`` does."""
+    return split_with_total(df, key, share, seed)[0]
+
+
+def split_with_total(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = SEED) -> tuple[DataFrame, int]:
+    """Add is_test and count the rows: exactly ``ceil(share * rows)`` rows with the lowest hashed positions.
 
     The boundary is found by counting rows per 16-bit prefix and narrowing down, at most four
     times. Each round returns one count per prefix (65,536 at most), so no row is sorted,
@@ -77,7 +82,7 @@ def split_train_test(df: DataFrame, key: str, share: float = TEST_SHARE, seed: i
         counts = sorted((r["d"], r["n"]) for r in scope.groupBy(value.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
         if wanted is None:
             total = sum(n for _, n in counts)
-            wanted = test_rows(total, share)
+            wanted = held_out_rows(total, share)
         if not counts or wanted == 0:
             break
         for found, n in counts:
@@ -92,7 +97,7 @@ def split_train_test(df: DataFrame, key: str, share: float = TEST_SHARE, seed: i
     is_test: Column = F.lit(False)
     for bits, found in reversed(chosen):
         is_test = (digit[bits] < found) | ((digit[bits] == found) & is_test)
-    return placed.withColumn("is_test", is_test).drop("_position")
+    return placed.withColumn("is_test", is_test).drop("_position"), total
 
 
 # --- encoding ------------------------------------------------------------------------------
@@ -195,6 +200,19 @@ def overfit(train: Column, test: Column) -> Column:
     return (train - test) > fixed.OVERFIT_GAP
 
 
+def check_labels(rows: DataFrame, task: str) -> None:
+    """Refuse a regression target that is not numeric, or more classes than can be indexed."""
+    label = F.col("_label")
+    if task == "regression":
+        bad = rows.agg(F.count_if(label.isNull()).alias("n")).first()["n"]
+        if bad:
+            raise ValueError(f"{bad} target values are not numbers")
+        return
+    classes = rows.agg(F.approx_count_distinct(label).alias("n")).first()["n"]
+    if classes > MAX_CATEGORIES:
+        raise ValueError(f"Too many classes in the target (limit {MAX_CATEGORIES})")
+
+
 def train_model(
     df: DataFrame, target: str, task: str, key: str, artifact_path: str | None = None, max_depth: int = 30
 ) -> TrainedTree:
@@ -203,15 +221,17 @@ def train_model(
     Raises ValueError for an empty dataset, a missing target or fewer than two labelled rows.
     """
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' was not found")
-    if df.isEmpty():
-        raise ValueError("Dataset is empty")
+        raise ValueError("Dataset is empty" if df.isEmpty() else f"Target column '{target}' was not found")
     features = [n for n in df.columns if n not in (target, key)]
     labelled = _labelled(drop_unlabelled(df, target), target, task).select(key, "_label", *features)
-    if len(labelled.head(2)) < 2:
-        raise ValueError("Need at least two labeled rows to train a model")
-    rows = split_train_test(coerce_features(labelled, features), key).persist()
+    cells = coerce_features(labelled, features).persist()
     try:
+        rows, total = split_with_total(cells, key)
+        if total == 0 and df.isEmpty():
+            raise ValueError("Dataset is empty")
+        if total < 2:
+            raise ValueError("Need at least two labeled rows to train a model")
+        check_labels(rows, task)
         encoding = encoding_for(rows, features)
         stages = list(encoding.stages)
         settings = {
@@ -231,7 +251,7 @@ def train_model(
         model = PipelineModel(encoder.stages + [fitted])
         names = feature_names(encoder, encoding)
     finally:
-        rows.unpersist()
+        cells.unpersist()
     weights = fitted.featureImportances.toArray()
     ranked = sorted(((n, float(w)) for n, w in zip(names, weights) if w > 0), key=lambda item: -item[1])
     train, test = float(by_part.get(False, math.nan)), float(by_part.get(True, math.nan))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import documents
 from tidemark.functions import fixed_values as fixed
+from tidemark.functions.cells import strip
 from tidemark.operators import registry, rules
 from tidemark.plans import stand_ins as si
 from tidemark.plans.catalog import query
@@ -125,6 +126,27 @@ def normalise_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED_PLAN = (
+    "CASE CAST(o_orderkey % 4 AS INTEGER) WHEN 0 THEN concat('{\"actions\": [{\"name\": \"', o_orderpriority, '\"}, {\"description\": \"x\"}]}') "
+    "WHEN 1 THEN '{\"actions\": \"none\"}' WHEN 2 THEN concat('{broken', o_custkey) ELSE '{\"actions\": []}' END"
+)
+
+
+@query(
+    "plan_actions",
+    f"WITH p AS (SELECT o_orderkey, o_orderpriority, {_STORED_PLAN} AS doc FROM orders) SELECT o_orderkey, "
+    "CASE WHEN json_valid(doc) AND json_type(doc, '$.actions') = 'ARRAY' THEN 'completed' ELSE 'failed' END AS plan_status, "
+    f"CASE WHEN NOT json_valid(doc) THEN '{fixed.INVALID_PLAN}' WHEN json_type(doc, '$.actions') <> 'ARRAY' THEN '{fixed.PLAN_WITHOUT_ACTIONS}' ELSE '' END AS plan_reason, "
+    "CASE WHEN o_orderkey % 4 = 0 THEN concat(o_orderpriority, ',Unknown') ELSE '' END AS action_names FROM p",
+)
+def plan_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_STORED_PLAN} AS automation_json")
+    return documents.plan_actions(stored).select(
+        "o_orderkey", "plan_status", F.coalesce("plan_reason", F.lit("")).alias("plan_reason"),
+        F.array_join("action_names", ",").alias("action_names"),
+    )
+
+
 @query(
     "attach_trace",
     f"WITH {SIGNALS_SQL} SELECT workspace_id, 'auto-' AS id_start, TRUE AS has_time, 'heuristic' AS provider, 'Improve reporting' AS objective, "
@@ -225,6 +247,65 @@ def read_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- scalar helpers ------------------------------------------------------------------------
+
+_MESSY = "concat('  ', upper(source), '__', lang, '--', CAST(doc_id AS STRING), chr(9))"
+
+
+@query(
+    "fn_string",
+    "SELECT doc_id, lower(concat(upper(source), '__', lang, '--', doc_id)) AS step, "
+    "regexp_replace(concat(upper(source), '__', lang, '--', doc_id), '[-_]+', ' ', 'g') AS spaced, "
+    "split_part(concat(upper(source), '__', lang, '--', doc_id), '--', 2) AS last_part FROM documents",
+)
+def fn_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("messy")
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_MESSY} AS messy").select(
+        "doc_id",
+        F.lower(strip(text)).alias("step"),
+        F.regexp_replace(strip(text), "[-_]+", " ").alias("spaced"),
+        F.split_part(strip(text), F.lit("--"), F.lit(2)).alias("last_part"),
+    )
+
+
+_STATED = "CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN concat('{\"v\": ', value, '}') WHEN 1 THEN concat('{\"v\": \"', user_id, '\"}') WHEN 2 THEN '{\"v\": true}' WHEN 3 THEN '{\"v\": [1]}' ELSE '{}' END"
+
+
+@query(
+    "fn_math",
+    "SELECT event_id, CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN CAST(trunc(greatest(0, least(100, value))) AS INTEGER) "
+    "WHEN 1 THEN CAST(least(100, user_id) AS INTEGER) WHEN 2 THEN 1 ELSE -1 END AS score, "
+    "CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN ROUND(greatest(0.0::DOUBLE, least(1.0::DOUBLE, value)), 2) "
+    "WHEN 1 THEN least(1.0::DOUBLE, user_id::DOUBLE) WHEN 2 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS confidence, ROUND(value / 3, 2) AS third FROM events",
+)
+def fn_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stated = F.try_variant_get(F.try_parse_json("stated"), "$.v", "variant")
+    return table(spark, sf_dir, "events").selectExpr("event_id", "value", f"{_STATED} AS stated").select(
+        "event_id",
+        documents.clamp_score(stated, F.lit(-1)).alias("score"),
+        documents.clamp_confidence(stated, F.lit(-1.0)).alias("confidence"),
+        F.round(F.col("value") / 3, 2).alias("third"),
+    )
+
+
+@query(
+    "fn_time",
+    "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS stamp, TRUE AS is_past FROM events",
+)
+def fn_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("stamp"),
+        (F.col("ts") < F.current_timestamp()).alias("is_past"),
+    )
+
+
+@query("fn_id", "SELECT COUNT(*) AS n, COUNT(*) AS ids FROM orders")
+def fn_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "orders").select(F.uuid().alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids"))
+
+
 # --- lists ---------------------------------------------------------------------------------
 
 

@@ -80,7 +80,8 @@ def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = registry.newest_per_key(
-        si.audit_events(spark, sf_dir), ["workspace_id"], [F.col("created_at").desc(), F.col("id").desc()], 50, rank="position"
+        si.audit_events(spark, sf_dir), ["workspace_id"], [F.col("created_at").desc(), F.col("id").desc()], 50,
+        rank="position", spread=64,
     )
     return newest.select("workspace_id", "id", "event_type", "position")
 

@@ -256,6 +256,18 @@ def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.column_statistics(table(spark, sf_dir, "orders")))
 
 
+_LINES = {
+    "l_orderkey": "number", "l_partkey": "number", "l_suppkey": "number", "l_linenumber": "number", "l_quantity": "number",
+    "l_extendedprice": "number", "l_discount": "number", "l_tax": "number", "l_returnflag": "string", "l_linestatus": "string",
+    "l_shipdate": "datetime",
+}
+
+
+@query("dataset_statistics_lineitem", _stats_check("lineitem", _LINES, "*"))
+def dataset_statistics_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.column_statistics(table(spark, sf_dir, "lineitem")))
+
+
 @query("column_counts", _stats_check("orders", _ORDERS, "name, non_null_count, null_count, distinct_count"))
 def column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.column_statistics(table(spark, sf_dir, "orders")).select(

@@ -237,7 +237,7 @@ def version_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("workspace_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")
     )
-    return number_within(versions, ["workspace_id"], ["created_at", "id"], "version").select("workspace_id", "id", "version")
+    return number_within(versions, ["workspace_id"], [F.col("created_at"), F.col("id")], "version").select("workspace_id", "id", "version")
 
 
 # --- paging --------------------------------------------------------------------------------

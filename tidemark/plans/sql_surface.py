@@ -68,6 +68,8 @@ statement(
 )
 statement(
     "sql_left_join", "customer",
+    "SELECT c.c_custkey, coalesce(e.n, 0) AS events FROM dataset c LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM events GROUP BY user_id) e "
+    "ON e.user_id = c.c_custkey",
     "SELECT c.c_custkey, COUNT(e.event_id) AS events FROM dataset c LEFT JOIN events e ON e.user_id = c.c_custkey GROUP BY c.c_custkey",
     views=("events",),
 )
@@ -84,6 +86,10 @@ statement(
 )
 statement(
     "sql_semi_anti", "customer",
+    "SELECT c_custkey, 'seen' AS activity FROM dataset c WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') e "
+    "WHERE e.user_id = c.c_custkey) UNION ALL SELECT c_custkey, 'never' FROM dataset c WHERE NOT EXISTS "
+    "(SELECT 1 FROM (SELECT DISTINCT o_custkey FROM orders) o WHERE o.o_custkey = c.c_custkey) "
+    "UNION ALL SELECT c_custkey, 'big' FROM dataset WHERE c_custkey IN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 480000)",
     "SELECT c_custkey, 'seen' AS activity FROM dataset c WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.c_custkey AND e.event_type = 'purchase') "
     "UNION ALL SELECT c_custkey, 'never' FROM dataset c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) "
     "UNION ALL SELECT c_custkey, 'big' FROM dataset WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)",

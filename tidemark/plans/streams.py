@@ -26,10 +26,16 @@ def _run(spark: SparkSession, df: DataFrame, write, label: str, mode: str):
     return running
 
 
-def _versioned(spark: SparkSession, df: DataFrame, label: str, keys: list[str], mode: str = "update") -> DataFrame:
+def _complete(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    target = scratch_path(spark, label)
+    running = _run(spark, df, metrics.write_version(target), label, "complete")
+    return metrics.newest_version(spark, target, metrics.last_batch_id(running))
+
+
+def _changes(spark: SparkSession, df: DataFrame, label: str, keys: list[str], mode: str) -> DataFrame:
     target = scratch_path(spark, label)
     _run(spark, df, metrics.write_version(target), label, mode)
-    return metrics.latest_version(spark, target, keys)
+    return metrics.latest_rows(spark, target, keys)
 
 
 @query(
@@ -37,7 +43,7 @@ def _versioned(spark: SparkSession, df: DataFrame, label: str, keys: list[str],
     f"WITH {REQUEST_LOG_SQL} SELECT path, status, COUNT(*) AS requests FROM request_log GROUP BY path, status",
 )
 def stream_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versioned(spark, metrics.request_counts(_log(spark, sf_dir)), "requests", ["path", "status"])
+    return _complete(spark, metrics.request_counts(_log(spark, sf_dir)), "requests")
 
 
 @query(
@@ -45,7 +51,7 @@ def stream_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {REQUEST_LOG_SQL} SELECT error_type, COUNT(*) AS errors FROM request_log WHERE error_type IS NOT NULL GROUP BY error_type",
 )
 def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versioned(spark, metrics.error_counts(_log(spark, sf_dir)), "errors", ["error_type"])
+    return _complete(spark, metrics.error_counts(_log(spark, sf_dir)), "errors")
 
 
 @query("stream_bounded_latency", f"{LATENCY_SQL} SELECT path, avg_ms, p95_ms FROM l")
@@ -65,7 +71,7 @@ _WINDOWS = (
 @query("windowed_event_counts", _WINDOWS)
 def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = metrics.windowed_counts(_events(spark, sf_dir))
-    return _versioned(spark, counts, "windows", ["window_start", "event_type"])
+    return _changes(spark, counts, "windows", ["window_start", "event_type"], "update")
 
 
 @query(
@@ -74,7 +80,7 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def closed_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = metrics.windowed_counts(_events(spark, sf_dir))
-    return _versioned(spark, counts, "closed", ["window_start", "event_type"], mode="append")
+    return _changes(spark, counts, "closed", ["window_start", "event_type"], "append")
 
 
 @query(

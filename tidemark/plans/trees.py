@@ -96,6 +96,37 @@ def train_tree_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, trees.train_model(parts.drop("p_name"), "p_retailprice", "regression", "p_partkey", max_depth=12))
 
 
+@query("train_model")
+def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, score and store a model; one row per run, as it is kept in the registry."""
+    name = trees.artifact_name(1, 3, "band")
+    path = f"{scratch_path(spark, 'models')}/{name}"
+    trained = trees.train_model(_order_sizes(spark, sf_dir), "band", "classification", "l_orderkey", path, max_depth=5)
+    return _scores(spark, trained).withColumn("artifact", F.lit(name)).withColumn(
+        "metric_value", F.col("test_score")
+    )
+
+
+@query("save_model")
+def save_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of a model as read back from storage: encoders and tree are one artifact."""
+    from pyspark.ml import PipelineModel
+
+    path = f"{scratch_path(spark, 'models')}/{trees.artifact_name(1, 4, 'band')}"
+    trained = trees.train_model(_order_sizes(spark, sf_dir), "band", "classification", "l_orderkey", max_depth=3)
+    trees.save_model(trained.model, path)
+    stages = [(i, s.__class__.__name__) for i, s in enumerate(PipelineModel.load(path).stages)]
+    return spark.createDataFrame(stages, "position int, stage string")
+
+
+@query("positive_importance_filter")
+def positive_importance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a part that say something about its price; features without weight are left out."""
+    parts = table(spark, sf_dir, "part").drop("p_name")
+    trained = trees.train_model(parts, "p_retailprice", "regression", "p_partkey", max_depth=3)
+    return spark.createDataFrame(trained.importances, "feature string, importance double").where("importance > 0")
+
+
 @query("rank_importances")
 def rank_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features that matter for the order band, most important first; zero ones are left out."""

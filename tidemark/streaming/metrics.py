@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import fixed_values as fixed
 from tidemark.operators.metrics import last_n_per_path, latency_of
+from tidemark.operators.registry import newest_per_key
 
 
 def stream_parquet(spark: SparkSession, path: str, file_glob: str, files_per_batch: int | None = None) -> DataFrame:
@@ -40,24 +41,24 @@ def write_version(target: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest_version(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
-    """Newest stored row per key of an update-mode result."""
-    newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
-    return (
-        spark.read.parquet(target)
-        .withColumn("_rank", F.row_number().over(newest))
-        .where("_rank = 1")
-        .drop("_rank", "batch")
-    )
+def newest_version(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
+    """Result of a complete-mode query: its last version holds every row."""
+    return spark.read.parquet(f"{target}/batch={batch_id}")
+
+
+def latest_rows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """Result of an update-mode query: the newest stored row per key over all versions."""
+    newest = newest_per_key(spark.read.parquet(target), keys, [F.col("batch").desc()])
+    return newest.drop("batch")
 
 
 def request_counts(log: DataFrame) -> DataFrame:
-    """Running count per path and status."""
+    """Running count per path and status; few rows, so meant for complete mode."""
     return log.groupBy("path", "status").agg(F.count(F.lit(1)).alias("requests"))
 
 
 def error_counts(log: DataFrame) -> DataFrame:
-    """Running count per error type."""
+    """Running count per error type, for complete mode."""
     return log.where(F.col("error_type").isNotNull()).groupBy("error_type").agg(F.count(F.lit(1)).alias("errors"))
 
 
