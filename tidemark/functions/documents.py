@@ -13,9 +13,20 @@ def _is(kind: str, value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
+def parse_strict(text: Column) -> Column:
+    """A JSON text as variant, null when it is not exactly one JSON value.
+
+    Spark's parser stops after the first value. Inside brackets as well as inside an object,
+    the text parses to one value only if nothing follows it.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(named.isNotNull() & (F.size(listed) == 1), F.get(listed, F.lit(0)))
+
+
 def parse_details(text: Column) -> tuple[Column, Column]:
     """(class, JSON text) of an event's details: empty, object, value or raw."""
-    value = F.try_parse_json(text)
+    value = parse_strict(text)
     kind = (
         F.when(F.coalesce(text, F.lit("")) == "", "empty")
         .when(value.isNull(), "raw")
@@ -42,7 +53,7 @@ def reply_object(text: Column) -> Column:
     Code fences and a language tag lie outside the braces, so they need no step of their own.
     """
     body = F.regexp_extract(text, fixed.BRACED_PATTERN, 1)
-    value = F.try_parse_json(F.when(body != "", body))
+    value = parse_strict(F.when(body != "", body))
     return F.when(_is("OBJECT", value), value)
 
 
@@ -149,7 +160,7 @@ def normalise_plans(plans: DataFrame, reply: str = "reply") -> DataFrame:
 
 def plan_actions(plans: DataFrame, text: str = "automation_json") -> DataFrame:
     """Add action_names, plan_status and plan_reason of stored plans; a plan without a list of actions failed."""
-    document = F.try_parse_json(F.col(text))
+    document = parse_strict(F.col(text))
     actions = F.try_variant_get(document, "$.actions", "array<variant>")
     names = F.transform(actions, lambda a: F.coalesce(_text(_field(a, "name")), F.lit(fixed.UNKNOWN_ACTION)))
     reason = F.when(document.isNull(), fixed.INVALID_PLAN).when(actions.isNull(), fixed.PLAN_WITHOUT_ACTIONS)
@@ -200,7 +211,7 @@ def validate_definitions(definitions: DataFrame, text: str = "definition_json")
         .when(unknown, fixed.EDGE_UNKNOWN_NODE)
     )
     return (
-        definitions.withColumn("_document", F.try_parse_json(F.col(text)))
+        definitions.withColumn("_document", parse_strict(F.col(text)))
         .withColumn("problem", problem)
         .withColumn("canonical_json", F.when(F.col("problem").isNull(), F.to_json("_document")))
         .drop("_document")

@@ -58,15 +58,15 @@ def query_dataset(
     """Column names and at most ``max_rows`` rows; the job is cancelled after the time limit."""
     spark = dataset.sparkSession
     result = capped(run_sql(sql, dataset, **views), max_rows)
-    tag = f"query-{uuid.uuid4().hex}"
+    context, tag = spark.sparkContext, f"query-{uuid.uuid4().hex}"
     expired = threading.Event()
 
     def interrupt() -> None:
         expired.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(timeout_seconds, interrupt)
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         return result.columns, [row.asDict() for row in result.collect()]
@@ -76,7 +76,7 @@ def query_dataset(
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def suggested_sql(dataset_name: str, columns: list[str]) -> str:

@@ -35,13 +35,16 @@ def feature_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def coerce_features(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Two columns per feature: ``<name>#value``, 0 unless numeric, and ``<name>#text``, null if numeric."""
+    """Two columns per feature: ``<name>#value``, 0 unless numeric, and ``<name>#text``, null if numeric.
+
+    Text starts with ``=``, so blank text is a value like any other.
+    """
     out = [F.col(f"`{n}`") for n in df.columns if n not in columns]
     for name in columns:
         text = as_text(name, df.schema[name].dataType)
         out += [
             F.coalesce(to_double(text), F.lit(0.0)).alias(f"{name}#value"),
-            F.when(~is_number(text), text).alias(f"{name}#text"),
+            F.when(~is_number(text), F.concat(F.lit("="), text)).alias(f"{name}#text"),
         ]
     return df.select(out)
 
@@ -153,7 +156,7 @@ def feature_names(model: PipelineModel, encoding: Encoding) -> list[str]:
     if encoding.textual:
         indexer = model.stages[0]
         for name, labels in zip(encoding.textual, indexer.labelsArray):
-            names += [f"{name}={label}" for label in labels]
+            names += [f"{name}{label}" for label in labels]
     return names
 
 

@@ -31,9 +31,9 @@ def feature_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(
         "p_partkey",
         F.col("`price_text#value`").alias("price_value"),
-        F.coalesce("`price_text#text`", F.lit("(number)")).alias("price_cell"),
+        F.coalesce(F.expr("substring(`price_text#text`, 2)"), F.lit("(number)")).alias("price_cell"),
         F.col("`mixed_text#value`").alias("mixed_value"),
-        F.coalesce("`mixed_text#text`", F.lit("(number)")).alias("mixed_cell"),
+        F.coalesce(F.expr("substring(`mixed_text#text`, 2)"), F.lit("(number)")).alias("mixed_cell"),
     )
 
 
