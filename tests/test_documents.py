@@ -16,11 +16,13 @@ def one(spark, text):
     ("text", "kind", "document"),
     [
         (None, "empty", "{}"), ("", "empty", "{}"), ('{"a":1}', "object", '{"a":1}'), ("[1]", "value", '{"value":[1]}'),
-        ("nope", "raw", '{"raw":"nope"}'), ("null", "value", '{"value":null}'), ('"x"', "value", '{"value":"x"}'),
+        ("nope", "raw", '{"raw":"nope"}'), ("null", "value", '{"value":null}'), ("[1] x", "raw", '{"raw":"[1] x"}'), ("1] [2", "raw", '{"raw":"1] [2"}'),
+        ("1, 2", "raw", '{"raw":"1, 2"}'), ("1} x", "raw", '{"raw":"1} x"}'), (" 7 ", "value", '{"value":7}'), ("  ", "raw", '{"raw":"  "}'), ('"x"', "value", '{"value":"x"}'),
     ],
 )
 def test_details(spark, text, kind, document):
-    assert tuple(one(spark, text).select(*documents.parse_details(F.col("t"))).first()) == (kind, document)
+    row = documents.parse_details(one(spark, text), "t").first()
+    assert (row["details_class"], row["details_json"]) == (kind, document)
 
 
 @pytest.mark.parametrize(
@@ -31,7 +33,7 @@ def test_details(spark, text, kind, document):
     ],
 )
 def test_reply(spark, text, payload):
-    assert one(spark, text).select(F.to_json(documents.reply_object(F.col("t")))).first()[0] == payload
+    assert documents.reply_object(one(spark, text), "t").select(F.to_json("payload")).first()[0] == payload
 
 
 DEFINITIONS = [

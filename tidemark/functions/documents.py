@@ -13,48 +13,61 @@ def _is(kind: str, value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
-def parse_strict(text: Column) -> Column:
-    """A JSON text as variant, null when it is not exactly one JSON value.
+def with_json(df: DataFrame, text: str, name: str = "_json") -> DataFrame:
+    """Add a text column parsed as variant, null when it is not exactly one JSON value.
 
-    Spark's parser stops after the first value. Inside brackets as well as inside an object,
-    the text parses to one value only if nothing follows it.
+    Spark's parser stops after the first value, so the text is parsed inside brackets, where
+    anything after the value is an error or a second item. Only text that holds a bracket of
+    its own could end the list early; it is parsed once more inside an object.
     """
-    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(named.isNotNull() & (F.size(listed) == 1), F.get(listed, F.lit(0)))
-
-
-def parse_details(text: Column) -> tuple[Column, Column]:
-    """(class, JSON text) of an event's details: empty, object, value or raw."""
-    value = parse_strict(text)
-    kind = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty")
-        .when(value.isNull(), "raw")
-        .when(_is("OBJECT", value), "object")
-        .otherwise("value")
+    cell = F.col(text)
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), cell, F.lit("}")))
+    whole = ~cell.contains("]") | named.isNotNull()
+    return (
+        df.withColumn("_listed", listed)
+        .withColumn(name, F.when((F.size("_listed") == 1) & whole, F.get("_listed", F.lit(0))))
+        .drop("_listed")
     )
-    document = (
-        F.when(kind == "empty", F.lit("{}"))
-        .when(kind == "raw", F.to_json(F.struct(text.alias("raw"))))
-        .when(kind == "object", F.to_json(value))
-        .otherwise(F.concat(F.lit('{"value":'), F.to_json(value), F.lit("}")))
+
+
+def parse_details(df: DataFrame, text: str = "details") -> DataFrame:
+    """Add details_class (empty, object, value or raw) and details_json, always a JSON object."""
+    cell, value, kind = F.col(text), F.col("_json"), F.col("details_class")
+    return (
+        with_json(df, text)
+        .withColumn(
+            "details_class",
+            F.when(F.coalesce(cell, F.lit("")) == "", "empty")
+            .when(value.isNull(), "raw")
+            .when(_is("OBJECT", value), "object")
+            .otherwise("value"),
+        )
+        .withColumn(
+            "details_json",
+            F.when(kind == "empty", F.lit("{}"))
+            .when(kind == "raw", F.to_json(F.struct(cell.alias("raw"))))
+            .when(kind == "object", F.to_json(value))
+            .otherwise(F.concat(F.lit('{"value":'), F.to_json(value), F.lit("}"))),
+        )
+        .drop("_json")
     )
-    return kind, document
 
 
-def details_map(text: Column) -> Column:
-    """Details as map<string,string>, never null for readable JSON objects."""
-    return F.from_json(parse_details(text)[1], "map<string,string>")
+def details_map(df: DataFrame, text: str = "details") -> DataFrame:
+    """Add details_map: details as map<string,string>."""
+    parsed = parse_details(df, text)
+    return parsed.withColumn("details_map", F.from_json("details_json", "map<string,string>"))
 
 
-def reply_object(text: Column) -> Column:
-    """The JSON object between a reply's first and last brace, as variant; null when there is none.
+def reply_object(df: DataFrame, text: str = "reply", name: str = "payload") -> DataFrame:
+    """Add the JSON object between a reply's first and last brace, as variant; null when there is none.
 
     Code fences and a language tag lie outside the braces, so they need no step of their own.
     """
     body = F.regexp_extract(text, fixed.BRACED_PATTERN, 1)
-    value = parse_strict(F.when(body != "", body))
-    return F.when(_is("OBJECT", value), value)
+    parsed = with_json(df.withColumn("_body", F.when(body != "", body)), "_body", "_value")
+    return parsed.withColumn(name, F.when(_is("OBJECT", F.col("_value")), F.col("_value"))).drop("_body", "_value")
 
 
 def _text(value: Column) -> Column:
@@ -155,21 +168,20 @@ def normalise_plans(plans: DataFrame, reply: str = "reply") -> DataFrame:
         ).otherwise(F.col("provider_notes")),
         "provider": F.when(usable, fixed.MODEL_PROVIDER).otherwise(fixed.HEURISTIC_PROVIDER),
     }
-    return plans.withColumn("_payload", reply_object(F.col(reply))).withColumns(fields).drop("_payload")
+    return reply_object(plans, reply, "_payload").withColumns(fields).drop("_payload")
 
 
 def plan_actions(plans: DataFrame, text: str = "automation_json") -> DataFrame:
     """Add action_names, plan_status and plan_reason of stored plans; a plan without a list of actions failed."""
-    document = parse_strict(F.col(text))
-    actions = F.try_variant_get(document, "$.actions", "array<variant>")
+    actions = F.col("_actions")
     names = F.transform(actions, lambda a: F.coalesce(_text(_field(a, "name")), F.lit(fixed.UNKNOWN_ACTION)))
-    reason = F.when(document.isNull(), fixed.INVALID_PLAN).when(actions.isNull(), fixed.PLAN_WITHOUT_ACTIONS)
-    return plans.withColumns(
-        {
-            "action_names": F.coalesce(names, F.array().cast("array<string>")),
-            "plan_status": F.when(reason.isNull(), "completed").otherwise("failed"),
-            "plan_reason": reason,
-        }
+    reason = F.when(F.col("_json").isNull(), fixed.INVALID_PLAN).when(actions.isNull(), fixed.PLAN_WITHOUT_ACTIONS)
+    return (
+        with_json(plans, text)
+        .withColumn("_actions", F.try_variant_get("_json", "$.actions", "array<variant>"))
+        .withColumns({"action_names": F.coalesce(names, F.array().cast("array<string>")), "plan_reason": reason})
+        .withColumn("plan_status", F.when(F.col("plan_reason").isNull(), "completed").otherwise("failed"))
+        .drop("_json", "_actions")
     )
 
 
@@ -190,18 +202,16 @@ def attach_trace(plans: DataFrame, objective: str, evidence: Column) -> DataFram
 
 def validate_definitions(definitions: DataFrame, text: str = "definition_json") -> DataFrame:
     """Add problem (the first check that fails, null when valid) and canonical_json (valid ones only)."""
-    document = F.col("_document")
-    nodes = F.try_variant_get(document, "$.nodes", "array<variant>")
-    edges = F.try_variant_get(document, "$.edges", "array<variant>")
-    node_objects = F.filter(nodes, lambda n: _is("OBJECT", n))
+    document, nodes, edges, ids = (F.col(n) for n in ("_json", "_nodes", "_edges", "_ids"))
 
     def ident(value: Column, name: str) -> Column:
         found = _field(value, name)
         return F.when(~F.is_variant_null(found), F.to_json(found))
 
-    ids = F.transform(node_objects, lambda n: ident(n, "id"))
-    ends = F.concat(F.transform(edges, lambda e: ident(e, "from")), F.transform(edges, lambda e: ident(e, "to")))
-    unknown = F.exists(ends, lambda e: e.isNull()) | (F.size(F.array_except(ends, ids)) > 0)
+    node_ids = F.transform(F.filter(nodes, lambda n: _is("OBJECT", n)), lambda n: ident(n, "id"))
+    ends = F.flatten(F.transform(edges, lambda e: F.array(ident(e, "from"), ident(e, "to"))))
+    # Nodes have ids by the time ends are compared, so an end without one counts as unknown too.
+    unknown = F.size(F.array_except(ends, ids)) > 0
     problem = (
         F.when(document.isNull() | ~_is("OBJECT", document), fixed.NOT_AN_OBJECT)
         .when(F.coalesce(F.size(nodes), F.lit(0)) <= 0, fixed.NO_NODES)
@@ -211,10 +221,17 @@ def validate_definitions(definitions: DataFrame, text: str = "definition_json")
         .when(unknown, fixed.EDGE_UNKNOWN_NODE)
     )
     return (
-        definitions.withColumn("_document", parse_strict(F.col(text)))
+        with_json(definitions, text)
+        .withColumns(
+            {
+                "_nodes": F.try_variant_get("_json", "$.nodes", "array<variant>"),
+                "_edges": F.try_variant_get("_json", "$.edges", "array<variant>"),
+            }
+        )
+        .withColumn("_ids", node_ids)
         .withColumn("problem", problem)
-        .withColumn("canonical_json", F.when(F.col("problem").isNull(), F.to_json("_document")))
-        .drop("_document")
+        .withColumn("canonical_json", F.when(F.col("problem").isNull(), F.to_json("_json")))
+        .drop("_json", "_nodes", "_edges", "_ids")
     )
 
 

@@ -32,8 +32,7 @@ _DETAILS = (
 )
 def parse_event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").selectExpr("event_id", f"{_DETAILS} AS details")
-    kind, document = documents.parse_details(F.col("details"))
-    return events.select("event_id", kind.alias("details_class"), document.alias("details_json"))
+    return documents.parse_details(events).drop("details")
 
 
 @query(
@@ -42,11 +41,9 @@ def parse_event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     "CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_k FROM events GROUP BY event_type",
 )
 def event_details_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.element_at(documents.details_map(F.col("props")), "k").cast("bigint")
-    counted = (
-        table(spark, sf_dir, "events").select("event_type", value.alias("k")).groupBy("event_type", "k")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    events = documents.details_map(table(spark, sf_dir, "events").select("event_type", "props"), "props")
+    value = F.element_at("details_map", "k").cast("bigint")
+    counted = events.groupBy("event_type", value.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("event_type").agg(
         F.sum("n").alias("events"), F.count("k").alias("distinct_k"), F.sum(F.col("k") * F.col("n")).alias("total_k")
     )
@@ -68,9 +65,8 @@ _REPLY = (
 )
 def extract_reply_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = table(spark, sf_dir, "events").selectExpr("event_id", f"{_REPLY} AS reply")
-    return replies.select(
-        "event_id", F.coalesce(F.to_json(documents.reply_object(F.col("reply"))), F.lit("")).alias("payload")
-    )
+    found = documents.reply_object(replies)
+    return found.select("event_id", F.coalesce(F.to_json("payload"), F.lit("")).alias("payload"))
 
 
 # One reply per workspace, with scores, lists and blanks of every kind.
