@@ -64,7 +64,7 @@ def test_asof_last(frame, data, strict):
 def test_count_in_ranges(frame, data):
     ranges = frame.where("mark").select("k", "id", F.col("at").alias("low"), (F.col("at") + 25).alias("high"))
     expected = {i: sum(kk == k and at < a <= at + 25 for kk, a, _, _ in data) for k, at, i, m in data if m}
-    got = count_in_ranges(frame, ranges, "k", "at", "low", "high", 10).collect()
+    got = count_in_ranges(frame, ranges, "k", "id", "at", "low", "high", 10).collect()
     assert {r["id"]: r["matches"] for r in got} == expected
 
 

@@ -69,20 +69,30 @@ def asof_last(
 
 
 def count_in_ranges(
-    points: DataFrame, ranges: DataFrame, key: str, at: str, low: str, high: str, width: int, name: str = "matches"
+    points: DataFrame, ranges: DataFrame, key: str, range_id: str, at: str, low: str, high: str, width: int,
+    name: str = "matches",
 ) -> DataFrame:
-    """Per range row, how many of its key's points lie in (low, high]: a range join that is counted.
+    """``range_id`` and how many of the key's points lie in (low, high]: a range join that is counted.
 
     Positions are whole numbers. The count is the running count at ``high`` less that at
     ``low``, so no pair of rows is ever built. Points and range ends at one position collapse
     first; a key is cut into pieces of ``width`` positions.
     """
-    marks = points.groupBy(key, F.col(at).alias("_at")).agg(F.count(F.lit(1)).alias("_points"))
-    ends = ranges.select(key, F.explode(F.array(F.col(low), F.col(high))).alias("_at")).distinct()
+    ends = ranges.select(
+        range_id,
+        key,
+        F.inline(
+            F.array(
+                F.struct(F.col(low).alias("_at"), F.lit(-1).alias("_sign")),
+                F.struct(F.col(high).alias("_at"), F.lit(1).alias("_sign")),
+            )
+        ),
+    )
     line = (
-        marks.unionByName(ends.withColumn("_points", F.lit(0).cast("bigint")))
+        points.select(key, F.col(at).alias("_at"), F.lit(1).alias("_point"))
+        .unionByName(ends.select(key, "_at", F.lit(0).alias("_point")))
         .groupBy(key, "_at")
-        .agg(F.sum("_points").alias("_points"), F.min("_points").alias("_lowest"))
+        .agg(F.sum("_point").alias("_points"))
         .withColumn("_piece", F.floor(F.col("_at") / width))
     )
     earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,15 +104,11 @@ def count_in_ranges(
     within = Window.partitionBy(key, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     running = (
         line.withColumn("_here", F.sum("_points").over(within))
-        .where("_lowest = 0")
         .join(offsets, [key, "_piece"])
         .select(key, "_at", (F.col("_here") + F.col("_offset")).alias("_upto"))
     )
-    at_low = running.select(key, F.col("_at").alias(low), F.col("_upto").alias("_before"))
-    at_high = running.select(key, F.col("_at").alias(high), F.col("_upto").alias("_through"))
     return (
-        ranges.join(at_low, [key, low])
-        .join(at_high, [key, high])
-        .withColumn(name, F.col("_through") - F.col("_before"))
-        .drop("_before", "_through")
+        ends.join(running, [key, "_at"])
+        .groupBy(range_id)
+        .agg(F.sum(F.col("_sign") * F.col("_upto")).alias(name))
     )

@@ -111,7 +111,7 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = events.where("event_type = 'purchase'").select(
         "event_id", "user_id", F.col("at").alias("low"), (F.col("at") + HOUR_MICROS).alias("high")
     )
-    return count_in_ranges(events, ranges, "user_id", "at", "low", "high", HOUR_MICROS).select("event_id", "matches")
+    return count_in_ranges(events, ranges, "user_id", "event_id", "at", "low", "high", HOUR_MICROS)
 
 
 @query(
