@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 Environment: BENCH_SF_DIR (tables), BENCH_CPUS (local cores), BENCH_RUNS (timed runs per query).
-Each query runs twice to warm up; its figure is the median of the timed runs.
+Each query runs three times to warm up; its figure is the median of the timed runs.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tidemark.plans import catalog  # noqa: E402
 from tidemark.session import build_session  # noqa: E402
 
-WARM_UPS = 2
+WARM_UPS = 3
 HEADLINE = [
     "profile_table",
     "dataset_statistics_lineitem",

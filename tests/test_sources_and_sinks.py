@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import governance, profile
 from tidemark.session import scratch_path, shared_dir
 from tidemark.sources import admission, sinks
+from tidemark.sources.ingest import ingest_csv
 from tidemark.sources.files import scan_csv_raw
 
 
@@ -63,6 +64,25 @@ def test_ingest_outcome(spark, write, tmp_path):
     }
 
 
+def test_upload_path(spark, write, tmp_path):
+    root = str(tmp_path / "lake")
+    path = write("workspace_id,amount\n7,10\n8,20\n", "sales.csv")
+    got = ingest_csv(spark, path, root, workspace_id=1, dataset_id=2, dataset_name="sales").first()
+    assert (got["row_count"], got["quality_score"]) == (2, 100)
+    assert got["metadata"]["source_name"] == "sales.csv"
+    landed = spark.read.parquet(got["metadata"]["storage_path"])
+    assert sorted(tuple(r) for r in landed.collect()) == [("7", "10"), ("8", "20")]
+    events = spark.read.parquet(f"{root}/events").where("workspace_id = 1 AND event_type LIKE 'metadata.%' AND resource_id = 2")
+    assert events.count() == 1 and json.loads(events.first()["details"])["row_count"] == 2
+    types = {r["event_type"] for r in spark.read.parquet(f"{root}/events").collect()}
+    assert types == {"dataset.uploaded", "metadata.ingestion.profile_created"}
+    ids = dict(workspace_id=1, dataset_id=3)
+    with pytest.raises(ValueError, match="Only CSV uploads"):
+        ingest_csv(spark, write("a\n1\n", "a.txt"), root, dataset_name="a", **ids)
+    with pytest.raises(ValueError, match="Dataset name is required"):
+        ingest_csv(spark, path, root, dataset_name=" ", **ids)
+
+
 def test_masks(spark):
     df = spark.createDataFrame([("ann@x.org", "12345", "s", "t"), (None, None, None, None)], "email string, card string, h string, gone string")
     rules = {"email": "redact", "card": "partial", "h": "hash", "gone": "null"}

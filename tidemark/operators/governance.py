@@ -25,6 +25,19 @@ def access_review(attempts: DataFrame, memberships: DataFrame, allowed: list[str
     )
 
 
+def denial_events(reviewed: DataFrame) -> DataFrame:
+    """Event-log rows for refused attempts, with the reason as details."""
+    return reviewed.where(~F.col("allowed")).select(
+        F.col("workspace_id").cast("bigint").alias("workspace_id"),
+        F.lit("security.access_denied").alias("event_type"),
+        F.col("user").cast("string").alias("actor"),
+        F.lit("workspace").alias("resource_type"),
+        F.col("workspace_id").cast("bigint").alias("resource_id"),
+        F.col("reason").alias("details"),
+        F.current_timestamp().alias("created_at"),
+    )
+
+
 def current_rules(masks: DataFrame) -> DataFrame:
     """The newest stored rule of each dataset column. ``masks``: id, dataset_id, column_name, mask_type."""
     return newest_per_key(masks, ["dataset_id", "column_name"], [F.col("id").desc()])

@@ -37,6 +37,16 @@ def access_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviewed.select("attempt_id", "workspace_id", "user", "allowed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+@query(
+    "access_denied_events",
+    f"WITH {_REVIEW} SELECT workspace_id, 'security.access_denied' AS event_type, CAST(\"user\" AS VARCHAR) AS actor, 'workspace' AS resource_type, "
+    "workspace_id AS resource_id, reason AS details FROM review WHERE reason IS NOT NULL",
+)
+def access_denied_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviewed = governance.access_review(_attempts(spark, sf_dir), si.memberships(spark, sf_dir), ALLOWED)
+    return governance.denial_events(reviewed).drop("created_at")
+
+
 @query(
     "mask_rules",
     "SELECT p_brand AS dataset_id, p_type AS column_name, CASE CAST(MAX(p_partkey) % 4 AS INTEGER) WHEN 0 THEN 'redact' "

@@ -10,7 +10,7 @@ from tidemark.operators import profile, sql
 from tidemark.plans.catalog import query
 from tidemark.plans.stand_ins import table
 from tidemark.session import scratch_path
-from tidemark.sources import admission, files, sinks
+from tidemark.sources import admission, files, ingest, sinks
 
 # --- scans ---------------------------------------------------------------------------------
 
@@ -179,6 +179,27 @@ def write_ingest_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "ingest_upload",
+    "SELECT j.*, e.event_type FROM (SELECT 3::BIGINT AS workspace_id, 9::BIGINT AS dataset_id, 'customers.csv' AS source_name, COUNT(*) AS row_count, "
+    "0::BIGINT AS rejected_rows, CAST(100 - CAST(trunc((COUNT(*) FILTER (WHERE c_custkey % 5 = 0) + COUNT(*) FILTER (WHERE c_custkey % 3 = 0)) "
+    "/ (COUNT(*) * 4) * 50.0) AS INTEGER) AS INTEGER) AS quality_score FROM customer) j, "
+    "(SELECT unnest(['dataset.uploaded', 'metadata.ingestion.profile_created']) AS event_type) e",
+)
+def ingest_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV through gate, landing, profile, registry and event log; the job row beside its events."""
+    root = scratch_path(spark, "ingest")
+    ingest.ingest_csv(
+        spark, _as_csv(spark, sf_dir, _AWKWARD), root,
+        workspace_id=3, dataset_id=9, dataset_name="customers", file_name="up/customers.csv",
+    ).unpersist()
+    jobs = spark.read.parquet(f"{root}/ingestion_jobs").select(
+        "workspace_id", "dataset_id", "source_name", "row_count", "rejected_rows", "quality_score"
+    )
+    events = spark.read.parquet(f"{root}/events").select("event_type", F.col("resource_id").alias("dataset_id"))
+    return jobs.join(events, "dataset_id")
+
+
 @query(
     "emit_events",
     "SELECT o_custkey AS workspace_id, 'dataset.query_executed' AS event_type, o_orderkey AS resource_id, "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cells import normalise
 from tidemark.operators import trees
+from tidemark.operators.sql import run_sql
 from tidemark.plans.catalog import query
 from tidemark.plans.stand_ins import dirty_parts, dirty_sql, table
 from tidemark.session import scratch_path
@@ -134,14 +135,39 @@ def rank_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(trained.importances, "feature string, importance double")
 
 
-@query("ml_scores")
+# A stated guess for every order line: price from quantity, flag from tax.
+_GUESSES = (
+    "SELECT l_linenumber > 4 AS is_test, l_extendedprice AS y, l_quantity * 2000 AS p, l_returnflag = 'A' AS truth, l_tax < 0.03 AS guess FROM {source}"
+)
+_SCORED = (
+    "scored AS (SELECT is_test, 'accuracy' AS metric, AVG(CASE WHEN truth = guess THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM g GROUP BY is_test "
+    "UNION ALL SELECT is_test, 'r2', 1 - SUM((y - p) * (y - p)) / SUM((y - m) * (y - m)) FROM (SELECT *, AVG(y) OVER (PARTITION BY is_test) AS m FROM g) t GROUP BY is_test)"
+)
+
+
+@query(
+    "ml_scores",
+    f"WITH g AS ({_GUESSES.format(source='lineitem')}), {_SCORED} SELECT a.metric, ROUND(a.score, 6) AS train_score, ROUND(b.score, 6) AS test_score, "
+    "a.score - b.score > 0.15 AS overfit_detected FROM scored a JOIN scored b ON a.metric = b.metric AND NOT a.is_test AND b.is_test",
+)
 def ml_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of a stored model recomputed from its predictions for all rows."""
-    orders = _order_sizes(spark, sf_dir)
-    path = f"{scratch_path(spark, 'models')}/{trees.artifact_name(1, 1, 'band')}"
-    trees.train_model(orders, "band", "classification", "l_orderkey", path, max_depth=5)
-    predicted = trees.score_model(orders, ["lines", "top_price", "shape"], path)
-    return predicted.groupBy("band", "prediction").agg(F.count(F.lit(1)).alias("orders"))
+    guesses = run_sql(_GUESSES.format(source="dataset"), table(spark, sf_dir, "lineitem"))
+    classes = guesses.select("is_test", F.col("truth").cast("double").alias("label_index"), F.col("guess").cast("double").alias("prediction"))
+    numbers = guesses.select("is_test", F.col("y").alias("_label"), F.col("p").alias("prediction"))
+    both = trees.scores(classes, "classification").withColumn("metric", F.lit("accuracy")).unionByName(
+        trees.scores(numbers, "regression").withColumn("metric", F.lit("r2"))
+    )
+    train, test = (F.max(F.when(F.col("is_test") == part, F.col("score"))) for part in (False, True))
+    return (
+        both.groupBy("metric")
+        .agg(train.alias("train"), test.alias("test"))
+        .select(
+            "metric",
+            F.round("train", 6).alias("train_score"),
+            F.round("test", 6).alias("test_score"),
+            trees.overfit(F.col("train"), F.col("test")).alias("overfit_detected"),
+        )
+    )
 
 
 @query("score_model")
