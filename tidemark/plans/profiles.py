@@ -206,7 +206,7 @@ def cast_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "number_tests",
     f"WITH {dirty_sql('p_partkey')} SELECT p_partkey, regexp_full_match(size_text, '[+-]?[0-9]+(_[0-9]+)*') AS size_is_integer, "
-    "TRY_CAST(nullif(replace(size_text, '_', ''), '') AS BIGINT) AS size_long, "
+    "coalesce(TRY_CAST(nullif(replace(size_text, '_', ''), '') AS BIGINT), -1) AS size_long, "
     "CASE WHEN mixed_text <> '' AND NOT contains(mixed_text, 'd') THEN CAST(mixed_text AS DOUBLE) END AS mixed_double FROM cells",
 )
 def number_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,7 @@ def number_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_parts(spark, sf_dir, "p_partkey").select(
         "p_partkey",
         is_integer(size).alias("size_is_integer"),
-        to_long(size).alias("size_long"),
+        F.coalesce(to_long(size), F.lit(-1)).alias("size_long"),
         to_double(mixed).alias("mixed_double"),
     )
 

@@ -36,11 +36,11 @@ def filter_like_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "point_lookup",
-    "SELECT d.doc_id, l.quality, l.toxic, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
 )
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "documents").select("doc_id")
-    return registry.point_lookup(wanted, table(spark, sf_dir, "labels"), "doc_id")
+    return registry.point_lookup(wanted, table(spark, sf_dir, "labels"), "doc_id").na.fill(-1, ["quality", "toxic"])
 
 
 # --- joins ---------------------------------------------------------------------------------

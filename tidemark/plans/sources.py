@@ -52,10 +52,11 @@ _TYPED = {
 @query(
     "scan_csv_typed",
     "SELECT CAST(c_custkey AS INTEGER) AS id, c_name AS name, c_acctbal AS balance, "
-    "CAST(DATE '2020-01-01' + CAST(c_nationkey AS INT) AS DATE) AS since, c_nationkey > 10 AS active FROM customer",
+    "strftime(DATE '2020-01-01' + CAST(c_nationkey AS INT), '%Y-%m-%d') AS since, 'date' AS since_type, c_nationkey > 10 AS active FROM customer",
 )
 def scan_csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.scan_csv_typed(spark, _as_csv(spark, sf_dir, _TYPED))
+    typed = files.scan_csv_typed(spark, _as_csv(spark, sf_dir, _TYPED))
+    return typed.withColumns({"since_type": F.typeof("since"), "since": F.col("since").cast("string")})
 
 
 @query(

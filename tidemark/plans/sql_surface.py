@@ -165,7 +165,7 @@ statement(
 )
 statement(
     "sql_rollup", "orders",
-    "SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS year_no, coalesce(o_orderstatus, '*') AS status, COUNT(*) AS n "
+    "SELECT coalesce(CAST(extract(year FROM o_orderdate) AS BIGINT), -1) AS year_no, coalesce(o_orderstatus, '*') AS status, COUNT(*) AS n "
     "FROM dataset GROUP BY ROLLUP (extract(year FROM o_orderdate), o_orderstatus)",
 )
 # Exact percentiles keep one counter per distinct value, so they are taken of a column with few.
@@ -208,7 +208,7 @@ _MONTHLY = (
 
 
 def _monthly(key: str, columns: str) -> None:
-    text = f"{_MONTHLY} SELECT p, CAST(m AS DATE) AS m, n, {columns} FROM monthly WINDOW w AS (PARTITION BY p ORDER BY m)"
+    text = f"{_MONTHLY} SELECT p, CAST(CAST(m AS DATE) AS STRING) AS m, n, {columns} FROM monthly WINDOW w AS (PARTITION BY p ORDER BY m)"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return run_sql(f"WITH {text}", table(spark, sf_dir, "orders"))
@@ -248,7 +248,7 @@ statement(
     "sql_subquery", "orders",
     "SELECT o.o_orderkey, o.o_totalprice > (SELECT AVG(o_totalprice) FROM dataset) AS above_mean, "
     "(SELECT c.c_mktsegment FROM customer c WHERE c.c_custkey = o.o_custkey) AS segment, t.yearly FROM dataset o, "
-    "LATERAL (SELECT extract(year FROM o.o_orderdate) * 10 AS yearly) t",
+    "LATERAL (SELECT CAST(extract(year FROM o.o_orderdate) * 10 AS BIGINT) AS yearly) t",
     views=("customer",),
 )
 
@@ -294,25 +294,25 @@ statement("sql_sample", "lineitem", "SELECT * FROM dataset TABLESAMPLE (10 PERCE
 
 statement(
     "sql_string_fns", "customer",
-    "SELECT c_custkey, lower(c_name) AS low, length(c_name) AS n, substr(c_name, 1, 8) AS start8, replace(c_name, '#', '-') AS dashed, "
+    "SELECT c_custkey, lower(c_name) AS low, CAST(length(c_name) AS BIGINT) AS n, substr(c_name, 1, 8) AS start8, replace(c_name, '#', '-') AS dashed, "
     "lpad(CAST(c_custkey AS STRING), 8, '0') AS padded, concat_ws('/', c_mktsegment, c_name) AS joined, reverse(c_mktsegment) AS reversed, "
     "split_part(c_name, '#', 2) AS digits, regexp_replace(c_name, '[-_#]+', ' ') AS spaced, c_name LIKE '%1' AS ends_one, "
-    "ltrim(concat('  ', c_mktsegment)) AS trimmed, repeat('x', 3) AS xs, position('#' IN c_name) AS hash_at FROM dataset",
-    "SELECT c_custkey, lower(c_name) AS low, length(c_name) AS n, substr(c_name, 1, 8) AS start8, replace(c_name, '#', '-') AS dashed, "
+    "ltrim(concat('  ', c_mktsegment)) AS trimmed, repeat('x', 3) AS xs, CAST(position('#' IN c_name) AS BIGINT) AS hash_at FROM dataset",
+    "SELECT c_custkey, lower(c_name) AS low, CAST(length(c_name) AS BIGINT) AS n, substr(c_name, 1, 8) AS start8, replace(c_name, '#', '-') AS dashed, "
     "lpad(CAST(c_custkey AS STRING), 8, '0') AS padded, concat_ws('/', c_mktsegment, c_name) AS joined, reverse(c_mktsegment) AS reversed, "
     "split_part(c_name, '#', 2) AS digits, regexp_replace(c_name, '[-_#]+', ' ', 'g') AS spaced, c_name LIKE '%1' AS ends_one, "
-    "ltrim(concat('  ', c_mktsegment)) AS trimmed, repeat('x', 3) AS xs, position('#' IN c_name) AS hash_at FROM dataset",
+    "ltrim(concat('  ', c_mktsegment)) AS trimmed, repeat('x', 3) AS xs, CAST(position('#' IN c_name) AS BIGINT) AS hash_at FROM dataset",
 )
 statement(
     "sql_date_fns", "orders",
     "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd') AS day_text, CAST(extract(month FROM o_orderdate) AS BIGINT) AS month_no, "
-    "CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_start, CAST(o_orderdate AS DATE) + 7 AS week_later, "
-    "CAST(datediff(CAST(o_orderdate AS DATE), DATE '1995-01-01') AS BIGINT) AS days, CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS month_later, "
-    "last_day(o_orderdate) AS month_end FROM dataset",
+    "CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) AS STRING) AS quarter_start, CAST(CAST(o_orderdate AS DATE) + 7 AS STRING) AS week_later, "
+    "CAST(datediff(CAST(o_orderdate AS DATE), DATE '1995-01-01') AS BIGINT) AS days, CAST(CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS STRING) AS month_later, "
+    "CAST(last_day(o_orderdate) AS STRING) AS month_end FROM dataset",
     "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day_text, CAST(extract(month FROM o_orderdate) AS BIGINT) AS month_no, "
-    "CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_start, CAST(CAST(o_orderdate AS DATE) + 7 AS DATE) AS week_later, "
-    "CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days, CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS month_later, "
-    "last_day(o_orderdate) AS month_end FROM dataset",
+    "CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) AS STRING) AS quarter_start, CAST(CAST(CAST(o_orderdate AS DATE) + 7 AS DATE) AS STRING) AS week_later, "
+    "CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days, CAST(CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS STRING) AS month_later, "
+    "CAST(last_day(o_orderdate) AS STRING) AS month_end FROM dataset",
 )
 statement(
     "sql_math_fns", "lineitem",
