@@ -108,6 +108,14 @@ def test_wide_table_is_profiled_in_slices(spark):
     assert row["duplicate_rows"] == 0
 
 
+def test_any_column_name_works(spark):
+    df = spark.createDataFrame([("1", "x", " "), ("2", "x", "y")], "`a.b` string, `we``ird` string, `x y#` string")
+    assert [c["name"] for c in profile.profile_table(df).first()["columns"]] == ["a.b", "we`ird", "x y#"]
+    assert {r["name"]: r["distinct_count"] for r in stats.column_statistics(df).collect()} == {"a.b": 2, "we`ird": 1, "x y#": 1}
+    assert {r["name"]: r["data_type"] for r in stats.column_kinds(df).collect()}["a.b"] == "number"
+    assert profile.cast_inferred(df, profile.castable_types(df)).columns == df.columns
+
+
 def test_long_text_is_compared_whole(spark):
     long = "x" * 500
     df = spark.createDataFrame([(long + "a",), (long + "b",), (long + "a",), (" " + long + "b ",)], "t string")
@@ -149,6 +157,14 @@ def test_cast_inferred(spark, write):
     assert sorted(r["i"] for r in typed.collect() if r["i"] is not None) == [1, 2, 10]
 
 
+def test_long_whole_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([("1" * 25, "2" * 50, "3"), ("4", "5", "6")], "wide string, huge string, small string")
+    kinds = profile.castable_types(df)
+    assert kinds == {"wide": "big_integer", "huge": "string", "small": "integer"}
+    rows = profile.cast_inferred(df, kinds).collect()
+    assert {str(r["wide"]) for r in rows} == {"1" * 25, "4"} and {r["huge"] for r in rows} == {"2" * 50, "5"}
+
+
 def test_statistics_of_numbers_as_text(spark, write):
     raw = scan_csv_raw(spark, write("v,w\n 1 ,b\n2.5,a\n,a\n2.5,\n"))
     rows = {r["name"]: r for r in stats.column_statistics(raw).collect()}

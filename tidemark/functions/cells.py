@@ -16,6 +16,11 @@ _NUMBER_STARTS = _INTEGER_STARTS + list(".iInN")
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def strip(cell: Column) -> Column:
     """Remove Unicode whitespace from both ends; null stays null."""
     return F.btrim(cell, F.lit(STRIP_CHARACTERS))
@@ -47,7 +52,7 @@ def to_double(text: Column) -> Column:
 
 def as_text(name: str, dtype: T.DataType) -> Column:
     """Any column as normalised cell text."""
-    cell = F.col(f"`{name}`")
+    cell = column(name)
     if isinstance(dtype, T.StringType):
         return normalise(cell)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):

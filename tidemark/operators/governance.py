@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
+from tidemark.functions.cells import column
 from tidemark.operators.registry import newest_per_key
 
 MASKS = ("redact", "hash", "partial", "null")
@@ -68,7 +69,7 @@ def apply_masks(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     unknown = sorted(set(rules) - set(df.columns))
     if unknown:
         raise ValueError(f"Masked columns not in the table: {', '.join(unknown)}")
-    return df.select([mask(F.col(f"`{n}`"), rules[n]).alias(n) if n in rules else F.col(f"`{n}`") for n in df.columns])
+    return df.select([mask(column(n), rules[n]).alias(n) if n in rules else column(n) for n in df.columns])
 
 
 def audit_type_sets(events: DataFrame) -> DataFrame:

@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import fixed_values as fixed
-from tidemark.functions.cells import FLOATING, INTEGRAL, TEMPORAL, as_text, is_integer, is_number, normalise, to_double
+from tidemark.functions.cells import (
+    FLOATING,
+    INTEGRAL,
+    TEMPORAL,
+    as_text,
+    column,
+    is_integer,
+    is_number,
+    normalise,
+    to_double,
+)
 from tidemark.operators.ordered import asof_last
 
 COLUMNS_PER_PASS = 100
@@ -22,7 +32,7 @@ _COLUMN_STRUCT = "struct<name:string,missing:bigint,sample_size:bigint,inferred_
 
 def _checks(field: T.StructField) -> tuple[Column, Column, Column]:
     """(missing, not an integer, not a number) for one column, by declared type where it decides."""
-    cell, dtype = F.col(f"`{field.name}`"), field.dataType
+    cell, dtype = column(field.name), field.dataType
     if isinstance(dtype, T.StringType):
         text = as_text(field.name, dtype)
         missing = text == ""
@@ -99,7 +109,7 @@ def row_totals(df: DataFrame) -> DataFrame:
     keys, blank = [], []
     for i, field in enumerate(own):
         if isinstance(field.dataType, _FIXED_WIDTH):
-            cell = F.col(f"`{field.name}`")
+            cell = column(field.name)
             blank.append(cell.isNull())
         else:
             text = as_text(field.name, field.dataType)
@@ -123,7 +133,7 @@ def row_totals(df: DataFrame) -> DataFrame:
 
 def distinct_rows(df: DataFrame) -> DataFrame:
     """The set of normalised rows."""
-    return df.select([as_text(f.name, f.dataType).alias(f.name) for f in df.schema.fields]).dropDuplicates()
+    return df.select([as_text(f.name, f.dataType).alias(f.name) for f in df.schema.fields]).distinct()
 
 
 def quality_score(missing: Column, duplicates: Column, blanks: Column, rows: Column, columns: int) -> Column:
@@ -256,12 +266,30 @@ def fingerprint_changes(history: DataFrame, piece: Column) -> DataFrame:
     return seen.withColumn("changed", F.coalesce(F.col("_before") != current, F.lit(True))).drop("_before")
 
 
+def castable_types(df: DataFrame) -> dict[str, str]:
+    """Target type per text column: the inferred one, widened so that no whole number loses digits.
+
+    ``integer`` holds 18 digits, ``big_integer`` 38; columns with longer numbers stay text.
+    """
+    kinds = {r["name"]: r["inferred_type"] for r in profile_columns(df).collect()}
+    whole = [n for n, kind in kinds.items() if kind == "integer"]
+    if not whole:
+        return kinds
+    digits = df.agg(
+        *[F.max(F.length(F.regexp_replace(normalise(column(n)), "[^0-9]", ""))).alias(n) for n in whole]
+    ).first()
+    for name in whole:
+        if digits[name] > 18:
+            kinds[name] = "big_integer" if digits[name] <= 38 else "string"
+    return kinds
+
+
 def cast_inferred(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Typed copy of raw text rows: cast by inferred type, blank rows and copies dropped."""
     whole = F.lit("_")
     out = []
     for name in df.columns:
-        text = normalise(F.col(f"`{name}`"))
+        text = normalise(column(name))
         kind = types.get(name, "string")
         if kind == "integer":
             value = F.when(is_integer(text), F.replace(text, whole, F.lit("")).try_cast("bigint"))
@@ -272,5 +300,5 @@ def cast_inferred(df: DataFrame, types: dict[str, str]) -> DataFrame:
         else:
             value = F.when(text != "", text)
         out.append(value.alias(name))
-    typed = df.select(out)
-    return typed.dropna(how="all").dropDuplicates()
+    filled = reduce(Column.__or__, [normalise(column(n)) != "" for n in df.columns])
+    return df.where(filled).select(out).distinct()

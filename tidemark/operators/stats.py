@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.cells import FLOATING, INTEGRAL, TEMPORAL, as_text, is_number, to_double
+from tidemark.functions.cells import FLOATING, INTEGRAL, TEMPORAL, as_text, column, is_number, to_double
 
 STATISTICS = [
     "position", "name", "data_type", "row_count", "non_null_count", "null_count", "distinct_count",
@@ -31,7 +31,7 @@ def _cell(field: T.StructField, family: str) -> Column:
         # Blank text counts as missing.
         text = as_text(field.name, field.dataType)
         return F.when(text != "", text)
-    return F.col(f"`{field.name}`").cast(family)
+    return column(field.name).cast(family)
 
 
 def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -131,7 +131,7 @@ def column_kinds(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         if isinstance(field.dataType, TEMPORAL):
             kind = F.lit("datetime")
         elif _family(field.dataType) != "string":
-            totals.append(F.count(F.col(f"`{field.name}`")).alias(f"n{i}"))
+            totals.append(F.count(column(field.name)).alias(f"n{i}"))
             kind = F.when(F.col(f"n{i}") > 0, "number").otherwise("string")
         else:
             text = as_text(field.name, field.dataType)

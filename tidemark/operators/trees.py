@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
-from tidemark.functions.cells import as_text, is_number, to_double
+from tidemark.functions.cells import as_text, column, is_number, to_double
 
 SEED = 42
 TEST_SHARE = 0.33
@@ -39,7 +39,7 @@ def coerce_features(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Text starts with ``=``, so blank text is a value like any other.
     """
-    out = [F.col(f"`{n}`") for n in df.columns if n not in columns]
+    out = [column(n) for n in df.columns if n not in columns]
     for name in columns:
         text = as_text(name, df.schema[name].dataType)
         out += [
@@ -75,7 +75,7 @@ def split_with_total(df: DataFrame, key: str, share: float = TEST_SHARE, seed: i
     gathered or sent to the driver. ``key`` must be unique.
     """
     position = F.col("_position")
-    placed = df.withColumn("_position", split_order(F.col(f"`{key}`"), seed))
+    placed = df.withColumn("_position", split_order(column(key), seed))
     digit = {b: F.shiftrightunsigned(position, b).bitwiseAND(F.lit(0xFFFF)) for b in (48, 32, 16, 0)}
     wanted, chosen, total = None, [], 0
     for bits, value in digit.items():
@@ -123,7 +123,7 @@ def encoding_for(df: DataFrame, features: list[str], max_categories: int = MAX_C
     """
     checks = []
     for name in features:
-        text = F.col(f"`{name}#text`")
+        text = column(f"{name}#text")
         checks += [
             F.count_if(text.isNull()).alias(f"n:{name}"),
             F.approx_count_distinct(text).alias(f"t:{name}"),

@@ -199,8 +199,7 @@ def fingerprint_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cast_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = dirty_parts(spark, sf_dir)
-    kinds = {r["name"]: r["inferred_type"] for r in profile.profile_columns(raw).collect()}
-    return profile.cast_inferred(raw, kinds)
+    return profile.cast_inferred(raw, profile.castable_types(raw))
 
 
 @query(
