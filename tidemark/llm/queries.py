@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, sharding, token_counts, token_files, url_rules
+from tidemark.llm import decontaminate, mixing, quality, sharding, token_counts, token_files, url_rules
+from tidemark.llm.staging import staged
 from tidemark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +136,85 @@ def token_files_(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return token_files.read_documents(spark, path)
+
+
+def quality_sql() -> str:
+    """The whole op8 in SQL: counts, holdout, binomial tests by sums of binomial terms, verdicts."""
+    level = f"({quality.ERROR} / ({len(quality.RULES)} * (SELECT count(*) FROM strata)))"
+    allowed = quality.FALSE_REJECTIONS / len(quality.RULES)
+    tests, verdicts = [], []
+    for rule, (top, bottom, side, grid) in quality.RULES.items():
+        sign = ">" if side == "above" else "<"
+        for i, cutoff in enumerate(grid):
+            tests.append(f"SELECT '{rule}' AS rule, {i} AS pos, {cutoff}::DOUBLE AS cutoff")
+        verdicts.append(
+            f"coalesce({top} / nullif({bottom}, 0)::DOUBLE {sign} "
+            f"(SELECT cutoff FROM taken t WHERE t.rule = '{rule}' AND t.lang IS NOT DISTINCT FROM c.lang), false)"
+        )
+    hit = " ".join(
+        f"WHEN '{rule}' THEN coalesce({top} / nullif({bottom}, 0)::DOUBLE {'>' if side == 'above' else '<'} cutoff, false)"
+        for rule, (top, bottom, side, _) in quality.RULES.items()
+    )
+    return rf"""
+    WITH texts AS (
+      SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), windows AS (
+      SELECT r, unnest(range(1, len(words) - 6)) AS pos,
+        unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS win
+      FROM texts WHERE len(words) >= 8
+    ), often AS (
+      SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1
+    ), repeated AS (
+      SELECT r, count(DISTINCT word) AS n_repeat_words FROM (SELECT r, unnest(range(pos, pos + 8)) AS word FROM often) GROUP BY r
+    ), lines AS (
+      SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+      FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+    ), counts AS MATERIALIZED (
+      SELECT doc_id, lang, len(words)::BIGINT AS n_words,
+        coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        coalesce(n_lines, 0)::BIGINT AS n_lines
+      FROM texts LEFT JOIN repeated USING (r) LEFT JOIN lines USING (r)
+    ), based AS (
+      SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+    ), good AS (
+      SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 0
+    ), held AS MATERIALIZED (
+      SELECT based.* FROM based JOIN good USING (doc_id) WHERE NOT base_failed
+    ), strata AS MATERIALIZED (
+      SELECT lang, count(*) AS n FROM held GROUP BY lang
+    ), tests AS ({" UNION ALL ".join(tests)}), tested AS (
+      SELECT held.lang, rule, pos, cutoff, count(*) AS n, count(*) FILTER (CASE rule {hit} END) AS k
+      FROM held, tests GROUP BY held.lang, rule, pos, cutoff
+    ), certified AS (
+      SELECT lang, rule, pos, cutoff, (
+        SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({allowed}) + (n - i) * ln(1 - {allowed})))
+        FROM range(0, k + 1) AS terms(i)) <= {level} AS good
+      FROM tested
+    ), taken AS MATERIALIZED (
+      SELECT lang, rule, max_by(cutoff, pos) AS cutoff FROM (
+        SELECT *, bool_and(good) OVER (PARTITION BY lang, rule ORDER BY pos) AS all_good FROM certified
+      ) WHERE all_good GROUP BY lang, rule
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT (base_failed OR {" OR ".join(verdicts)}) AS kept FROM based c
+    """
+
+
+@query("op8_quality_rules", quality_sql())
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    counts = staged(quality.measured(docs).drop("text"), "counts")
+    cutoffs = quality.certified_cutoffs(counts, table(spark, sf_dir, "labels"))
+    return quality.judged(counts, cutoffs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op1_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.question_and_answer(table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), items)
