@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, quality, sharding, token_counts, token_files, url_rules
+from tidemark.llm import decontaminate, minhash, mixing, quality, sharding, token_counts, token_files, url_rules
 from tidemark.llm.staging import staged
 from tidemark.session import scratch_path
 
@@ -218,3 +218,9 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.question_and_answer(table(spark, sf_dir, "benchmark"))
     return decontaminate.leaks(table(spark, sf_dir, "documents"), items)
+
+
+@query("op3_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs).select("doc_id", "class_id", "class_size")
