@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, minhash, mixing, quality, sharding, token_counts, token_files, url_rules
+from tidemark.llm import decontaminate, minhash, mixing, quality, repeats, sharding, token_counts, token_files, url_rules
 from tidemark.llm.staging import staged
 from tidemark.session import scratch_path
 
@@ -224,3 +224,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc_id", "class_id", "class_size")
+
+
+@query("op5_repeated_strings")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("rest.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
