@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, minhash, mixing, quality, repeats, sharding, token_counts, token_files, url_rules
+from tidemark.llm import decontaminate, lm, minhash, mixing, quality, repeats, sharding, token_counts, token_files, url_rules
 from tidemark.llm.staging import staged
 from tidemark.session import scratch_path
 
@@ -232,3 +232,8 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("rest.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op10_lm_scores")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
