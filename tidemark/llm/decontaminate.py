@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import WHITE, flat, groups_of_bytes, hash_words, owners, word_edges
@@ -287,21 +288,26 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     return out.withColumnRenamed("doc_id", key)
 
 
+def _leaking(shared: Broadcast):
+    """A column function: whether a text holds an item of the broadcast index."""
+
+    @F.arrow_udf("boolean")
+    def leaking(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            data, offsets = flat(texts)
+            out = np.zeros(len(texts), bool)
+            for i, j in groups_of_bytes(offsets, BATCH_BYTES):
+                part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                out[[i + pair[0] for pair in matches(shared.value, *part)]] = True
+            yield pa.array(out)
+
+    return leaking
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no test item, unchanged; see ``leaks``."""
     let_workers_import(docs.sparkSession)
     for index in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.arrow_udf("boolean")
-        def leaking(batches: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            for texts in batches:
-                data, offsets = flat(texts)
-                out = np.zeros(len(texts), bool)
-                for i, j in groups_of_bytes(offsets, BATCH_BYTES):
-                    part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                    out[[i + pair[0] for pair in matches(shared.value, *part)]] = True
-                yield pa.array(out)
-
-        docs = docs.where(~leaking(F.col(text)))
+        docs = docs.where(~_leaking(shared)(F.col(text)))
     return docs
