@@ -296,7 +296,10 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, text: str = "t
     classes = near_duplicates(docs, similarity, text, key)
     kept = classes.groupBy("class_key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "text_key")).alias("first"))
     kept = staged(kept.select(F.col("first.k").alias("_k"), F.col("first.text_key").alias("_t")).distinct(), "kept")
-    rows = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "_text_key": text_key(F.col(text))})
-    rows = rows.join(kept, (F.col("_key") == F.col("_k")) & (F.col("_text_key") == F.col("_t")), "left_semi")
-    one = Window.partitionBy("_key", "_text_key").orderBy(F.lit(1))
-    return rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    rows = docs.select(
+        F.struct("*").alias("record"),
+        F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"), text_key(F.col(text)).alias("text_key"),
+    )
+    rows = rows.join(kept, (F.col("key") == F.col("_k")) & (F.col("text_key") == F.col("_t")), "left_semi")
+    one = Window.partitionBy("key", "text_key").orderBy(F.lit(1))
+    return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("record.*")

@@ -113,9 +113,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in COUNTS]
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(COUNTS))
 
-    found = docs.withColumn("_counts", counts(F.col(text)))
+    found = docs.select(F.struct("*").alias("record"), counts(F.col(text)).alias("counts")).select("record", "counts.*")
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return found.withColumns({c: F.col("_counts")[c] for c in COUNTS}).drop("_counts").withColumn("base_failed", failed)
+    return _beside(found.withColumn("base_failed", failed), docs, [*COUNTS, "base_failed"])
+
+
+def _beside(df: DataFrame, of: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``of``, which ``df`` holds as ``record``, and ``names``, which replace those of their name."""
+    return df.select(*[F.col("record")[c].alias(c) for c in of.columns if c not in names], *names)
 
 
 def rejects(rule: str, cutoff: Column | float) -> Column:
@@ -166,7 +171,8 @@ def certified_cutoffs(counts: DataFrame, labels: DataFrame, key: str = "doc_id",
     good = labels.groupBy(F.col(key).alias("_key")).agg(
         (F.coalesce((F.min("quality") == 1) & (F.max("toxic") == 0), F.lit(False))).alias("_good")
     )
-    held = counts.where(~F.col("base_failed")).join(good, F.col(key) == F.col("_key")).where("_good")
+    needed = counts.where(~F.col("base_failed")).select(F.col(key).alias("_own"), F.col(stratum).alias(stratum), *COUNTS)
+    held = needed.join(good, F.col("_own") == F.col("_key")).where("_good")
     sums = [F.count(F.lit(1)).alias("n")] + [
         F.array(*[F.count(F.when(rejects(rule, c), True)) for c in RULES[rule][3]]).alias(rule) for rule in RULES
     ]
@@ -199,8 +205,6 @@ def judged(counts: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Data
     bad = F.col("base_failed")
     for rule in RULES:
         bad = bad | rejects(rule, F.col(f"_{rule}"))
-    return (
-        counts.join(renamed, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-        .withColumn("kept", ~bad)
-        .drop("_stratum", *[f"_{rule}" for rule in RULES])
-    )
+    own = counts.select(F.struct("*").alias("record"), F.col(stratum).alias("_own"), "base_failed", *COUNTS)
+    found = own.join(renamed, F.col("_own").eqNullSafe(F.col("_stratum")), "left").withColumn("kept", ~bad)
+    return _beside(found, counts, ["kept"])

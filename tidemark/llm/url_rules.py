@@ -143,10 +143,14 @@ def judged(pages: DataFrame, rules=RULES, url: str = "url", otherwise: str = "al
 
     names = F.array(*[F.lit(r) for r, _ in ordered])
     verdicts = F.array(*[F.lit(v) for _, v in ordered])
-    return (
-        pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-        .withColumn("_rule", first_rule(F.concat(F.lit("."), "host", "path")))
-        .withColumn("rule", F.when(F.col("_rule") >= 0, F.get(names, F.col("_rule"))))
-        .withColumn("verdict", F.when(F.col("_rule") >= 0, F.get(verdicts, F.col("_rule"))).otherwise(otherwise))
-        .drop("_rule")
-    )
+    found = pages.select(
+        F.struct("*").alias("record"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
+    ).withColumn("at", first_rule(F.concat(F.lit("."), "host", "path")))
+    made = {
+        "host": F.col("host"),
+        "path": F.col("path"),
+        "rule": F.when(F.col("at") >= 0, F.get(names, F.col("at"))),
+        "verdict": F.when(F.col("at") >= 0, F.get(verdicts, F.col("at"))).otherwise(otherwise),
+    }
+    others = [F.col("record")[c].alias(c) for c in pages.columns if c not in made]
+    return found.select(*others, *[c.alias(n) for n, c in made.items()])
