@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import asof_last, count_in_ranges, number_within
-from tidemark.operators.registry import newest_first_page, newest_per_key
+from tidemark.operators.registry import newest_first_page, newest_per_key, replace_open
 from tidemark.operators.trees import held_out_rows, split_with_total
 
 ROWS = 900
@@ -38,11 +38,36 @@ def test_number_over_whole_table(frame, data):
     assert [r["id"] for r in sorted(got, key=lambda r: r["number"])] == order
 
 
-def test_deep_page_equals_plain_page(frame, monkeypatch):
-    plain = newest_first_page(frame, "at", "id", limit=20, offset=333).collect()
-    monkeypatch.setattr("tidemark.operators.registry.DEEP_PAGE", 10)
-    deep = newest_first_page(frame, "at", "id", limit=20, offset=333).collect()
-    assert sorted(r["id"] for r in deep) == sorted(r["id"] for r in plain) and len(deep) == 20
+def test_later_pages_come_in_order(frame, data):
+    order = [i for _, i in sorted(((r[1], r[2]) for r in data), reverse=True)]
+    got = newest_first_page(frame, "at", "id", limit=20, offset=333).collect()
+    assert [r["id"] for r in got] == order[333:353]
+
+
+def test_null_keys_and_times_stay(spark):
+    rows = [(None, 1, 1), (None, 2, 2), ("a", None, 3), ("a", 5, 4)]
+    df = spark.createDataFrame(rows, "k string, at long, id long")
+    numbered = {r["id"]: r["number"] for r in number_within(df, ["k"], [F.col("at"), F.col("id")]).collect()}
+    assert numbered == {1: 1, 2: 2, 3: 1, 4: 2}
+    found = asof_last(df, "k", ["at", "id"], F.floor(F.col("at") / 20), F.col("id") < 4, F.col("id"), "found")
+    assert {r["id"]: r["found"] for r in found.collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+    ranges = spark.createDataFrame([(1, "a", 0, 9), (2, None, 0, 9), (3, "a", None, 9), (4, "b", 0, 9)], "r long, k string, low long, high long")
+    counted = count_in_ranges(df, ranges, "k", "r", "at", "low", "high", 4)
+    assert {r["r"]: r["matches"] for r in counted.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def test_more_rows_per_key_than_the_group_limit(spark):
+    df = spark.range(5000).selectExpr("id % 2 AS k", "id")
+    got = newest_per_key(df, ["k"], [F.col("id").desc()], rows=1001)
+    assert "WindowGroupLimit" not in got._jdf.queryExecution().toString()
+    assert sorted(r["id"] for r in got.collect()) == list(range(2998, 5000))
+
+
+def test_regeneration_keeps_other_rows_once(spark):
+    existing = spark.createDataFrame([(1, "open"), (1, "done"), (1, None), (2, "open"), (None, "open")], "workspace_id long, status string")
+    twice = spark.createDataFrame([(1,), (1,)], "workspace_id long")
+    got = replace_open(existing, existing.limit(0), twice).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in existing.collect() if (r[0], r[1]) != (1, "open")]))
 
 
 def test_page_limits(frame):

@@ -1,6 +1,7 @@
 """Streams over many micro-batches equal the batch result."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as batch
@@ -57,23 +58,38 @@ def test_bounded_latency(spark, folder):
     assert rows(spark.read.parquet(f"{target}/batch={last}")) == before
 
 
-def test_window_counts(spark, folder):
+@pytest.fixture
+def newest_first(spark):
+    """Three files, the newest days in the first, and one repeated."""
+    path = scratch_path(spark, "late")
+    events = spark.read.parquet(SOURCE)
+    for low, high in ((0.66, 1.1), (0.33, 0.66), (0.0, 0.33), (0.66, 1.1)):
+        part = events.withColumn("_p", F.percent_rank().over(Window.orderBy("ts"))).where(f"_p >= {low} AND _p < {high}").drop("_p")
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_late_windows_are_counted(spark, newest_first):
     target, state = scratch_path(spark, "t"), scratch_path(spark, "s")
-    counts = metrics.windowed_counts(stream(spark, folder), delay="60 days")
-    metrics.start(counts, metrics.write_version(target), state, "update").awaitTermination()
-    got = metrics.latest_rows(spark, target, ["window_start", "event_type"])
-    assert got.agg(F.sum("events")).first()[0] == spark.read.parquet(SOURCE).count()
+    events = metrics.stream_parquet(spark, newest_first, "*.parquet", 1)
+    metrics.start(events, metrics.batch_windows(target), state, "append").awaitTermination()
+    got = metrics.summed_windows(spark, target)
+    assert got.agg(F.sum("events")).first()[0] == spark.read.parquet(newest_first).count()
 
 
-def test_audit_sink_drops_repeats(spark, folder):
+def test_audit_sink_keeps_late_events_and_drops_repeats(spark, newest_first):
     target, state = scratch_path(spark, "t"), scratch_path(spark, "s")
-    spark.read.parquet(SOURCE).limit(20).coalesce(1).write.mode("append").parquet(folder + "-again")
-    spark.read.parquet(SOURCE).coalesce(1).write.mode("append").parquet(folder + "-again")
-    events = metrics.stream_parquet(spark, folder + "-again", "*.parquet", 1).withColumn("event_type", F.expr(EVENT_TYPE))
-    metrics.start(audit.distinct_events(events, "60 days"), audit.audit_writer(target), state, "append").awaitTermination()
+    events = metrics.stream_parquet(spark, newest_first, "*.parquet", 1).withColumn("event_type", F.expr(EVENT_TYPE))
+    metrics.start(events, audit.append_new_events(target), state, "append").awaitTermination()
     written = spark.read.parquet(target)
     assert written.count() == spark.read.parquet(SOURCE).count()
     assert written.where("stream = 'metadata' AND event_type NOT LIKE 'metadata.%'").count() == 0
+    audit.append_new_events(target)(events_of(spark, newest_first), 1)
+    assert spark.read.parquet(target).select("event_id").distinct().count() == spark.read.parquet(SOURCE).count()
+
+
+def events_of(spark, path):
+    return spark.read.parquet(path).withColumn("event_type", F.expr(EVENT_TYPE))
 
 
 def test_quantile_of_one_to_ten(spark):

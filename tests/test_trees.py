@@ -18,7 +18,10 @@ def test_classifier(spark, write, tmp_path):
     assert 0 <= got.test_score <= 1 and got.train_score == 1.0 and len(got.importances) >= 1
     assert got.overfit_detected == (got.train_score - got.test_score > 0.15)
     again = trees.score_model(raw, ["feature_1", "feature_2"], path)
-    assert again.count() == 6
+    assert {r["predicted"] for r in again.collect()} <= {"A", "B"} and again.count() == 6
+    trees.record_run(spark, got, "one", f"{path}-runs")
+    trees.record_run(spark, got, "two", f"{path}-runs")
+    assert {r["artifact"] for r in spark.read.parquet(f"{path}-runs").collect()} == {"one", "two"}
 
 
 def test_regressor(spark):
@@ -51,8 +54,7 @@ def test_refusals(spark, write):
         trees.train_model(raw, "label", "regression", "id")
 
 
-def test_too_many_text_values_are_refused_not_cut(spark):
-    df = spark.range(50).selectExpr("id", "concat('v', id) AS word", "id % 2 AS y")
-    cells = trees.coerce_features(df, ["word"])
-    with pytest.raises(ValueError, match="Too many text values"):
-        trees.encoding_for(cells, ["word"], max_categories=10)
+def test_many_text_values_train(spark):
+    df = spark.range(12_000).selectExpr("id", "concat('v', id) AS word", "IF(id % 2 = 0, 'even', 'odd') AS parity", "id % 2 AS bit")
+    got = trees.train_model(df, "parity", "classification", "id")
+    assert got.test_score == 1.0 and [n for n, _ in got.importances] == ["bit"]

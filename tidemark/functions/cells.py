@@ -47,7 +47,9 @@ def to_long(text: Column) -> Column:
 
 def to_double(text: Column) -> Column:
     """Floating-point value, or null when the text is not a number."""
-    return F.when(is_number(text), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    plain = F.replace(text, F.lit("_"), F.lit(""))
+    signed_nan = F.lower(plain).isin("+nan", "-nan")
+    return F.when(is_number(text), F.when(signed_nan, F.lit(float("nan"))).otherwise(plain.try_cast("double")))
 
 
 def as_text(name: str, dtype: T.DataType) -> Column:

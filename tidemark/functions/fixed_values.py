@@ -23,7 +23,6 @@ PAGE_MAXIMUM = 1000
 EVENT_PAGE_DEFAULT = 100
 EVENT_PAGE_MAXIMUM = 500
 LATENCY_SAMPLES = 200
-RECENT_KEPT = 500
 RECENT_SHOWN = 20
 BUSIEST_PATHS = 10
 PREVIEW_ROWS = 5

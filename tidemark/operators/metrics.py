@@ -48,7 +48,7 @@ def last_n_per_path(log: DataFrame, n: int = fixed.LATENCY_SAMPLES) -> DataFrame
 
 def recent_requests(log: DataFrame, n: int = fixed.RECENT_SHOWN) -> DataFrame:
     """The newest ``n`` requests overall."""
-    return log.orderBy(*_newest()).limit(min(n, fixed.RECENT_KEPT))
+    return log.orderBy(*_newest()).limit(n)
 
 
 def rank_quantile(values: Column, quantile: float = 0.95) -> Column:

@@ -7,12 +7,19 @@ pieces, and carries a small summary (one row per piece) from piece to piece.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir
 
 
+def same_keys(left: list[str], right: list[str]) -> Column:
+    """Equality of keys under which null equals null, so that no row is lost by a join back."""
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
 def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "number") -> DataFrame:
     """Exact 1, 2, 3 … per key in ``order``, for keys of any size; without keys, over the whole table.
 
@@ -31,14 +38,19 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str
     offsets = (
         ranged.groupBy(*keys, "_piece")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_piece", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            *[F.col(k).alias(f"_at_{k}") for k in keys],
+            F.col("_piece").alias("_at_piece"),
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        )
     )
+    there = [f"_at_{k}" for k in keys]
     within = Window.partitionBy(*keys, "_piece").orderBy(*order)
     return (
         ranged.withColumn("_n", F.row_number().over(within))
-        .join(offsets, [*keys, "_piece"])
+        .join(offsets, same_keys([*keys, "_piece"], [*there, "_at_piece"]))
         .withColumn(name, F.col("_n") + F.col("_offset"))
-        .drop("_piece", "_n", "_offset")
+        .drop("_piece", "_n", "_offset", "_at_piece", *there)
     )
 
 
@@ -50,7 +62,8 @@ def asof_last(
 
     ``strict`` leaves the row itself out, which gives the previous source row.
     ``piece`` must rise with ``order`` (such as the hour of the time column): a piece of a key
-    is sorted in one task, and the newest value of each piece is carried to the next ones.
+    is sorted in one task, and the newest value of each piece is carried to the next ones. Rows with
+    a null key form a key of their own; null times come first.
     """
     pieces = df.withColumn("_piece", piece).withColumn("_source", F.when(is_source, value))
     within = Window.partitionBy(key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
@@ -58,13 +71,16 @@ def asof_last(
     carried = (
         pieces.groupBy(key, "_piece")
         .agg(F.max_by("_source", F.when(F.col("_source").isNotNull(), F.struct(*order))).alias("_newest"))
-        .select(key, "_piece", F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
+        .select(
+            F.col(key).alias("_at_key"), F.col("_piece").alias("_at_piece"),
+            F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"),
+        )
     )
     return (
         pieces.withColumn("_here", F.last("_source", ignorenulls=True).over(within))
-        .join(carried, [key, "_piece"])
+        .join(carried, same_keys([key, "_piece"], ["_at_key", "_at_piece"]))
         .withColumn(name, F.coalesce("_here", "_carried"))
-        .drop("_piece", "_source", "_here", "_carried")
+        .drop("_piece", "_source", "_here", "_carried", "_at_key", "_at_piece")
     )
 
 
@@ -75,40 +91,42 @@ def count_in_ranges(
     """``range_id`` and how many of the key's points lie in (low, high]: a range join that is counted.
 
     Positions are whole numbers. The count is the running count at ``high`` less that at
-    ``low``, so no pair of rows is ever built. Points and range ends at one position collapse
-    first; a key is cut into pieces of ``width`` positions.
+    ``low``, so no pair of rows is ever built. Points at one position collapse first; range ends
+    stand among them as rows, so the ranges are read once. A key is cut into pieces of ``width``
+    positions. A range with a null key or end matches nothing and counts 0.
     """
+    known = points.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    held = known.groupBy(key, F.col(at).alias("_at")).agg(F.count(F.lit(1)).alias("_points"))
     ends = ranges.select(
-        range_id,
-        key,
+        F.col(range_id).alias("_range"),
+        F.col(key),
+        F.col(key).isNotNull() & F.col(low).isNotNull() & F.col(high).isNotNull(),
         F.inline(
             F.array(
                 F.struct(F.col(low).alias("_at"), F.lit(-1).alias("_sign")),
                 F.struct(F.col(high).alias("_at"), F.lit(1).alias("_sign")),
             )
         ),
-    )
-    line = (
-        points.select(key, F.col(at).alias("_at"), F.lit(1).alias("_point"))
-        .unionByName(ends.select(key, "_at", F.lit(0).alias("_point")))
-        .groupBy(key, "_at")
-        .agg(F.sum("_point").alias("_points"))
-        .withColumn("_piece", F.floor(F.col("_at") / width))
+    ).toDF("_range", key, "_usable", "_at", "_sign")
+    # A range that can match nothing keeps its rows and takes no part in the counting.
+    ends = ends.withColumn("_sign", F.when(F.col("_usable"), F.col("_sign")).otherwise(0)).drop("_usable")
+    line = held.unionByName(ends.withColumn("_points", F.lit(0).cast("bigint")), allowMissingColumns=True).withColumn(
+        "_piece", F.floor(F.col("_at") / width)
     )
     earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         line.groupBy(key, "_piece")
         .agg(F.sum("_points").alias("_rows"))
-        .select(key, "_piece", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    within = Window.partitionBy(key, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    running = (
-        line.withColumn("_here", F.sum("_points").over(within))
-        .join(offsets, [key, "_piece"])
-        .select(key, "_at", (F.col("_here") + F.col("_offset")).alias("_upto"))
+        .select(
+            F.col(key).alias("_at_key"), F.col("_piece").alias("_at_piece"),
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
+        )
     )
+    within = Window.partitionBy(key, "_piece").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
     return (
-        ends.join(running, [key, "_at"])
-        .groupBy(range_id)
-        .agg(F.sum(F.col("_sign") * F.col("_upto")).alias(name))
+        line.withColumn("_here", F.sum("_points").over(within))
+        .where(F.col("_sign").isNotNull())
+        .join(offsets, same_keys([key, "_piece"], ["_at_key", "_at_piece"]))
+        .groupBy(F.col("_range").alias(range_id))
+        .agg(F.sum(F.col("_sign") * (F.col("_here") + F.col("_offset"))).alias(name))
     )

@@ -22,11 +22,6 @@ from tidemark.functions.cells import (
 )
 from tidemark.operators.ordered import asof_last
 
-COLUMNS_PER_PASS = 100
-KEY_COLUMNS = 16
-
-_FIXED_WIDTH = INTEGRAL + FLOATING + TEMPORAL + (T.BooleanType,)
-
 _COLUMN_STRUCT = "struct<name:string,missing:bigint,sample_size:bigint,inferred_type:string>"
 
 
@@ -48,21 +43,17 @@ def _checks(field: T.StructField) -> tuple[Column, Column, Column]:
 def profile_columns(df: DataFrame) -> DataFrame:
     """One row per column: position, name, missing, sample_size, inferred_type.
 
-    A plain aggregate per slice of columns: nothing but one row per task is shuffled.
+    One plain aggregate over all columns: nothing but one row per task is shuffled.
     """
-    slices = []
-    fields = list(enumerate(df.schema.fields))
-    for start in range(0, len(fields), COLUMNS_PER_PASS):
-        part = fields[start : start + COLUMNS_PER_PASS]
-        totals = [F.count(F.lit(1)).alias("n")]
-        for i, field in part:
-            missing, not_integer, not_number = _checks(field)
-            totals += [
-                F.count_if(missing).alias(f"m{i}"),
-                F.count_if(not_integer).alias(f"i{i}"),
-                F.count_if(not_number).alias(f"f{i}"),
-            ]
-        rows = [
+    totals, rows = [F.count(F.lit(1)).alias("n")], []
+    for i, field in enumerate(df.schema.fields):
+        missing, not_integer, not_number = _checks(field)
+        totals += [
+            F.count_if(missing).alias(f"m{i}"),
+            F.count_if(not_integer).alias(f"i{i}"),
+            F.count_if(not_number).alias(f"f{i}"),
+        ]
+        rows.append(
             F.struct(
                 F.lit(i).alias("position"),
                 F.lit(field.name).alias("name"),
@@ -74,52 +65,32 @@ def profile_columns(df: DataFrame) -> DataFrame:
                 .otherwise("string")
                 .alias("inferred_type"),
             )
-            for i, field in part
-        ]
-        slices.append(df.agg(*totals).where("n > 0").select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, slices)
+        )
+    return df.agg(*totals).where("n > 0").select(F.inline(F.array(*rows)))
 
 
-def short_key(text: Column) -> Column:
-    """Text that equals another's exactly when the texts are equal, at most 64 bytes per cell.
+def row_digest(schema: T.StructType) -> Column:
+    """32 bytes that rows share exactly when all their normalised cells are equal.
 
-    Longer text is replaced by its 64-digit SHA-256; shorter text is never that long.
+    Each cell carries its length, so cells cannot run together. Zero has no sign.
     """
-    return F.when(F.octet_length(text) < 64, text).otherwise(F.sha2(text, 256))
-
-
-def folded_key(names: list[str], schema: T.StructType) -> Column:
-    """SHA-256 of several cells; each carries its length so cells cannot run together."""
     parts = []
-    for name in names:
-        text = as_text(name, schema[name].dataType)
+    for field in schema.fields:
+        text = as_text(field.name, field.dataType)
+        if isinstance(field.dataType, FLOATING):
+            text = F.coalesce((column(field.name) + F.lit(0.0)).cast("string"), F.lit(""))
         parts += [F.length(text).cast("string"), F.lit(":"), text]
-    return F.sha2(F.concat(*parts), 256)
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def row_totals(df: DataFrame) -> DataFrame:
     """One row: row_count, distinct_rows, blank_rows over normalised rows.
 
     Copies collapse before the shuffle, so a row repeated in a third of the table costs one
-    record per task. Records stay small: fixed-width cells move as they are, long text as a
-    digest, and columns beyond KEY_COLUMNS as one digest together.
+    record per task, and a record is a 32-byte digest, whatever the width of the table.
     """
-    schema = df.schema
-    own, folded = schema.fields[:KEY_COLUMNS], [f.name for f in schema.fields[KEY_COLUMNS:]]
-    keys, blank = [], []
-    for i, field in enumerate(own):
-        if isinstance(field.dataType, _FIXED_WIDTH):
-            cell = column(field.name)
-            blank.append(cell.isNull())
-        else:
-            text = as_text(field.name, field.dataType)
-            cell = short_key(text)
-            blank.append(text == "")
-        keys.append(cell.alias(f"k{i}"))
-    if folded:
-        keys.append(folded_key(folded, schema).alias("rest"))
-        blank += [as_text(n, schema[n].dataType) == "" for n in folded]
-    rows = df.select(*keys, reduce(Column.__and__, blank).alias("blank"))
+    blank = reduce(Column.__and__, [as_text(f.name, f.dataType) == "" for f in df.schema.fields])
+    rows = df.select(row_digest(df.schema).alias("row"), blank.alias("blank"))
     return (
         rows.groupBy(*rows.columns)
         .agg(F.count(F.lit(1)).alias("copies"))

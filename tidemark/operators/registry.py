@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fixed
 from tidemark.operators.ordered import number_within
 
-DEEP_PAGE = 100_000
+#: Spark cuts a task's rows per key before the shuffle up to this many.
+GROUP_LIMIT = 1000
 
 # --- filters -------------------------------------------------------------------------
 
@@ -41,19 +42,18 @@ def newest_first_page(
 ) -> DataFrame:
     """One page in newest-first order; ties fall back to the key.
 
-    Spark keeps the first ``offset + limit`` rows of every task for a plain page. Past DEEP_PAGE
-    rows that would grow too large, so positions come from a distributed sort instead.
+    For the first page every task keeps ``limit`` rows at most. Later pages take their rows by
+    position in a distributed sort, so that memory does not grow with ``offset``.
     """
     if not 1 <= limit <= fixed.PAGE_MAXIMUM:
         raise ValueError(f"limit must be between 1 and {fixed.PAGE_MAXIMUM}")
     if offset < 0:
         raise ValueError("offset must not be negative")
     order = [F.col(created_at).desc_nulls_last(), F.col(key).desc_nulls_last()]
-    if offset + limit > DEEP_PAGE:
+    if offset:
         wanted = F.col("_position").between(offset + 1, offset + limit)
-        return number_within(df, [], order, "_position").where(wanted).drop("_position")
-    ordered = df.orderBy(*order)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+        return number_within(df, [], order, "_position").where(wanted).orderBy("_position").drop("_position")
+    return df.orderBy(*order).limit(limit)
 
 
 def metadata_events_page(
@@ -84,8 +84,12 @@ def newest_per_key(
     Spark cuts every task's input to ``rows`` per key before the shuffle, so a hot key moves no
     more than that from each task. With few keys and many tasks the survivors still add up;
     ``spread`` cuts them once more in that many groups per key. Which task held a row does not
-    affect the result.
+    affect the result. Above GROUP_LIMIT rows Spark makes no such cut; ranks then come from a
+    range-partitioned numbering, which spreads a hot key.
     """
+    if rows > GROUP_LIMIT:
+        ranked = number_within(df, keys, order, "_rank").where(F.col("_rank") <= rows)
+        return ranked.withColumn(rank, F.col("_rank").cast("int")).drop("_rank") if rank else ranked.drop("_rank")
     if spread > 1:
         group = Window.partitionBy(*keys, "_group").orderBy(*order)
         df = (
@@ -209,12 +213,13 @@ def next_action(dataset_count: Column, latest_name: Column) -> Column:
 def replace_open(existing: DataFrame, fresh: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Recommendations after regeneration: open ones of these workspaces go, all others stay, fresh ones join.
 
-    ``workspaces``: the workspace ids that were regenerated.
+    ``workspaces``: the workspace ids that were regenerated, in any number of copies. A
+    recommendation without a status is not open.
     """
-    redone = workspaces.select("workspace_id", F.lit(True).alias("_redone"))
+    redone = workspaces.select("workspace_id").distinct().withColumn("_redone", F.lit(True))
     kept = (
         existing.join(redone, "workspace_id", "left")
-        .where(F.col("_redone").isNull() | (F.col("status") != "open"))
+        .where(F.col("_redone").isNull() | ~F.col("status").eqNullSafe("open"))
         .drop("_redone")
     )
     return kept.unionByName(fresh)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +10,7 @@ from tidemark.functions.cells import FLOATING, INTEGRAL, TEMPORAL, as_text, colu
 
 STATISTICS = [
     "position", "name", "data_type", "row_count", "non_null_count", "null_count", "distinct_count",
-    "min_num", "max_num", "mean_num", "min_str", "max_str",
+    "min_num", "max_num", "mean_num", "min_str", "max_str", "min_exact", "max_exact",
 ]
 
 
@@ -34,74 +32,69 @@ def _cell(field: T.StructField, family: str) -> Column:
     return column(field.name).cast(family)
 
 
+def _value_key(field: T.StructField) -> Column:
+    """At most 32 bytes that values share exactly when they are equal; null for a missing cell.
+
+    Longer text is replaced by its SHA-256, which no shorter text can equal. Zero has no sign.
+    """
+    cell = _cell(field, _family(field.dataType)) if _family(field.dataType) == "string" else column(field.name)
+    if isinstance(field.dataType, FLOATING):
+        cell = cell + F.lit(0.0)
+    text = cell.cast("string")
+    return F.when(F.octet_length(text) < 32, F.encode(text, "UTF-8")).otherwise(F.unhex(F.sha2(text, 256)))
+
+
 def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column (see STATISTICS); empty when the table has no rows.
 
-    Cells are unpivoted by type family and counted per (column, value), so repeated values
-    collapse before the one shuffle and every statistic comes from the counted values. The
-    plan does not grow with the number of columns.
+    Counts, ranges and means come from one plain aggregate, which shuffles a row per task. Only the exact
+    distinct counts shuffle values, as keys of 32 bytes at most that collapse before the shuffle.
+    ``min_exact`` and ``max_exact`` hold a numeric column's range in its own type, as text.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    position = {f.name: i for i, f in enumerate(fields)}
-    branches = []
-    for family in ("bigint", "double", "timestamp_ntz", "string"):
-        members = [f for f in fields if _family(f.dataType) == family]
-        if not members:
-            continue
-        cells = df.select(
-            F.inline(
-                F.array(
-                    *[F.struct(F.lit(position[f.name]).alias("position"), _cell(f, family).alias("value")) for f in members]
-                )
-            )
-        )
-        counted = cells.groupBy("position", "value").agg(F.count(F.lit(1)).alias("copies"))
-        value, copies = F.col("value"), F.col("copies")
-        present = F.sum(F.when(value.isNotNull(), copies))
-        words, number = F.lit(0), value.cast("double") if family in ("bigint", "double") else F.lit(None).cast("double")
-        first, last = F.min(value), F.max(value)
+    totals, rows = [F.count(F.lit(1)).alias("rows")], []
+    for i, field in enumerate(fields):
+        family, cell, words = _family(field.dataType), column(field.name), F.lit(0)
         if family == "string":
-            words, number = F.count_if(value.isNotNull() & ~is_number(value)), to_double(value)
+            cell = _cell(field, family)
+            words, number = F.count_if(cell.isNotNull() & ~is_number(cell)), to_double(cell)
         elif family == "timestamp_ntz":
-            words = F.count(value)
-            dates = [position[f.name] for f in members if isinstance(f.dataType, T.DateType)]
-            first, last = (
-                F.when(F.col("position").isin(dates), t.cast("date").cast("string")).otherwise(t.cast("string"))
-                for t in (first, last)
-            )
-        text_range = [first.cast("string").alias("min_text"), last.cast("string").alias("max_text")]
-        branches.append(
-            counted.groupBy("position").agg(
-                F.sum(copies).alias("row_count"),
-                F.coalesce(present, F.lit(0)).alias("non_null_count"),
-                F.count(value).alias("distinct_count"),
-                words.alias("words"),
-                F.min(number).alias("low"),
-                F.max(number).alias("high"),
-                (F.sum(number * copies) / present).alias("mean"),
-                *text_range,
+            words, number = F.count(cell), F.lit(None).cast("double")
+            cell = cell if isinstance(field.dataType, T.DateType) else cell.cast("timestamp_ntz")
+        else:
+            number = cell
+        low, high = F.min(number), F.max(number)
+        totals += [
+            F.count(cell).alias(f"n{i}"), words.alias(f"w{i}"),
+            low.cast("double").alias(f"l{i}"), high.cast("double").alias(f"h{i}"), F.avg(number).cast("double").alias(f"m{i}"),
+            F.min(cell).cast("string").alias(f"a{i}"), F.max(cell).cast("string").alias(f"z{i}"),
+            low.cast("string").alias(f"le{i}"), high.cast("string").alias(f"he{i}"),
+        ]
+        present, numeric = F.col(f"n{i}"), (F.col(f"w{i}") == 0) & (F.col(f"n{i}") > 0)
+        kind = F.when(numeric, "number").otherwise("datetime" if family == "timestamp_ntz" else "string")
+        rows.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(field.name).alias("name"),
+                kind.alias("data_type"),
+                F.col("rows").alias("row_count"),
+                present.alias("non_null_count"),
+                (F.col("rows") - present).alias("null_count"),
+                *[F.when(numeric, F.col(f"{c}{i}")).alias(n) for c, n in (("l", "min_num"), ("h", "max_num"), ("m", "mean_num"))],
+                *[F.when(~numeric, F.col(f"{c}{i}")).alias(n) for c, n in (("a", "min_str"), ("z", "max_str"))],
+                *[F.when(numeric, F.col(f"{c}{i}")).alias(n) for c, n in (("le", "min_exact"), ("he", "max_exact"))],
             )
         )
-    temporal = [position[f.name] for f in fields if isinstance(f.dataType, TEMPORAL)]
-    names = F.array(*[F.lit(f.name) for f in fields])
-    numeric = (F.col("words") == 0) & (F.col("non_null_count") > 0)
-    return reduce(DataFrame.unionByName, branches).select(
-        "position",
-        F.element_at(names, F.col("position") + 1).alias("name"),
-        F.when(numeric, "number")
-        .when(F.col("position").isin(temporal), "datetime")
-        .otherwise("string")
-        .alias("data_type"),
-        "row_count",
-        "non_null_count",
-        (F.col("row_count") - F.col("non_null_count")).alias("null_count"),
-        "distinct_count",
-        F.when(numeric, F.col("low")).alias("min_num"),
-        F.when(numeric, F.col("high")).alias("max_num"),
-        F.when(numeric, F.col("mean")).alias("mean_num"),
-        F.when(~numeric, F.col("min_text")).alias("min_str"),
-        F.when(~numeric, F.col("max_text")).alias("max_str"),
+    figures = df.agg(*totals).where("rows > 0").select(F.inline(F.array(*rows)))
+    keys = F.array(*[F.struct(F.lit(i).alias("position"), _value_key(f).alias("value")) for i, f in enumerate(fields)])
+    distinct = (
+        df.select(F.inline(keys))
+        .where("value IS NOT NULL")
+        .distinct()
+        .groupBy("position")
+        .agg(F.count(F.lit(1)).alias("distinct_count"))
     )
+    return figures.join(distinct, "position", "left").na.fill(0, ["distinct_count"]).select(*STATISTICS)
 
 
 def approximate_statistics(df: DataFrame, relative_error: float = 0.02) -> DataFrame:

@@ -7,17 +7,17 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
 from tidemark.functions.cells import as_text, column, is_number, to_double
+from tidemark.session import scratch_path
 
 SEED = 42
 TEST_SHARE = 0.33
-MAX_CATEGORIES = 10_000
 SPLIT_BITS = 16
 
 
@@ -115,25 +115,22 @@ class Encoding:
     textual: list[str]
 
 
-def encoding_for(df: DataFrame, features: list[str], max_categories: int = MAX_CATEGORIES) -> Encoding:
+def encoding_for(df: DataFrame, features: list[str]) -> Encoding:
     """Choose stages per feature: a value slot if any cell is numeric, one slot per text value.
 
-    One aggregate decides. Text values become columns, so their number is checked first;
-    a feature with more than ``max_categories`` of them is refused rather than cut.
+    One aggregate decides. The model's artifact lists every text value, so the driver holds
+    the distinct values of the features, but no row.
     """
     checks = []
     for name in features:
         text = column(f"{name}#text")
         checks += [
             F.count_if(text.isNull()).alias(f"n:{name}"),
-            F.approx_count_distinct(text).alias(f"t:{name}"),
+            F.count(text).alias(f"t:{name}"),
         ]
     found = df.agg(*checks).first().asDict()
     numeric = [n for n in features if found[f"n:{n}"]]
     textual = [n for n in features if found[f"t:{n}"]]
-    wide = [n for n in textual if found[f"t:{n}"] > max_categories]
-    if wide:
-        raise ValueError(f"Too many text values to encode in: {', '.join(wide)} (limit {max_categories})")
     stages: list = []
     if textual:
         indexed, slots = [f"{n}#index" for n in textual], [f"{n}#slots" for n in textual]
@@ -203,17 +200,11 @@ def overfit(train: Column, test: Column) -> Column:
     return (train - test) > fixed.OVERFIT_GAP
 
 
-def check_labels(rows: DataFrame, task: str) -> None:
-    """Refuse a regression target that is not numeric, or more classes than can be indexed."""
-    label = F.col("_label")
-    if task == "regression":
-        bad = rows.agg(F.count_if(label.isNull()).alias("n")).first()["n"]
-        if bad:
-            raise ValueError(f"{bad} target values are not numbers")
-        return
-    classes = rows.agg(F.approx_count_distinct(label).alias("n")).first()["n"]
-    if classes > MAX_CATEGORIES:
-        raise ValueError(f"Too many classes in the target (limit {MAX_CATEGORIES})")
+def check_labels(rows: DataFrame) -> None:
+    """Refuse a regression target that is not numeric."""
+    bad = rows.agg(F.count_if(F.col("_label").isNull()).alias("n")).first()["n"]
+    if bad:
+        raise ValueError(f"{bad} target values are not numbers")
 
 
 def train_model(
@@ -227,34 +218,37 @@ def train_model(
         raise ValueError("Dataset is empty" if df.isEmpty() else f"Target column '{target}' was not found")
     features = [n for n in df.columns if n not in (target, key)]
     labelled = _labelled(drop_unlabelled(df, target), target, task).select(key, "_label", *features)
-    cells = coerce_features(labelled, features).persist()
-    try:
-        rows, total = split_with_total(cells, key)
-        if total == 0 and df.isEmpty():
-            raise ValueError("Dataset is empty")
-        if total < 2:
-            raise ValueError("Need at least two labeled rows to train a model")
-        check_labels(rows, task)
-        encoding = encoding_for(rows, features)
-        stages = list(encoding.stages)
-        settings = {
-            "featuresCol": "features", "maxDepth": max_depth, "minInstancesPerNode": 1, "seed": SEED,
-            "maxBins": 32, "maxMemoryInMB": 1024,
-        }
-        if task == "regression":
-            tree = DecisionTreeRegressor(labelCol="_label", **settings)
-        else:
-            stages.append(StringIndexer(inputCol="_label", outputCol="label_index", stringOrderType="alphabetAsc"))
-            tree = DecisionTreeClassifier(labelCol="label_index", **settings)
-        # Encoders learn from all rows, the tree only from the training part.
-        encoder = Pipeline(stages=stages).fit(rows)
-        encoded = encoder.transform(rows)
-        fitted = tree.fit(encoded.where(~F.col("is_test")))
-        by_part = {r["is_test"]: r["score"] for r in scores(fitted.transform(encoded), task).collect()}
-        model = PipelineModel(encoder.stages + [fitted])
-        names = feature_names(encoder, encoding)
-    finally:
-        cells.unpersist()
+    # Read many times: a table in the shared folder outlives executors.
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "training")
+    coerce_features(labelled, features).write.parquet(path)
+    rows, total = split_with_total(spark.read.parquet(path), key)
+    if total == 0 and df.isEmpty():
+        raise ValueError("Dataset is empty")
+    if total < 2:
+        raise ValueError("Need at least two labeled rows to train a model")
+    if task == "regression":
+        check_labels(rows)
+    encoding = encoding_for(rows, features)
+    stages = list(encoding.stages)
+    settings = {
+        "featuresCol": "features", "maxDepth": max_depth, "minInstancesPerNode": 1, "seed": SEED,
+        "maxBins": 32, "maxMemoryInMB": 1024,
+    }
+    if task == "regression":
+        tree = DecisionTreeRegressor(labelCol="_label", **settings)
+    else:
+        stages.append(StringIndexer(inputCol="_label", outputCol="label_index", stringOrderType="alphabetAsc"))
+        tree = DecisionTreeClassifier(labelCol="label_index", **settings)
+    # Encoders learn from all rows, the tree only from the training part.
+    encoder = Pipeline(stages=stages).fit(rows)
+    encoded = encoder.transform(rows)
+    fitted = tree.fit(encoded.where(~F.col("is_test")))
+    by_part = {r["is_test"]: r["score"] for r in scores(fitted.transform(encoded), task).collect()}
+    answer = []
+    if task != "regression":
+        answer = [IndexToString(inputCol="prediction", outputCol="predicted", labels=encoder.stages[-1].labels)]
+    model = PipelineModel(encoder.stages + [fitted] + answer)
+    names = feature_names(encoder, encoding)
     weights = fitted.featureImportances.toArray()
     ranked = sorted(((n, float(w)) for n, w in zip(names, weights) if w > 0), key=lambda item: -item[1])
     train, test = float(by_part.get(False, math.nan)), float(by_part.get(True, math.nan))
@@ -280,8 +274,21 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def record_run(spark: SparkSession, trained: TrainedTree, artifact: str, path: str) -> None:
+    """Append a training run's row to the registry table at ``path``."""
+    row = (trained.model_type, trained.metric_name, trained.train_score, trained.test_score, trained.overfit_detected, artifact)
+    schema = (
+        "model_type string, metric_name string, train_score double, test_score double, overfit_detected boolean, artifact string"
+    )
+    runs = spark.createDataFrame([row], schema).withColumns({"metric_value": F.col("test_score"), "created_at": F.current_timestamp()})
+    runs.coalesce(1).write.mode("append").parquet(path)
+
+
 def score_model(df: DataFrame, features: list[str], path: str) -> DataFrame:
-    """Predictions of a stored model for new rows; text values never seen count as none."""
+    """Predictions of a stored model for new rows; text values never seen count as none.
+
+    ``prediction`` is the number of the class or the predicted value; a classifier's label is ``predicted``.
+    """
     model = PipelineModel.load(path)
     stages = [s for s in model.stages if not (s.__class__.__name__ == "StringIndexerModel" and s.isSet("inputCol"))]
     return PipelineModel(stages).transform(coerce_features(df, features))

@@ -149,8 +149,10 @@ statement(
 )
 statement(
     "sql_approx_distinct", "orders",
-    "SELECT o_orderpriority, approx_count_distinct(o_custkey) AS customers FROM dataset GROUP BY o_orderpriority",
-    checked=False,
+    "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS customers, "
+    "abs(approx_count_distinct(o_custkey) - COUNT(DISTINCT o_custkey)) <= 0.15 * COUNT(DISTINCT o_custkey) AS within_bound "
+    "FROM dataset GROUP BY o_orderpriority",
+    "SELECT o_orderpriority, COUNT(DISTINCT o_custkey) AS customers, TRUE AS within_bound FROM dataset GROUP BY o_orderpriority",
 )
 _SUM = "CAST(SUM(l_linenumber) AS BIGINT) AS lines"
 statement(
@@ -288,7 +290,14 @@ statement(
     "SELECT measure, COUNT(*) AS n, ROUND(SUM(amount), 2) AS total FROM (SELECT l_quantity, l_discount, l_tax FROM dataset) "
     "UNPIVOT (amount FOR measure IN (l_quantity, l_discount, l_tax)) GROUP BY measure",
 )
-statement("sql_sample", "lineitem", "SELECT * FROM dataset TABLESAMPLE (10 PERCENT) REPEATABLE (42)", checked=False)
+statement(
+    "sql_sample", "orders",
+    "WITH picked AS (SELECT * FROM dataset TABLESAMPLE (10 PERCENT) REPEATABLE (42)), counted AS "
+    "(SELECT COUNT(*) AS rows_in_all, (SELECT COUNT(*) FROM picked) AS rows_picked, "
+    "(SELECT COUNT(*) FROM picked p LEFT ANTI JOIN dataset d ON p.o_orderkey = d.o_orderkey AND p.o_totalprice = d.o_totalprice) AS strangers FROM dataset) "
+    "SELECT rows_in_all, strangers, abs(rows_picked - rows_in_all * 0.1) <= 5 * sqrt(rows_in_all * 0.09) AS size_fits FROM counted",
+    "SELECT COUNT(*) AS rows_in_all, CAST(0 AS BIGINT) AS strangers, TRUE AS size_fits FROM dataset",
+)
 
 # --- scalar functions ------------------------------------------------------------------------
 

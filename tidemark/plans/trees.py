@@ -48,34 +48,45 @@ def split_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("is_test").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-# --- trees: classify an order's size band, and predict a part's price -------------------------
+# --- trees over whole tables, with a target that one feature decides -----------------------------
+# What a tree must then give is known: the rule's own score in both parts, weight for no other feature.
 
+_URGENT = "CASE WHEN {p} IN ('1-URGENT', '2-HIGH') THEN 'urgent' ELSE 'normal' END"
+_WORTH = "CASE o_orderstatus WHEN 'F' THEN 10 WHEN 'O' THEN 25 ELSE 70 END"
 
-def _order_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines folded to one row per order, labelled by total quantity."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("top_price")
-    )
-    return lines.select(
-        "l_orderkey", "lines", "top_price",
-        F.when(F.col("lines") > 4, "many").when(F.col("top_price") > 60000, "costly").otherwise("plain").alias("shape"),
-        F.when(F.col("quantity") < 60, "small").when(F.col("quantity") < 140, "middle").otherwise("large").alias("band"),
+
+def _urgent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").withColumn("urgency", F.expr(_URGENT.format(p="o_orderpriority")))
+
+
+def _rule_score(model_type: str, metric: str, right: str, extra: str = "") -> str:
+    """The score of the rule itself, by part; the split does not matter to it."""
+    return (
+        f"SELECT '{model_type}' AS model_type, '{metric}' AS metric_name, s AS train_score, s AS test_score, s - s > 0.15 AS overfit_detected{extra} "
+        f"FROM (SELECT {right} AS s FROM orders)"
     )
 
 
-@query("encode_features")
+_ACCURACY = f"AVG(CASE WHEN ({_URGENT.format(p='o_orderpriority')} = 'urgent') = (o_orderpriority < '3') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+@query(
+    "encode_features",
+    "SELECT s_suppkey, CAST((SELECT COUNT(DISTINCT s_name) FROM supplier) + 2 AS INTEGER) AS width, "
+    "CAST((s_name IS NOT NULL)::INTEGER + (s_nationkey <> 0)::INTEGER + (s_acctbal <> 0)::INTEGER AS INTEGER) AS filled FROM supplier",
+)
 def encode_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector width and filled slots of every part: text becomes one slot per value."""
+    """Vector width and filled slots of every supplier: text becomes one slot per value."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    parts = table(spark, sf_dir, "part")
-    features = ["p_brand", "p_type", "p_size"]
-    cells = trees.coerce_features(parts.select("p_partkey", *features), features)
+    suppliers = table(spark, sf_dir, "supplier")
+    features = [c for c in suppliers.columns if c != "s_suppkey"]
+    cells = trees.coerce_features(suppliers, features)
     encoder = Pipeline(stages=trees.encoding_for(cells, features).stages).fit(cells)
     vector = vector_to_array("features")
     return encoder.transform(cells).select(
-        "p_partkey", F.size(vector).alias("width"), F.size(F.filter(vector, lambda x: x != 0)).alias("filled")
+        "s_suppkey", F.size(vector).alias("width"), F.size(F.filter(vector, lambda x: x != 0)).alias("filled")
     )
 
 
@@ -86,53 +97,75 @@ def _scores(spark: SparkSession, trained: trees.TrainedTree) -> DataFrame:
     )
 
 
-@query("train_tree_classifier")
+@query("train_tree_classifier", _rule_score("DecisionTreeClassifier", "accuracy", _ACCURACY))
 def train_tree_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, trees.train_model(_order_sizes(spark, sf_dir), "band", "classification", "l_orderkey", max_depth=8))
+    return _scores(spark, trees.train_model(_urgent_orders(spark, sf_dir), "urgency", "classification", "o_orderkey"))
 
 
-@query("train_tree_regressor")
+@query(
+    "train_tree_regressor",
+    _rule_score(
+        "DecisionTreeRegressor", "r2",
+        f"1 - SUM(power({_WORTH} - (10 * (o_orderstatus = 'F')::INT + 25 * (o_orderstatus = 'O')::INT + 70 * (o_orderstatus NOT IN ('F', 'O'))::INT), 2)) "
+        f"/ (VAR_POP({_WORTH}) * COUNT(*))",
+    ),
+)
 def train_tree_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumn("key_number", F.col("p_partkey") % 1000)
-    return _scores(spark, trees.train_model(parts.drop("p_name"), "p_retailprice", "regression", "p_partkey", max_depth=12))
+    orders = table(spark, sf_dir, "orders").withColumn("worth", F.expr(_WORTH))
+    return _scores(spark, trees.train_model(orders, "worth", "regression", "o_orderkey"))
 
 
-@query("train_model")
+@query("train_model", _rule_score("DecisionTreeClassifier", "accuracy", _ACCURACY, ", 'ws1_dataset3_urgency' AS artifact, s AS metric_value"))
 def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train, score and store a model; one row per run, as it is kept in the registry."""
-    name = trees.artifact_name(1, 3, "band")
-    path = f"{scratch_path(spark, 'models')}/{name}"
-    trained = trees.train_model(_order_sizes(spark, sf_dir), "band", "classification", "l_orderkey", path, max_depth=5)
-    return _scores(spark, trained).withColumn("artifact", F.lit(name)).withColumn(
-        "metric_value", F.col("test_score")
-    )
+    """Train, score and store a model; the run's row as it is read back from the registry."""
+    name = trees.artifact_name(1, 3, "urgency")
+    root = scratch_path(spark, "models")
+    trained = trees.train_model(_urgent_orders(spark, sf_dir), "urgency", "classification", "o_orderkey", f"{root}/{name}")
+    trees.record_run(spark, trained, name, f"{root}/runs")
+    return spark.read.parquet(f"{root}/runs").drop("created_at")
 
 
-@query("save_model")
+def _scored_orders(spark: SparkSession, sf_dir: str, dataset_id: int) -> DataFrame:
+    """Every order with the label that a stored and reloaded model gives it."""
+    orders = _urgent_orders(spark, sf_dir)
+    path = f"{scratch_path(spark, 'models')}/{trees.artifact_name(1, dataset_id, 'urgency')}"
+    trees.train_model(orders, "urgency", "classification", "o_orderkey", path)
+    features = [c for c in orders.columns if c not in ("o_orderkey", "urgency")]
+    return trees.score_model(orders.drop("urgency"), features, path).select("o_orderkey", "predicted")
+
+
+@query("save_model", f"SELECT {_URGENT.format(p='o_orderpriority')} AS predicted, COUNT(*) AS orders FROM orders GROUP BY ALL")
 def save_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages of a model as read back from storage: encoders and tree are one artifact."""
-    from pyspark.ml import PipelineModel
+    """What a model answers after it was stored and read back: encoders, tree and labels are one artifact."""
+    return _scored_orders(spark, sf_dir, 4).groupBy("predicted").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("score_model", f"SELECT o_orderkey, {_URGENT.format(p='o_orderpriority')} AS predicted FROM orders")
+def score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of every order by a stored model."""
+    return _scored_orders(spark, sf_dir, 2)
+
 
-    path = f"{scratch_path(spark, 'models')}/{trees.artifact_name(1, 4, 'band')}"
-    trained = trees.train_model(_order_sizes(spark, sf_dir), "band", "classification", "l_orderkey", max_depth=3)
-    trees.save_model(trained.model, path)
-    stages = [(i, s.__class__.__name__) for i, s in enumerate(PipelineModel.load(path).stages)]
-    return spark.createDataFrame(stages, "position int, stage string")
+_DECIDING = "SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"
 
 
-@query("positive_importance_filter")
+@query("positive_importance_filter", f"SELECT concat('o_orderpriority=', o_orderpriority) AS feature FROM ({_DECIDING})")
 def positive_importance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of a part that say something about its price; features without weight are left out."""
-    parts = table(spark, sf_dir, "part").drop("p_name")
-    trained = trees.train_model(parts, "p_retailprice", "regression", "p_partkey", max_depth=3)
-    return spark.createDataFrame(trained.importances, "feature string, importance double").where("importance > 0")
+    """Features of an order that say something about its urgency; features without weight are left out."""
+    trained = trees.train_model(_urgent_orders(spark, sf_dir), "urgency", "classification", "o_orderkey")
+    return spark.createDataFrame(trained.importances, "feature string, importance double").where("importance > 0").select("feature")
 
 
-@query("rank_importances")
+@query(
+    "rank_importances",
+    f"SELECT CAST(row_number() OVER (ORDER BY o_orderpriority) AS INTEGER) AS place, TRUE AS falls, 1.0::DOUBLE AS total FROM ({_DECIDING})",
+)
 def rank_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features that matter for the order band, most important first; zero ones are left out."""
-    trained = trees.train_model(_order_sizes(spark, sf_dir), "band", "classification", "l_orderkey", max_depth=5)
-    return spark.createDataFrame(trained.importances, "feature string, importance double")
+    """Features that matter, most important first; their weights fall and add up to 1."""
+    trained = trees.train_model(_urgent_orders(spark, sf_dir), "urgency", "classification", "o_orderkey")
+    weights = [w for _, w in trained.importances]
+    rows = [(i + 1, i == 0 or w <= weights[i - 1], round(sum(weights), 9)) for i, w in enumerate(weights)]
+    return spark.createDataFrame(rows, "place int, falls boolean, total double")
 
 
 # A stated guess for every order line: price from quantity, flag from tax.
@@ -168,13 +201,3 @@ def ml_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
             trees.overfit(F.col("train"), F.col("test")).alias("overfit_detected"),
         )
     )
-
-
-@query("score_model")
-def score_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on labelled documents, store the model, load it and score every document."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    labelled = documents.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    path = f"{scratch_path(spark, 'models')}/{trees.artifact_name(1, 2, 'quality')}"
-    trees.train_model(labelled, "quality", "classification", "doc_id", path, max_depth=6)
-    return trees.score_model(documents, ["lang", "source", "n_chars"], path).select("doc_id", "prediction")

@@ -34,9 +34,18 @@ def start(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def write_version(target: str) -> Callable[[DataFrame, int], None]:
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def write_version(target: str, kept: int | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch writer of one version a batch; with ``kept``, older versions than that many are removed."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        if kept and batch_id >= kept:
+            _remove(batch.sparkSession, f"{target}/batch={batch_id - kept}")
 
     return write
 
@@ -63,7 +72,10 @@ def error_counts(log: DataFrame) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Tumbling counts per event type; state is dropped once a window is ``delay`` past."""
+    """Tumbling counts per event type; a window is closed and its state dropped once it is ``delay`` past.
+
+    What comes later than that is not counted, which is the price of a closed window.
+    """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return (
         timed.groupBy(F.window("ts", width).alias("w"), "event_type")
@@ -77,6 +89,34 @@ def windowed_counts(events: DataFrame, delay: str = "1 hour", width: str = "1 da
     )
 
 
+def batch_windows(target: str, width: str = "1 day") -> Callable[[DataFrame, int], None]:
+    """Batch writer of tumbling counts per event type: each batch stores its own counts.
+
+    No watermark: late events count like others, and no state is held. ``summed_windows``
+    adds the versions up; a replayed batch overwrites its own.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = (
+            batch.groupBy(F.window("ts", width).alias("w"), "event_type")
+            .agg(F.count(F.lit(1)).alias("events"))
+            .select(
+                F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                "event_type",
+                "events",
+            )
+        )
+        counts.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return write
+
+
+def summed_windows(spark: SparkSession, target: str) -> DataFrame:
+    """Counts per window and event type over all stored batches."""
+    return spark.read.parquet(target).groupBy("window_start", "window_end", "event_type").agg(F.sum("events").alias("events"))
+
+
 def bounded_samples(target: str, n: int = fixed.LATENCY_SAMPLES) -> Callable[[DataFrame, int], None]:
     """Batch writer that keeps each path's newest ``n`` requests.
 
@@ -90,6 +130,9 @@ def bounded_samples(target: str, n: int = fixed.LATENCY_SAMPLES) -> Callable[[Da
         if batch_id > 0:
             rows = spark.read.schema(batch.schema).parquet(f"{target}/batch={batch_id - 1}").unionByName(batch)
         last_n_per_path(rows, n).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        # The version before the last is kept for a replay of this batch.
+        if batch_id > 1:
+            _remove(spark, f"{target}/batch={batch_id - 2}")
 
     return write
 
