@@ -91,3 +91,9 @@ def test_report_defaults(spark):
     row = documents.read_reports(one(spark, "{}"), "t").first()
     assert (row["row_count"], row["rejected_rows"], row["quality_score"]) == (0, 0, 0)
     assert row["columns"] == [] and row["issues"] == [] and row["metadata"] is None
+
+
+def test_repeated_name_is_still_an_object(spark):
+    df = spark.createDataFrame([('{"a":1,"a":2}',)], "details string")
+    row = documents.parse_details(df).first()
+    assert (row["details_class"], row["details_json"]) == ("object", '{"a":2}')

@@ -1,5 +1,7 @@
 """Golden profiles of small CSV files."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,14 +79,41 @@ def test_typed_scan(spark, write):
     assert [f.dataType.simpleString() for f in typed.schema.fields] == ["int", "double", "date", "string"]
 
 
-def test_splittable_scan_reads_the_same_rows(spark, write):
-    path = write("a,b\n1,2\n\n3,4\n")
-    assert scan_csv_raw(spark, path, splittable=True).collect() == scan_csv_raw(spark, path).collect()
+@pytest.mark.parametrize("text", ["a,b\n1,2\n\n3,4\n", "a,b\n1,2\n  \n3,4\n", 'a,b\n1,"x\ny"\n3,4\n', 'a,b\n1,5" pipe\n'])
+def test_scan_by_lines_reads_the_same_rows(spark, write, text):
+    path = write(text)
+    whole = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    assert scan_csv_raw(spark, path).collect() == whole.collect()
+
+
+def test_large_file_is_read_by_many_tasks(spark, write):
+    path = write("a,b\n" + "1,2\n" * 500_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        raw = scan_csv_raw(spark, path)
+        assert raw.rdd.getNumPartitions() > 4 and raw.count() == 500_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_duplicate_headers(spark, write):
+    assert duplicate_headers(spark, write('A,a,"b"\n1,2,3\n')) == ["a"]
+    assert duplicate_headers(spark, write("")) == []
+
+
+@pytest.mark.parametrize("width", [1, 17])
+def test_zero_has_no_sign_in_any_column(spark, width):
+    df = spark.createDataFrame([(0.0,), (-0.0,)], "z double").select(*[F.lit(1).alias(f"c{i}") for i in range(width - 1)], "z")
+    assert profile.profile_table(df).first()["duplicate_rows"] == 1
 
 
-def test_duplicate_headers(spark):
-    df = spark.createDataFrame([(1, 2)], "a int, b int").select(F.col("a").alias("A"), F.col("b").alias("a"))
-    assert duplicate_headers(df) == ["a"]
+def test_statistics_keep_decimals_longs_and_signed_nan(spark):
+    rows = [("9007199254740992", 9007199254740992, "+nan"), ("9007199254740993", 9007199254740993, "1")]
+    df = spark.createDataFrame(rows, "d string, n long, t string").select(F.col("d").cast("decimal(20,0)").alias("d"), "n", "t")
+    got = {r["name"]: r for r in stats.column_statistics(df).collect()}
+    assert got["d"]["distinct_count"] == 2 and got["d"]["max_exact"] == got["n"]["max_exact"] == "9007199254740993"
+    assert math.isnan(got["t"]["mean_num"]) and got["t"]["data_type"] == "number"
 
 
 def test_doubled_table_adds_its_rows_as_duplicates(spark):

@@ -49,7 +49,7 @@ def test_ingest_outcome(spark, write, tmp_path):
     summary = profile.profile_metadata(profile.profile_table(scan_csv_raw(spark, path)), "sales.csv", path)
     assert summary.first()["metadata"]["profile_version"] == "1.1" and summary.first()["metadata"]["column_count"] == 2
     tables = sinks.ingest_outcome(summary, workspace_id=1, dataset_id=2, name="sales", source_name="sales.csv", storage_path=path)
-    sinks.write_ingest_outcome(tables, str(tmp_path / "reg"))
+    sinks.write_ingest_outcome(tables, str(tmp_path / "reg"), "upload=1-2")
     job = spark.read.parquet(str(tmp_path / "reg" / "ingestion_jobs")).first()
     assert (job["row_count"], job["rejected_rows"], job["quality_score"], job["status"]) == (2, 0, 100, "completed")
     report = spark.read.parquet(str(tmp_path / "reg" / "data_quality_reports")).first()
@@ -76,6 +76,13 @@ def test_upload_path(spark, write, tmp_path):
     assert events.count() == 1 and json.loads(events.first()["details"])["row_count"] == 2
     types = {r["event_type"] for r in spark.read.parquet(f"{root}/events").collect()}
     assert types == {"dataset.uploaded", "metadata.ingestion.profile_created"}
+    report = json.loads(spark.read.parquet(f"{root}/data_quality_reports").first()["summary_json"])
+    assert report["metadata"]["source_name"] == "sales.csv" and report["metadata"]["column_count"] == 2
+    ingest_csv(spark, path, root, workspace_id=1, dataset_id=2, dataset_name="sales")
+    counts = {n: spark.read.parquet(f"{root}/{n}").count() for n in ("datasets", "data_quality_reports", "ingestion_jobs", "events")}
+    assert counts == {"datasets": 1, "data_quality_reports": 1, "ingestion_jobs": 1, "events": 2}
+    with pytest.raises(ValueError, match="more than once"):
+        ingest_csv(spark, write("a,a\n1,2\n", "twice.csv"), root, workspace_id=1, dataset_id=4, dataset_name="twice")
     ids = dict(workspace_id=1, dataset_id=3)
     with pytest.raises(ValueError, match="Only CSV uploads"):
         ingest_csv(spark, write("a\n1\n", "a.txt"), root, dataset_name="a", **ids)
@@ -95,6 +102,11 @@ def test_masks(spark):
         governance.apply_masks(df, {"nope": "redact"})
 
 
+def test_short_values_stay_hidden(spark):
+    df = spark.createDataFrame([("abcd",), ("abcde",)], "v string")
+    assert [r["v"] for r in governance.apply_masks(df, {"v": "partial"}).collect()] == ["***", "***bcde"]
+
+
 def test_newest_mask_rule_wins(spark):
     masks = spark.createDataFrame(
         [(1, 7, "email", "hash"), (2, 7, "email", "redact"), (3, 8, "email", "null")],

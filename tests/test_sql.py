@@ -57,3 +57,18 @@ def test_any_statement_reaches_spark(sales):
 
 def test_preview(spark):
     assert [r["id"] for r in sql.preview(spark.range(100).orderBy("id", ascending=False), "id").collect()] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("text", ["CREATE OR REPLACE TEMP VIEW v AS SELECT 1", "DROP VIEW IF EXISTS v", "INSERT INTO dataset VALUES (1)", "SET a=b"])
+def test_commands_are_refused(spark, text):
+    with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR"):
+        sql.run_sql(text, spark.range(1))
+
+
+def test_a_view_of_the_same_name_survives(spark):
+    spark.range(3).createOrReplaceTempView("dataset")
+    try:
+        assert sql.run_sql("-- rows\nSELECT count(*) AS n FROM dataset; -- all\n", spark.range(7)).first()["n"] == 7
+        assert spark.table("dataset").count() == 3
+    finally:
+        spark.catalog.dropTempView("dataset")

@@ -58,7 +58,8 @@ def mask(cell: Column, mask_type: str) -> Column:
     if mask_type == "hash":
         return F.sha2(text, 256)
     if mask_type == "partial":
-        return F.concat(F.lit("***"), F.right(text, F.lit(4)))
+        # A value of four characters or fewer would show in full.
+        return F.when(F.length(text) > 4, F.concat(F.lit("***"), F.right(text, F.lit(4)))).when(text.isNotNull(), F.lit("***"))
     if mask_type == "null":
         return F.lit(None).cast("string")
     raise ValueError(f"Unknown mask type '{mask_type}', expected one of {', '.join(MASKS)}")

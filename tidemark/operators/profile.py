@@ -173,7 +173,7 @@ def profile_table(df: DataFrame) -> DataFrame:
 
 
 def profile_json(profile: DataFrame) -> DataFrame:
-    """Add summary_json: the profile with its keys in alphabetical order."""
+    """Add summary_json: the profile, with its metadata where it has any; its own keys in alphabetical order."""
     columns = F.transform(
         "columns",
         lambda c: F.struct(
@@ -183,9 +183,8 @@ def profile_json(profile: DataFrame) -> DataFrame:
             c["sample_size"].alias("sample_size"),
         ),
     )
-    document = F.struct(
-        columns.alias("columns"), F.col("issues"), F.col("quality_score"), F.col("rejected_rows"), F.col("row_count")
-    )
+    kept = ["issues"] + (["metadata"] if "metadata" in profile.columns else [])
+    document = F.struct(columns.alias("columns"), *kept, "quality_score", "rejected_rows", "row_count")
     return profile.withColumn("summary_json", F.to_json(document))
 
 

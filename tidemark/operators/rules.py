@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
+from tidemark.functions.cells import strip
 
 c = F.col
 
@@ -355,7 +356,7 @@ def rows_to_append(outcomes: DataFrame, dashboards: DataFrame, untranslated: Dat
 
 def chart_type(x_kind: Column, y_kind: Column, goal: Column) -> Column:
     """Chart for two column kinds and a goal; the first rule that holds decides."""
-    x, y, wanted = F.lower(F.trim(x_kind)), F.lower(F.trim(F.coalesce(y_kind, F.lit("")))), F.lower(F.trim(goal))
+    x, y, wanted = F.lower(strip(x_kind)), F.lower(strip(F.coalesce(y_kind, F.lit("")))), F.lower(strip(goal))
     return (
         F.when((x == "datetime") & (y == "number"), "line")
         .when(x.isin("string", "categorical") & (y == "number"), "bar")

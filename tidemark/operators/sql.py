@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from contextlib import contextmanager
@@ -29,18 +30,25 @@ def _quoted_names(spark: SparkSession):
 def run_sql(sql: str, dataset: DataFrame, **views: DataFrame) -> DataFrame:
     """The query's result as a DataFrame, not yet run.
 
-    ``dataset`` and any further views exist only while the text is analysed, and ``"name"``
-    means a column, as in standard SQL.
+    ``dataset`` and any further views exist only while the text is analysed; views that the
+    session had under these names come back. ``"name"`` means a column, as in standard SQL. Only queries
+    are accepted: the text is first analysed as a subquery, which a command cannot be.
     """
     spark = dataset.sparkSession
+    text = re.sub(r"(\s|;[ \t]*--[^\n]*|\n[ \t]*--[^\n]*|;)+\Z", "", sql)
     with _analysis, _quoted_names(spark):
-        for name, df in {"dataset": dataset, **views}.items():
+        own = {"dataset": dataset, **views}
+        held = {n: spark.table(n) for n in own if any(t.name.lower() == n.lower() and t.isTemporary for t in spark.catalog.listTables())}
+        for name, df in own.items():
             df.createOrReplaceTempView(name)
         try:
+            spark.sql(f"SELECT * FROM (\n{text}\n)")
             return spark.sql(sql)
         finally:
-            for name in ["dataset", *views]:
+            for name in own:
                 spark.catalog.dropTempView(name)
+            for name, df in held.items():
+                df.createOrReplaceTempView(name)
 
 
 def capped(df: DataFrame, max_rows: int = fixed.ROW_CAP) -> DataFrame:

@@ -68,8 +68,14 @@ def mask_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     "c_acctbal, sha256(c_mktsegment) AS c_mktsegment FROM customer",
 )
 def apply_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {"c_name": "partial", "c_nationkey": "redact", "c_mktsegment": "hash"}
-    return governance.apply_masks(table(spark, sf_dir, "customer"), rules)
+    """Masks by the newest stored rules of dataset 1; older rules and other datasets' say otherwise."""
+    stored = table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS id", "IF(n_nationkey < 20, 1, 2) AS dataset_id",
+        "element_at(array('c_name', 'c_nationkey', 'c_mktsegment'), CAST(n_nationkey % 3 + 1 AS INT)) AS column_name",
+        "CASE WHEN n_nationkey >= 20 THEN 'null' WHEN n_nationkey < 17 THEN 'null' "
+        "ELSE element_at(array('partial', 'redact', 'hash'), CAST(n_nationkey % 3 + 1 AS INT)) END AS mask_type",
+    )
+    return governance.apply_masks(table(spark, sf_dir, "customer"), governance.mask_rules(stored, 1))
 
 
 @query(

@@ -167,14 +167,11 @@ def land_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def write_ingest_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "registry")
-    summary = profile.profile_table(table(spark, sf_dir, "part")).persist()
-    try:
-        outcome = sinks.ingest_outcome(
-            summary, workspace_id=1, dataset_id=5, name="parts", source_name="part.csv", storage_path="raw/part.csv"
-        )
-        sinks.write_ingest_outcome(outcome, root)
-    finally:
-        summary.unpersist()
+    summary = profile.profile_table(table(spark, sf_dir, "part"))
+    outcome = sinks.ingest_outcome(
+        summary, workspace_id=1, dataset_id=5, name="parts", source_name="part.csv", storage_path="raw/part.csv"
+    )
+    sinks.write_ingest_outcome(outcome, root, "upload=1-5")
     return spark.read.parquet(f"{root}/ingestion_jobs").select(
         "workspace_id", "dataset_id", "source_name", "source_type", "status", "row_count", "rejected_rows", "quality_score"
     )
@@ -184,21 +181,32 @@ def write_ingest_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ingest_upload",
     "SELECT j.*, e.event_type FROM (SELECT 3::BIGINT AS workspace_id, 9::BIGINT AS dataset_id, 'customers.csv' AS source_name, COUNT(*) AS row_count, "
     "0::BIGINT AS rejected_rows, CAST(100 - CAST(trunc((COUNT(*) FILTER (WHERE c_custkey % 5 = 0) + COUNT(*) FILTER (WHERE c_custkey % 3 = 0)) "
-    "/ (COUNT(*) * 4) * 50.0) AS INTEGER) AS INTEGER) AS quality_score FROM customer) j, "
+    "/ (COUNT(*) * 4) * 50.0) AS INTEGER) AS INTEGER) AS quality_score, 'customers.csv' AS reported_source, 4 AS reported_columns, "
+    "COUNT(*) AS reported_rows, TRUE AS has_version FROM customer) j, "
     "(SELECT unnest(['dataset.uploaded', 'metadata.ingestion.profile_created']) AS event_type) e",
 )
 def ingest_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CSV through gate, landing, profile, registry and event log; the job row beside its events."""
-    root = scratch_path(spark, "ingest")
-    ingest.ingest_csv(
-        spark, _as_csv(spark, sf_dir, _AWKWARD), root,
-        workspace_id=3, dataset_id=9, dataset_name="customers", file_name="up/customers.csv",
-    ).unpersist()
+    """A CSV through gate, landing, profile, registry and event log, twice; job and stored report beside the events."""
+    root, path = scratch_path(spark, "ingest"), _as_csv(spark, sf_dir, _AWKWARD)
+    for _ in range(2):
+        ingest.ingest_csv(
+            spark, path, root, workspace_id=3, dataset_id=9, dataset_name="customers", file_name="up/customers.csv"
+        )
     jobs = spark.read.parquet(f"{root}/ingestion_jobs").select(
         "workspace_id", "dataset_id", "source_name", "row_count", "rejected_rows", "quality_score"
     )
+    stored = F.from_json(
+        "summary_json", "row_count bigint, metadata struct<profile_version:string,source_name:string,column_count:int>"
+    )
+    reports = spark.read.parquet(f"{root}/data_quality_reports").select("dataset_id", stored.alias("s")).select(
+        "dataset_id",
+        F.col("s.metadata.source_name").alias("reported_source"),
+        F.col("s.metadata.column_count").alias("reported_columns"),
+        F.col("s.row_count").alias("reported_rows"),
+        F.col("s.metadata.profile_version").isNotNull().alias("has_version"),
+    )
     events = spark.read.parquet(f"{root}/events").select("event_type", F.col("resource_id").alias("dataset_id"))
-    return jobs.join(events, "dataset_id")
+    return jobs.join(reports, "dataset_id").join(events, "dataset_id")
 
 
 @query(

@@ -41,10 +41,13 @@ def resolve_datasets(requests: DataFrame, registry: DataFrame, files: DataFrame)
     """
     wanted = requests.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("requests"))
     known = registry.select("dataset_id", "storage_path", F.lit(True).alias("known"))
-    present = files.select("storage_path", F.lit(True).alias("present")).distinct()
+    present = files.select("storage_path", F.lit(0).cast("bigint").alias("_spread"), F.lit(True).alias("present")).distinct()
+    # Ids without a path match nothing; the second key deals them over all tasks.
+    spread = F.when(F.col("storage_path").isNull(), F.xxhash64("dataset_id")).otherwise(0)
     return (
         wanted.join(known, "dataset_id", "left")
-        .join(present, "storage_path", "left")
+        .withColumn("_spread", spread)
+        .join(present, ["storage_path", "_spread"], "left")
         .select(
             "dataset_id",
             "requests",

@@ -3,33 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def _csv_reader(spark: SparkSession, splittable: bool):
+def _csv_reader(spark: SparkSession, multi_line: bool, header: bool = True):
     return (
-        spark.read.option("header", True)
-        .option("multiLine", not splittable)
+        spark.read.option("header", header)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
     )
 
 
-def scan_csv_raw(spark: SparkSession, path: str | list[str], splittable: bool = False) -> DataFrame:
+def needs_whole_files(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether reading line by line could change the rows: a cell may span lines, or a line holds only white space.
+
+    One pass over the lines. A cell that spans lines leaves an odd number of quotes on its first
+    line, and a reader of lines skips those of white space.
+    """
+    line = F.col("value")
+    odd = F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1
+    return not spark.read.text(path).where(odd | line.rlike(r"^\s+$")).isEmpty()
+
+
+def scan_csv_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with a header row, every column as text.
 
-    Short rows are padded with null, surplus cells dropped, empty lines skipped. Files are read
-    in parallel, each by one task, since a quoted cell may hold a newline. ``splittable=True``
-    also cuts large files, for files without such cells; it skips whitespace-only lines.
+    Short rows are padded with null, surplus cells dropped, empty lines skipped. Large files are
+    cut and read by many tasks; where that could change the rows, each file is read whole.
     """
-    return _csv_reader(spark, splittable).csv(path)
+    return _csv_reader(spark, needs_whole_files(spark, path)).csv(path)
 
 
-def scan_csv_typed(spark: SparkSession, path: str | list[str], splittable: bool = False) -> DataFrame:
+def scan_csv_typed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """As ``scan_csv_raw`` with column types inferred from the whole file (one extra scan)."""
-    return (
-        _csv_reader(spark, splittable).option("inferSchema", True).option("preferDate", True).csv(path)
-    )
+    reader = _csv_reader(spark, needs_whole_files(spark, path))
+    return reader.option("inferSchema", True).option("preferDate", True).csv(path)
 
 
 def scan_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -38,9 +48,14 @@ def scan_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-def duplicate_headers(df: DataFrame) -> list[str]:
-    """Header names that occur more than once, compared without case."""
+def duplicate_headers(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Names that occur more than once in a file's header line, compared without case.
+
+    Spark numbers such columns when it reads a header, so the line itself is looked at.
+    """
+    header = _csv_reader(spark, multi_line=True, header=False).csv(path).first() or ()
     seen: dict[str, int] = {}
-    for name in df.columns:
-        seen[name.lower()] = seen.get(name.lower(), 0) + 1
+    for name in header:
+        if name is not None:
+            seen[name.lower()] = seen.get(name.lower(), 0) + 1
     return sorted(name for name, times in seen.items() if times > 1)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import profile_metadata, profile_table
+from tidemark.session import scratch_path
 from tidemark.sources.admission import source_admission
 from tidemark.sources.files import duplicate_headers, scan_csv_raw
 from tidemark.sources.sinks import (
-    emit_events,
     ingest_outcome,
     profile_event,
+    report_id,
     write_ingest_outcome,
 )
 
@@ -40,37 +41,40 @@ def ingest_csv(
     dataset_id: int,
     dataset_name: str,
     file_name: str | None = None,
-    splittable: bool = False,
 ) -> DataFrame:
     """Take one CSV (a file or a folder of parts) through the whole path; returns its profile.
 
     The text is parsed once and landed as parquet under the dataset's id; the profile reads
-    that. Writes under ``root``: raw, datasets, data_quality_reports, ingestion_jobs, events.
+    that. Writes under ``root``: raw, datasets, data_quality_reports, ingestion_jobs, events. Each
+    upload has its own folder in all of them, so a second run with the same ids replaces the first.
     """
     request = spark.createDataFrame([(file_name or path, dataset_name)], "file_name string, dataset_name string")
     verdict = source_admission(request).first()
     if not verdict["accepted"]:
         raise ValueError(verdict["rejection"])
-    raw = scan_csv_raw(spark, path, splittable)
-    repeated = duplicate_headers(raw)
+    raw = scan_csv_raw(spark, path)
+    repeated = duplicate_headers(spark, path)
     if repeated:
         raise ValueError(f"Header names occur more than once: {', '.join(repeated)}")
     landed = f"{root}/raw/workspace_id={workspace_id}/dataset_id={dataset_id}"
-    # One large file is parsed by one task; rebalance spreads its rows for the scans that follow.
+    # A file that must be read whole is parsed by one task; rebalance spreads its rows.
     raw.hint("rebalance").write.mode("overwrite").parquet(landed)
     rows = spark.read.schema(raw.schema).parquet(landed)
-    profile = profile_metadata(profile_table(rows), verdict["source_name"], landed).persist()
+    kept = scratch_path(spark, "profile")
+    profile_metadata(profile_table(rows), verdict["source_name"], landed).write.parquet(kept)
+    profile = spark.read.parquet(kept)
+    upload = f"upload={workspace_id}-{dataset_id}"
     outcome = ingest_outcome(
         profile, workspace_id=workspace_id, dataset_id=dataset_id, name=dataset_name,
         source_name=verdict["source_name"], storage_path=landed,
     )
-    write_ingest_outcome(outcome, root)
+    write_ingest_outcome(outcome, root, upload)
     events = uploaded_event(
         profile, workspace_id=workspace_id, dataset_id=dataset_id, source_name=verdict["source_name"]
     ).unionByName(
         profile_event(
-            profile, workspace_id=workspace_id, dataset_id=dataset_id, report_id=dataset_id, dataset_name=dataset_name
+            profile, workspace_id=workspace_id, dataset_id=dataset_id, report_id=report_id(profile, workspace_id, dataset_id), dataset_name=dataset_name
         )
     )
-    emit_events(events.coalesce(1), f"{root}/events")
+    events.coalesce(1).write.mode("overwrite").parquet(f"{root}/events/{upload}")
     return profile

@@ -23,6 +23,15 @@ def land_raw(df: DataFrame, path: str, partition_by: list[str]) -> None:
     )
 
 
+def report_id(profile: DataFrame, workspace_id: int, dataset_id: int) -> Column:
+    """The id of a stored report: it follows from the dataset and what the profile says."""
+    return F.xxhash64(F.lit(workspace_id), F.lit(dataset_id), profile_fingerprint_text(profile))
+
+
+def profile_fingerprint_text(profile: DataFrame) -> Column:
+    return F.col("profile_fingerprint") if "profile_fingerprint" in profile.columns else F.to_json(F.struct("columns", "row_count"))
+
+
 def ingest_outcome(
     profile: DataFrame, *, workspace_id: int, dataset_id: int, name: str, source_name: str, storage_path: str
 ) -> dict[str, DataFrame]:
@@ -38,7 +47,10 @@ def ingest_outcome(
         now.alias("created_at"),
     )
     report = profile_json(profile).select(
-        F.lit(dataset_id).cast("bigint").alias("dataset_id"), "summary_json", now.alias("created_at")
+        report_id(profile, workspace_id, dataset_id).alias("id"),
+        F.lit(dataset_id).cast("bigint").alias("dataset_id"),
+        "summary_json",
+        now.alias("created_at"),
     )
     job = profile.select(
         F.lit(workspace_id).cast("bigint").alias("workspace_id"),
@@ -55,10 +67,10 @@ def ingest_outcome(
     return {"datasets": dataset, "data_quality_reports": report, "ingestion_jobs": job}
 
 
-def write_ingest_outcome(tables: dict[str, DataFrame], root: str) -> None:
-    """Append each registry table under ``root``."""
+def write_ingest_outcome(tables: dict[str, DataFrame], root: str, upload: str) -> None:
+    """Put each registry table's rows under ``root``, in the folder of this upload, in place of what it held."""
     for name, rows in tables.items():
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/{upload}")
 
 
 def event_rows(
@@ -91,7 +103,7 @@ def emit_events(events: DataFrame, path: str) -> None:
 
 
 def profile_event(
-    profile: DataFrame, *, workspace_id: int, dataset_id: int, report_id: int, dataset_name: str, actor: str = "system"
+    profile: DataFrame, *, workspace_id: int, dataset_id: int, report_id: int | Column, dataset_name: str, actor: str = "system"
 ) -> DataFrame:
     """The event recorded when a dataset has been profiled."""
     return event_rows(
