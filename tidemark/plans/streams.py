@@ -16,7 +16,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a stream of several files, newest days first, one file a batch: most of it comes late."""
     path = scratch_path(spark, "events")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.repartitionByRange(3, F.col("ts").desc()).write.parquet(path)
+    events.repartitionByRange(2, F.col("ts").desc()).write.parquet(path)
     return metrics.stream_parquet(spark, path, "*.parquet", files_per_batch=1)
 
 
