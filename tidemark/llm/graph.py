@@ -11,24 +11,26 @@ from tidemark.llm.staging import staged
 def components(links: DataFrame) -> DataFrame:
     """node, component for the ends of ``links`` (a, b): the component is its smallest node.
 
-    In each round a node takes the smallest label around it and then its label's label, so that
-    distances halve. Labels and links stay tables; one count a round reaches the driver.
+    In each round a node takes the smallest label around it, then its label's label, so that
+    distances halve. Labels and links stay tables; whether any label moved is all that reaches the driver.
     """
     both = staged(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
     )
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", "component", F.least("component", "near").alias("lower")
+        labels = staged(labels, "labels")
+        around = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component")
+        own = labels.select("node", "component", F.col("component").alias("before"))
+        lower = (
+            own.unionByName(around, allowMissingColumns=True)
+            .groupBy("node")
+            .agg(F.min("component").alias("component"), F.min("before").alias("before"))
         )
         lower = staged(lower, "lower")
-        above = lower.select(F.col("node").alias("_label"), F.col("lower").alias("_above"))
-        stepped = lower.join(above, F.col("lower") == F.col("_label")).select(
-            "node", F.least("lower", "_above").alias("component"), (F.least("lower", "_above") != F.col("component")).alias("moved")
+        if not lower.where("component != before").limit(1).count():
+            return lower.select("node", "component")
+        above = lower.select(F.col("node").alias("_label"), F.col("component").alias("_above"))
+        labels = lower.join(above, F.col("component") == F.col("_label")).select(
+            "node", F.least("component", "_above").alias("component")
         )
-        stepped = staged(stepped, "labels")
-        labels = stepped.select("node", "component")
-        if not stepped.where("moved").limit(1).count():
-            return labels

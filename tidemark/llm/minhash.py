@@ -22,8 +22,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 BATCH_BYTES = 4 << 20
-#: Rounds of one pivot a bucket before all that is left is compared at once.
-PIVOT_ROUNDS = 4
+#: Nodes of a bucket, after the first, that what is outside its largest class meets before all others.
+PIVOTS = 8
 
 _STEP = mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1)
 
@@ -144,8 +144,10 @@ def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 
 def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """text_key, shingles, counts for the ``wanted`` text keys, one row for each."""
-    rows = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).join(wanted, "text_key", "left_semi")
+    """node, shingles, counts of the texts with the ``wanted`` text keys, one row for each node."""
+    rows = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    # Always a merge join: one plan at every size, and large groups of copies can be split.
+    rows = rows.join(wanted.hint("merge"), "text_key", "left_semi")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -157,22 +159,20 @@ def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
                     seen.add(k)
                     own.append(i)
             last = keys[-1] if keys else last
-            batch = batch.take(pa.array(own, pa.int64()))
-            data, offsets = flat(batch.column("text"))
+            data, offsets = flat(batch.column("text").take(pa.array(own, pa.int64())))
             for i, j in groups_of_bytes(offsets, BATCH_BYTES):
                 owner, shingle, count = bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 edges = pa.array(np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("text_key").slice(i, j - i),
+                        pa.array(_digests(owner, shingle, count, j - i), pa.binary()),
                         pa.ListArray.from_arrays(edges, pa.array(shingle.view(np.int64))),
                         pa.ListArray.from_arrays(edges, pa.array(count.astype(np.int32))),
                     ],
-                    names=["text_key", "shingles", "counts"],
+                    names=["node", "shingles", "counts"],
                 )
 
-    found = rows.mapInArrow(bag, "text_key binary, shingles array<long>, counts array<int>")
-    return found.dropDuplicates(["text_key"])
+    return rows.mapInArrow(bag, "node binary, shingles array<long>, counts array<int>").dropDuplicates(["node"])
 
 
 @F.pandas_udf(DoubleType())
@@ -192,86 +192,96 @@ def near_duplicates(
     """doc_id, text_key, class_id, class_size: one row per document; a class is linked by overlap of ``similarity`` or more.
 
     Documents with one multiset of shingles are one node; only nodes are compared, so copies are
-    never paired. Nodes that share a band meet in its bucket. There the smallest node is compared
-    with all others, which joins most near copies; what stays apart is compared by further pivots and
-    at last all with all across classes, since nodes of one class need no more links. So no
-    pair of two classes that share a band goes unverified, and a bucket of n near copies costs about n pairs.
-    Pairs are verified on the exact multisets. Node and links are tables of digests; nothing of all
-    documents reaches the driver.
+    never paired. Nodes that share a band meet in its bucket. There the node with the fewest shingles of
+    its own is compared with all others, which joins most near copies, and the next PIVOTS nodes with
+    what is still outside the bucket's largest class; then everything outside is compared with all
+    members of other classes, since nodes of one class need no more links. So no pair of two classes that share a band is left out, and a
+    bucket of n near copies costs about n pairs. A pair is spared if its sizes, or the shingles that
+    either shares with no other node, rule the similarity out. Pairs are verified on the exact multisets.
+    Nodes and links are tables; nothing of all documents reaches the driver.
 
     Texts without words form classes of their own. ``class_id`` is the smallest ``key`` of the class, null if
     it has none. Rows repeated in full are documents like others. An empty table gives no rows.
     """
     sketches = staged(sketched(docs, text, key), "sketches")
-    nodes = staged(
+    nodes = (
         sketches.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands")),
-        "nodes",
+        .agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     )
-    member = F.struct("node", "size", "text_key")
-    rows = nodes.select(F.explode("bands").alias("bucket"), member.alias("m"))
-    buckets = staged(
-        rows.groupBy("bucket")
-        .agg(F.min("m").alias("low"), F.max("m").alias("high"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1"),
-        "buckets",
+    nodes = staged(nodes, "nodes")
+    rows = nodes.select(F.explode("bands").alias("bucket"), F.struct("node", "size").alias("m"))
+    buckets = rows.groupBy("bucket").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.count(F.lit(1)).alias("n"))
+    buckets = staged(buckets.where("n > 1"), "buckets")
+    crowded = staged(rows.join(buckets.where("n > 2").select("bucket"), "bucket"), "crowded")
+    two = buckets.where("n = 2")
+    met = two.select("low.node").union(two.select("high.node")).union(crowded.select("m.node")).distinct()
+    held = staged(multisets(docs, nodes.join(met, "node").select("text_key"), text), "multisets")
+
+    # Shingles of one node alone cannot be shared; among the crowded nodes, as only those are compared by this.
+    members = crowded.select("m.node").distinct()
+    units = held.join(members, "node").select("node", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
+    own = (
+        units.groupBy("s.shingles")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("s.counts").alias("units"))
+        .where("n = 1")
+        .groupBy("node")
+        .agg(F.sum("units").alias("own"))
     )
-    larger = buckets.where("n > 2").select("bucket", "low")
-    crowded = staged(rows.join(larger, "bucket").where("m.node != low.node").select("bucket", "low", "m"), "crowded")
+    crowd = crowded.join(own.withColumnRenamed("node", "_node"), F.col("m.node") == F.col("_node"), "left")
+    m = F.struct(F.col("m.node").alias("node"), F.col("m.size").alias("size"), (F.col("m.size") - F.coalesce("own", F.lit(0))).alias("shared"))
+    crowd = staged(crowd.select("bucket", m.alias("m")), "crowd")
+
+    def possible(a: Column, b: Column) -> Column:
+        most = F.least(a["shared"], b["shared"])
+        return most >= F.lit(similarity - 1e-9) * (a["size"] + b["size"] - most)
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes allow the similarity, each once."""
-        near = F.least("a.size", "b.size") >= F.lit(similarity - 1e-9) * F.greatest("a.size", "b.size")
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return ordered.where(near & (F.col("a.node") != F.col("b.node"))).distinct()
+    def pairs_of(df: DataFrame) -> DataFrame:
+        """The possible pairs (a, b), each once."""
+        ends = df.where(possible(F.col("a"), F.col("b")) & (F.col("a.node") != F.col("b.node")))
+        return ends.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """a, b (nodes) of the pairs that overlap enough."""
-        ends = pairs.select(F.col("a.text_key").alias("text_key")).union(pairs.select("b.text_key"))
-        held = staged(multisets(docs, ends.distinct(), text), "multisets")
-        a = held.select(F.col("text_key").alias("_a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-        b = held.select(F.col("text_key").alias("_b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-        both = pairs.join(a, F.col("a.text_key") == F.col("_a")).join(b, F.col("b.text_key") == F.col("_b"))
-        found = both.withColumn("overlap", multiset_overlap("sa", "ca", "sb", "cb"))
-        return found.where(F.col("overlap") >= similarity).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(
-        crowded.select(F.col("low").alias("a"), F.col("m").alias("b"))
+        a = held.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
+        b = held.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
+        found = pairs.join(a, "a").join(b, "b").where(multiset_overlap("sa", "ca", "sb", "cb") >= similarity)
+        return staged(found.select("a", "b"), "verified")
+
+    def end(c: str) -> Column:
+        return F.struct(F.col(c)["node"].alias("node"), F.col(c)["size"].alias("size"), F.col(c)["size"].alias("shared"))
+
+    by_own = Window.partitionBy("bucket").orderBy((F.col("m.size") - F.col("m.shared")) / F.col("m.size"), "m.node")
+    centres = crowd.withColumn("nth", F.row_number().over(by_own)).where(F.col("nth") <= 1 + PIVOTS)
+    centres = staged(centres.select("bucket", F.col("m").alias("p"), "nth"), "centres")
+    first = two.select(end("low").alias("a"), end("high").alias("b")).union(
+        crowd.join(centres.where("nth = 1"), "bucket").select(F.col("m").alias("a"), F.col("p").alias("b"))
     )
-    tested = staged(alike(pairs), "pairs")
-    links = staged(verified(tested), "verified")
+    tested = staged(pairs_of(first), "pairs")
+    links = verified(tested)
     classes = components(links)
 
-    # Members of the crowded buckets that are still apart.
-    whole = crowded.select("bucket", "m").union(crowded.select("bucket", "low").distinct())
-    turn, everything = 0, False
-    while True:
-        placed = whole.join(classes, F.col("m.node") == F.col("node"), "left").select(
+    # Then a few more centres against what is still outside, and at last all that is outside against all.
+    for last in (False, True):
+        placed = crowd.join(classes, F.col("m.node") == F.col("node"), "left").select(
             "bucket", "m", F.coalesce("component", "m.node").alias("component")
         )
+        placed = staged(placed, "crowd-classes")
         parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
         split = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component")).alias("main"))
         split = split.where("parts > 1").select("bucket", F.col("main.component").alias("main"))
         open_ = staged(placed.join(split, "bucket"), "open")
-        outside = open_.where("component != main")
-        if not everything:
-            outside = outside.groupBy("bucket").agg(F.min(F.struct("component", "m")).alias("x")).select("bucket", "x.*")
-        pivots = outside.select("bucket", F.col("m").alias("p"), F.col("component").alias("_component"))
-        crossing = open_.join(pivots, "bucket").where(F.col("component") != F.col("_component"))
-        fresh = alike(crossing.select(F.col("m").alias("a"), F.col("p").alias("b"))).join(tested, ["a", "b"], "left_anti")
+        outside = open_.where("component != main").select("bucket", F.col("m").alias("o"), F.col("component").alias("_component"))
+        others = open_ if last else open_.join(centres.where("nth > 1"), "bucket").where("m.node = p.node")
+        others = others.select(F.col("bucket").alias("_bucket"), "m", "component")
+        apart = (F.col("bucket") == F.col("_bucket")) & (F.col("component") != F.col("_component"))
+        crossing = others.join(outside, apart & possible(F.col("m"), F.col("o")))
+        fresh = pairs_of(crossing.select(F.col("m").alias("a"), F.col("o").alias("b"))).join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh, "pairs")
-        any_fresh = fresh.limit(1).count() > 0
-        if any_fresh:
-            tested = tested.unionByName(fresh)
-            new = staged(verified(fresh), "verified")
-            if new.limit(1).count():
-                links = links.unionByName(new)
-                classes = components(links)
-        if everything:
-            break
-        turn += 1
-        everything = turn == PIVOT_ROUNDS or not any_fresh
+        tested = tested.unionByName(fresh)
+        new = verified(fresh)
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            classes = components(links)
 
     placed = sketches.select("doc_id", "text_key", "node").join(classes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     placed = staged(placed.select("doc_id", "text_key", "node", F.coalesce("component", "node").alias("component")), "placed")
