@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; bounds the working memory, whatever the length of a text.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 

@@ -25,7 +25,7 @@ SHINGLE = 5
 #: Items in a block of the index, and text of items that one index (and broadcast) holds.
 BLOCK_ITEMS = 32
 INDEX_BYTES = 16 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 # Words are compared without case and punctuation, of ASCII letters and signs.
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -21,7 +21,7 @@ NOISE, STEP_TOKENS, RATE, ROUNDS = 64, 512, 0.2, 1
 #: A word with at least this part of all training tokens is looked up in a broadcast table: so many words at most.
 FREQUENT = 1_000_000
 SCORED_TOKENS = 1024
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 OTHER, END = 0, 1
 
 _LOWER = np.arange(256, dtype=np.uint8)

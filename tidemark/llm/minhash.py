@@ -21,7 +21,7 @@ SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares no band with a chance of 5 in 100,000.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Nodes of a bucket, after the first, that what is outside its largest class meets before all others.
 PIVOTS = 8
 

@@ -22,7 +22,7 @@ MOST_REPEATED_PERCENT = 30
 #: Good documents of a stratum that all rules together may reject, and the chance that a bound is wrong.
 FALSE_REJECTIONS = 0.05
 ERROR = 0.05
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: rule: (numerator, denominator, rejects above or below, cutoffs from lenient to strict).
 RULES = {

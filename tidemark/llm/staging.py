@@ -21,11 +21,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, where the session does not say otherwise: rows of text differ too much to count them.
+ARROW_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Let Python workers that share the driver's disk import this package.
+    """Let Python workers that share the driver's disk import this package, and bound the batches they get.
 
     On a cluster, install the package or ship it with ``--py-files``.
     """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, ARROW_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.abspath(tidemark.__file__)))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -15,7 +15,7 @@ from tidemark.llm.staging import let_workers_import
 
 LIMIT = 2048
 #: Text encoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def token_lengths(path: str):

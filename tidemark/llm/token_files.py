@@ -21,7 +21,7 @@ from tidemark.llm.staging import let_workers_import, staged
 #: Ids in a block, text in a file on average, text encoded together.
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 64 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 LEVEL = 1
 END = 0
 
