@@ -407,3 +407,14 @@ def test_model_shares_add_up_to_one():
     before = np.array([[0, 1], [3, 4]])
     shares = [np.exp(model.log_shares(np.full(2, w), before)) for w in range(7)]
     assert np.sum(shares, axis=0) == pytest.approx([1, 1], rel=1e-5)
+
+
+def test_vocabulary_follows_the_input(spark):
+    words = [f"w{i}" for i in range(900)]
+    rows = spark.createDataFrame([(i, " ".join(words), False) for i in range(20)] + [(99, "rare", False)], "key long, text string, held_out boolean")
+    model, own = lm.fitted(rows, lm.counted(rows))
+    assert (len(model.keys), own) == (900, 18000)
+    ids = [model.ids[model.keys == h][0] for h in model.keys[:3]]
+    assert len(set(ids)) == 3 and min(ids) > 1
+    before = np.array([[5, 700]])
+    assert sum(np.exp(model.log_shares(np.array([r]), before))[0] for r in range(902)) == pytest.approx(1, rel=1e-4)

@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrays import flat, groups_of_bytes, hash_words, owners, per_text, run_starts, word_edges
 from tidemark.llm.staging import let_workers_import, staged
 
-#: Words the network tells apart, numbers of a word vector, earlier tokens that it sees.
-WORDS, SIZE, CONTEXT = 510, 16, 2
-#: Noise words of a step, tokens of a step, step size, passes over the training texts.
-NOISE, STEP_TOKENS, RATE, ROUNDS = 64, 512, 0.2, 1
-#: A word with at least this part of all training tokens is looked up in a broadcast table: so many words at most.
+#: Numbers of a word vector, earlier tokens that the network sees.
+SIZE, CONTEXT = 16, 2
+#: A word has vectors of its own if it is found SIZE times in training, or the root of all tokens over ROOT if that is more.
+ROOT = 256
+#: Noise rows of a step, and of a token of a rare class; tokens of a step, step size, passes over the training texts.
+NOISE, INNER_NOISE, STEP_TOKENS, RATE, ROUNDS = 64, 4, 512, 0.2, 1
+#: Where the sums of squared gradients start: of shared parameters, and of a single word's.
+DENSE_START, WORD_START = 1e-3, 1e-5
+#: A word with at least this part of all training tokens is looked up in a broadcast table.
 FREQUENT = 1_000_000
 SCORED_TOKENS = 1024
 BATCH_BYTES = 1 << 20
+#: Rows of parameters of an Arrow batch.
+SENT_ROWS = 1 << 14
 OTHER, END = 0, 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -93,29 +99,41 @@ def counted(rows: DataFrame) -> Counts:
 
 @dataclass
 class Model:
-    """Vectors as context (``seen``) and as target (``said``), one matrix for each distance, biases.
+    """A class-factored log-bilinear model: P(class | before) * P(row | class, before).
 
-    Row 0 stands for all words but the ``words`` most frequent, row 1 for the end of a text.
+    Row 0 stands for all words without vectors, row 1 for the end of a text, the others for words from the most
+    frequent on. A class is ``width`` rows in that order, about the root of their number, so that a
+    token is normalised over two such numbers of rows. Parts: vectors as context (``seen``) and as target (``said``, with
+    ``bias``), those of the classes (``kind``, ``kind_bias``), one matrix for each distance (``turn``).
     """
 
     keys: np.ndarray  # hashes of the words, ascending
     ids: np.ndarray  # their rows
-    noise: np.ndarray  # share of every row among the training tokens
+    share: np.ndarray  # share of every row among the training tokens
+    width: int
     parts: dict[str, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
     def fresh(hashes: np.ndarray, counts: np.ndarray, other: int, ends: int, seed: int = 5) -> Model:
-        order = np.argsort(hashes)
-        share = np.concatenate([[other, ends], counts]).astype(float) + 0.5
+        ranked = np.lexsort((hashes, -counts))
+        row = np.empty(len(hashes), np.int64)
+        row[ranked] = np.arange(2, len(hashes) + 2)
+        share = np.concatenate([[other, ends], counts[ranked]]).astype(float) + 0.5
+        share /= share.sum()
         rng = np.random.default_rng(seed)
         rows = len(share)
+        width = math.ceil(math.sqrt(rows))
+        of_kind = np.add.reduceat(share, np.arange(0, rows, width))
         parts = {
             "seen": rng.normal(0, 0.1, (rows, SIZE)),
             "said": rng.normal(0, 0.1, (rows, SIZE)),
+            "kind": rng.normal(0, 0.1, (len(of_kind), SIZE)),
             "turn": np.stack([np.eye(SIZE)] * CONTEXT) / CONTEXT,
-            "bias": np.log(share / share.sum()),
+            "bias": np.log(share / of_kind[np.arange(rows) // width]),
+            "kind_bias": np.log(of_kind),
         }
-        return Model(hashes[order], order + 2, share / share.sum(), {k: v.astype(np.float32) for k, v in parts.items()})
+        order = np.argsort(hashes)
+        return Model(hashes[order], row[order], share, width, {k: v.astype(np.float32) for k, v in parts.items()})
 
     def tokens(self, words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows and texts of all tokens, an end after each text, and the (tokens, CONTEXT) rows before them."""
@@ -137,73 +155,167 @@ class Model:
         return sum(self.parts["seen"][before[:, d]] @ self.parts["turn"][d] for d in range(CONTEXT))
 
     def log_shares(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Natural log-probability of every token's row, normalised over all rows."""
-        out = np.empty(len(tokens))
-        for i in range(0, len(tokens), SCORED_TOKENS):
-            scores = self.expected(before[i : i + SCORED_TOKENS]) @ self.parts["said"].T + self.parts["bias"]
-            top = scores.max(axis=1, keepdims=True)
-            total = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
-            own = tokens[i : i + SCORED_TOKENS]
-            out[i : i + SCORED_TOKENS] = scores[np.arange(len(own)), own] - total
+        """Natural log-probability of every token's row: its class's among classes, and its own within the class."""
+        q = self.expected(before)
+        kinds = tokens // self.width
+        out = _log_softmax(q, self.parts["kind"], self.parts["kind_bias"], kinds)
+        order = np.argsort(kinds, kind="stable")
+        edges = np.append(np.flatnonzero(run_starts(kinds[order])), len(order))
+        for i, j in zip(edges[:-1], edges[1:]):
+            at = order[i:j]
+            low = int(kinds[at[0]]) * self.width
+            rows = slice(low, low + self.width)
+            out[at] += _log_softmax(q[at], self.parts["said"][rows], self.parts["bias"][rows], tokens[at] - low)
         return out
 
-    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> int:
-        """NCE steps over (tokens, before) arrays, with Adagrad; the number of tokens."""
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> Touched:
+        """NCE steps over (tokens, before) arrays, with Adagrad; how often each row took part."""
         rng = np.random.default_rng(seed)
-        squares = {k: np.full(v.shape, 1e-3, np.float32) for k, v in self.parts.items()}
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        upto, total = np.cumsum(self.noise), 0
+        single = ("seen", "said", "bias")
+        squares = {k: np.full(v.shape, WORD_START if k in single else DENSE_START, np.float32) for k, v in self.parts.items()}
+        of_kind = np.exp(self.parts["kind_bias"].astype(float))
+        first = self.share[: self.width]
+        draws = Draws(rng, of_kind / of_kind.sum()), Draws(rng, first / first.sum())
+        touched = Touched(0, np.zeros(len(self.share), np.int64), np.zeros(len(self.share), np.int64))
         for tokens, before in batches:
-            total += len(tokens)
+            touched.tokens += len(tokens)
             for i in range(0, len(tokens), STEP_TOKENS):
-                own, seen = tokens[i : i + STEP_TOKENS], before[i : i + STEP_TOKENS]
-                drawn = np.minimum(np.searchsorted(upto, rng.random(NOISE)), len(upto) - 1)
-                self._step(own, seen, drawn, log_noise, squares)
-        return total
+                self._step(tokens[i : i + STEP_TOKENS], before[i : i + STEP_TOKENS], rng, draws, squares, touched)
+        return touched
 
-    def _step(self, own, seen, drawn, log_noise, squares) -> None:
-        said, bias, turn = self.parts["said"], self.parts["bias"], self.parts["turn"]
+    def _step(self, own, seen, rng, draws, squares, touched) -> None:
+        p, width = self.parts, self.width
         q = self.expected(seen)
-        true = (q * said[own]).sum(axis=1) + bias[own] - log_noise[own]
-        false = q @ said[drawn].T + bias[drawn] - log_noise[drawn]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # how far a true word is from certain
-        down = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        toward = up[:, None] * said[own] + down @ said[drawn]
-        change = {
-            "said": _add(own, up[:, None] * q, len(said)) + _add(drawn, down.T @ q, len(said)),
-            "bias": _add(own, up[:, None], len(said))[:, 0] + _add(drawn, down.sum(axis=0)[:, None], len(said))[:, 0],
-            "turn": np.stack([self.parts["seen"][seen[:, d]].T @ toward for d in range(CONTEXT)]),
-            "seen": sum(_add(seen[:, d], toward @ turn[d].T, len(said)) for d in range(CONTEXT)),
+        toward, kind, kind_bias = _against_shared(q, own // width, p["kind"], p["kind_bias"], draws[0])
+        # Rows of the first class, which most tokens are of, share their noise; rarer ones have their class's at equal chances.
+        head = np.flatnonzero(own < width)
+        rows, said, bias = [], [], []
+        if len(head):
+            pull, said_head, bias_head = _against_shared(q[head], own[head], p["said"][:width], p["bias"][:width], draws[1])
+            toward[head] += pull
+            rows, said, bias = [np.arange(len(said_head))], [said_head], [bias_head]
+        tail = np.flatnonzero(own >= width)
+        if len(tail):
+            low = own[tail] // width * width
+            most = np.minimum(width, len(self.share) - low)
+            drawn = low[:, None] + (rng.random((len(tail), INNER_NOISE)) * most[:, None]).astype(np.int64)
+            both = np.concatenate([own[tail, None], drawn], axis=1)
+            vectors = p["said"][both]
+            scores = np.matmul(vectors, q[tail][:, :, None])[:, :, 0] + p["bias"][both]
+            scores -= np.log(INNER_NOISE / most)[:, None].astype(np.float32)
+            change = -1 / (1 + np.exp(np.clip(-scores, -30, 30)))
+            change[:, 0] += 1
+            toward[tail] += np.matmul(change[:, None, :], vectors)[:, 0]
+            values = np.concatenate([change[:, :, None] * q[tail][:, None, :], change[:, :, None]], axis=2)
+            at, sums, times = _sums(both.ravel(), values.reshape(-1, SIZE + 1))
+            touched.said[at] += times
+            rows, said, bias = [*rows, at], [*said, sums[:, :SIZE]], [*bias, sums[:, SIZE]]
+        turned = [toward @ p["turn"][d].T for d in range(CONTEXT)]
+        turn = np.stack([p["seen"][seen[:, d]].T @ toward for d in range(CONTEXT)])
+        context, sums, times = _sums(seen.T.ravel(), np.concatenate(turned))
+        touched.seen[context] += times
+        rows = np.concatenate(rows)
+        all_rows = slice(None)
+        for name, at, gradient in (
+            ("kind", all_rows, kind), ("kind_bias", all_rows, kind_bias), ("turn", all_rows, turn), ("seen", context, sums),
+            ("said", rows, np.concatenate(said)), ("bias", rows, np.concatenate(bias)),
+        ):
+            gradient = gradient / len(own)
+            square = squares[name][at] + gradient * gradient
+            squares[name][at] = square
+            p[name][at] += RATE * gradient / np.sqrt(square)
+
+    def places(self, touched: Touched) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, weight and SIZE + 1 numbers of every row of parameters that training changed.
+
+        A word's row weighs as often as it took part, so that tasks without the word don't dilute what others learned.
+        """
+        p, n = self.parts, len(self.share)
+        said, seen = touched.said.copy(), touched.seen
+        said[: self.width] = touched.tokens
+        rest = np.full(len(p["kind"]) + CONTEXT * SIZE, touched.tokens)
+        weights = np.concatenate([said, seen, rest])
+        at = np.flatnonzero(weights)
+        values = np.zeros((len(weights), SIZE + 1), np.float32)
+        values[:, :SIZE] = np.concatenate([p["said"], p["seen"], p["kind"], p["turn"].reshape(-1, SIZE)])
+        values[:n, SIZE], values[2 * n : 2 * n + len(p["kind"]), SIZE] = p["bias"], p["kind_bias"]
+        return at, weights[at], values[at]
+
+    def with_places(self, at: np.ndarray, values: np.ndarray) -> Model:
+        """The model with these rows of parameters in place of its own."""
+        n, kinds = len(self.share), len(self.parts["kind"])
+        everything = Touched(1, np.ones(n, np.int64), np.ones(n, np.int64))
+        _, _, rows = self.places(everything)
+        rows[at] = values
+        said, seen, kind, turn = np.split(rows, [n, 2 * n, 2 * n + kinds])
+        parts = {
+            "said": said[:, :SIZE], "bias": said[:, SIZE], "seen": seen[:, :SIZE], "kind": kind[:, :SIZE], "kind_bias": kind[:, SIZE],
+            "turn": turn[:, :SIZE].reshape(CONTEXT, SIZE, SIZE),
         }
-        for name, gradient in change.items():
-            gradient /= len(own)
-            squares[name] += gradient * gradient
-            self.parts[name] += RATE * gradient / np.sqrt(squares[name])
-
-    def flat_parts(self) -> np.ndarray:
-        return np.concatenate([self.parts[k].ravel() for k in sorted(self.parts)])
-
-    def with_parts(self, values: np.ndarray) -> Model:
-        parts, at = {}, 0
-        for k in sorted(self.parts):
-            n = self.parts[k].size
-            parts[k] = values[at : at + n].reshape(self.parts[k].shape).astype(np.float32)
-            at += n
-        return Model(self.keys, self.ids, self.noise, parts)
-
-
-def _add(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``values`` by row."""
-    order = np.argsort(rows, kind="stable")
-    new = np.flatnonzero(run_starts(rows[order]))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    if len(new):
-        out[rows[order][new]] = np.add.reduceat(values[order], new, axis=0)
+        return Model(self.keys, self.ids, self.share, self.width, {k: np.ascontiguousarray(v) for k, v in parts.items()})
+
+
+@dataclass
+class Touched:
+    """Tokens trained on, and how often each row was a target or noise, and context."""
+
+    tokens: int
+    said: np.ndarray
+    seen: np.ndarray
+
+
+class Draws:
+    """Noise rows by their shares."""
+
+    def __init__(self, rng: np.random.Generator, share: np.ndarray) -> None:
+        self.rng, self.upto = rng, np.cumsum(share)
+        self.logs = np.log(NOISE * share).astype(np.float32)
+
+    def some(self) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.upto) - 1)
+
+
+def _against_shared(q, own, said, bias, draws: Draws) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of ``q``, ``said`` and ``bias`` where all tokens are told from the same noise."""
+    drawn = draws.some()
+    true = (q * said[own]).sum(axis=1) + bias[own] - draws.logs[own]
+    false = q @ said[drawn].T + bias[drawn] - draws.logs[drawn]
+    up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # how far a true row is from certain
+    down = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
+    rows = np.concatenate([own, drawn])
+    values = np.empty((len(rows), SIZE + 1), np.float32)
+    values[: len(own), :SIZE], values[: len(own), SIZE] = up[:, None] * q, up
+    values[len(own) :, :SIZE], values[len(own) :, SIZE] = down.T @ q, down.sum(axis=0)
+    at, sums, _ = _sums(rows, values)
+    change = np.zeros((len(said), SIZE + 1), np.float32)
+    change[at] = sums
+    return up[:, None] * said[own] + down @ said[drawn], change[:, :SIZE], change[:, SIZE]
+
+
+def _log_softmax(q: np.ndarray, said: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log-probability of row ``own`` of ``said`` for every row of ``q``."""
+    out = np.empty(len(own))
+    for i in range(0, len(own), SCORED_TOKENS):
+        scores = q[i : i + SCORED_TOKENS] @ said.T
+        scores += bias
+        scores -= scores.max(axis=1, keepdims=True)
+        rows = own[i : i + SCORED_TOKENS]
+        out[i : i + SCORED_TOKENS] = scores[np.arange(len(rows)), rows]
+        out[i : i + SCORED_TOKENS] -= np.log(np.exp(scores, out=scores).sum(axis=1))
     return out
 
 
-def _hashed(table: DataFrame, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words of a small count table, ascending by hash; of the first n by count if given."""
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ``rows``, sums of their values, and how often each stands there."""
+    order = np.argsort(rows)
+    new = np.flatnonzero(run_starts(rows[order]))
+    if not len(new):
+        return rows, values, rows
+    return rows[order][new], np.add.reduceat(values[order], new, axis=0), np.diff(np.append(new, len(rows)))
+
+
+def _hashed(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the words of a count table, ascending by hash."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,45 +323,55 @@ def _hashed(table: DataFrame, n: int | None = None) -> tuple[np.ndarray, np.ndar
             h = hash_words(data, offsets[:-1], offsets[1:])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("c")], names=["h", "c"])
 
-    if n is not None:
-        table = table.orderBy(F.col("c").desc(), "word").limit(n)
     found = table.select("word", "c").mapInArrow(hashes, "h long, c long").toArrow()
     h, c = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy().astype(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def fitted(rows: DataFrame, counts: Counts, words: int = WORDS, rounds: int = ROUNDS) -> tuple[Model, int]:
+def fewest(tokens: int) -> int:
+    """How often a word must be found in training to have vectors of its own."""
+    return max(SIZE, math.ceil(math.sqrt(tokens) / ROOT))
+
+
+def fitted(rows: DataFrame, counts: Counts, rounds: int = ROUNDS) -> tuple[Model, int]:
     """The trained model, and how many training words its own rows stand for.
 
-    In a round every task trains on all its training texts, from the same start, and the tasks' parameters
-    are averaged, weighted by tokens; Spark sums them by place, so the driver sees one model.
+    In a round every core of the cluster trains on its part of all training texts, from the same start, and the
+    parameters are averaged by row; Spark sums them, so the driver sees one model. As many tasks as cores keep what
+    is sent at one model for each core, whatever the size of the input.
     """
-    hashes, known = _hashed(counts.table, words)
+    spark = rows.sparkSession
+    hashes, known = _hashed(counts.table.where(F.col("c") >= fewest(counts.tokens)))
     model = Model.fresh(hashes, known, counts.tokens - counts.texts - int(known.sum()), counts.texts)
+    numbers = [f"v{i}" for i in range(SIZE + 1)]
+    schema = "place long, weight long, " + ", ".join(f"{v} float" for v in numbers)
     for turn in range(rounds):
-        shared = rows.sparkSession.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(model)
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            own = shared.value.with_parts(shared.value.flat_parts())
+            own = shared.value.with_places(np.zeros(0, np.int64), np.zeros((0, SIZE + 1), np.float32))
 
             def texts():
                 for _, found, n in _batches(batches):
                     tokens, _, before = own.tokens(found, n)
                     yield tokens, before
 
-            total = own.train(texts(), seed=turn + 1)
-            if total:
-                values = own.flat_parts().astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(values))), pa.array(values * total), pa.array(np.full(len(values), total))],
-                    names=["place", "value", "weight"],
-                )
-
-        parts = rows.where(~F.col("held_out")).select("text").mapInArrow(train, "place long, value double, weight long")
-        summed = parts.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow().sort_by("place")
+            touched = own.train(texts(), seed=turn + 1)
+            if touched.tokens:
+                at, weights, values = own.places(touched)
+                for i in range(0, len(at), SENT_ROWS):
+                    some = slice(i, i + SENT_ROWS)
+                    columns = [pa.array(np.ascontiguousarray(v)) for v in values[some].T]
+                    yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(weights[some]), *columns], names=["place", "weight", *numbers])
+
+        training = rows.where(~F.col("held_out")).select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
+        weight = F.col("weight")
+        means = [(F.sum(F.col(v) * weight) / F.sum(weight)).cast("float").alias(v) for v in numbers]
+        summed = training.mapInArrow(train, schema).groupBy("place").agg(*means).toArrow()
         if summed.num_rows:
-            model = model.with_parts(summed.column("value").to_numpy())
+            values = np.stack([summed.column(v).to_numpy() for v in numbers], axis=1)
+            model = model.with_places(summed.column("place").to_numpy(), values)
     return model, int(known.sum())
 
 
@@ -258,11 +380,12 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     ``base_score`` is the unigram estimate over exact counts of all training tokens. ``score`` is the
     log10 probability under the log-bilinear model: the two tokens before, each turned by its
-    distance's matrix, predict a vector, and a softmax over the most frequent words, the end and
-    "other" gives normalised probabilities; a word within "other" has its smoothed share of their counts, so
+    distance's matrix, predict a vector, and softmaxes over classes and over the words of a class give normalised
+    probabilities. Every word found ``fewest`` times in training has its own vectors, so the
+    vocabulary grows with the input; a rarer word, within "other", has its smoothed share of their counts, so
     that all words, and an unseen one, add up to 1.
 
-    Words with at least a FREQUENT-th of all training tokens, of which there are FREQUENT at most, are looked up in a
+    Words with vectors, and those with at least a FREQUENT-th of all training tokens, are looked up in a
     broadcast table of 16 bytes each; all rarer ones are joined by word, and as each is rare, no key is hot.
     Texts are written once with a row number, so that equal keys and texts stay apart. A null text
     is empty and has the end alone; a null key is trained on. Without training texts every
@@ -279,7 +402,8 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     )
     counts = counted(rows)
     model, own_words = fitted(rows, counts)
-    often = math.ceil(max(counts.tokens, 1) / FREQUENT)
+    # No word with vectors may be among the joined ones: those add their share within "other".
+    often = min(math.ceil(max(counts.tokens, 1) / FREQUENT), fewest(counts.tokens))
     frequent, frequent_counts = _hashed(counts.table.where(F.col("c") >= often))
     shared = spark.sparkContext.broadcast((model, frequent, frequent_counts))
     base_total = counts.tokens + 0.5 * (counts.kinds + 1)
