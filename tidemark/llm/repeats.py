@@ -1,4 +1,4 @@
-"""Repeated byte strings across all texts, by radix passes over the windows of one length."""
+"""Repeated byte strings across all texts, by hashes of the windows of one length and of anchors in them."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from tidemark.llm.staging import let_workers_import, staged
 from tidemark.session import scratch_path
 
 THRESHOLD = 400
-#: Bytes of the first digit.
+#: Bytes of an anchor.
 ANCHOR = 256
 #: Text and rows of a part: what one task holds at a time. A longer text is a part of its own.
 PART_BYTES = 8 << 20
@@ -106,18 +106,17 @@ def without_repeats(
     strings do not cross texts, all count as they were in the input, and every copy goes. ``kept`` is
     binary, as a cut may split a character.
 
-    Suffixes are sorted by digits, most significant first, and only to the depth of ``length`` bytes;
-    groups of one are dropped after each pass, and what is equal to the end are the repeated windows.
-    The first digit of a window is its anchor, the second the whole span of windows around the
-    anchor, the third the window itself. Windows of one anchor are dealt as one row, so a pass moves a row for
-    about every 70 bytes, and later passes only what the earlier ones left open:
+    No suffix is sorted: grouping by hash replaces a depth-limited radix sort of suffixes, which would move a row for
+    every byte in each pass. Windows are grouped by their anchor (``digit``), then by the whole span of windows around the
+    anchor, then by the window itself, and groups of one are dropped. Windows of one anchor are dealt as one row, so the first
+    pass moves a row for about every 70 bytes, and the second only what the first left open:
 
     1. spans are grouped by anchor. An anchor found once has no repeated window; equal spans
        are repeated in all their windows. Copies within a part collapse before that shuffle;
     2. where spans with one anchor differ, one of each distinct span is cut into its windows, and
        these are grouped by anchor and window.
 
-    Digits are compared by 64-bit hashes, two of which must agree. Texts are written once, cut into
+    Anchors, spans and windows are compared by 64-bit hashes, two of which must agree; no bytes are compared. Texts are written once, cut into
     parts of ``part_bytes`` and bucketed by part; every later step reads a part where it lies, and only
     digits and positions are shuffled. A null text is empty; texts shorter than ``length`` stay whole;
     an empty table gives no rows; rows repeated in full are repeats of each other.
