@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as batch
+from tidemark.plans import streams
 from tidemark.plans.stand_ins import EVENT_TYPE, REQUEST_COLUMNS
 from tidemark.session import scratch_path
 from tidemark.streaming import audit, metrics
@@ -95,3 +96,14 @@ def events_of(spark, path):
 def test_quantile_of_one_to_ten(spark):
     values = F.array(*[F.lit(float(v)) for v in range(10, 0, -1)])
     assert spark.range(1).select(batch.rank_quantile(values)).first()[0] == 9.0
+
+
+def test_batches_grow_with_the_table(spark, monkeypatch):
+    """A batch holds a bounded part of the table, so a larger table has more of them."""
+    monkeypatch.setattr(streams, "BATCH_BYTES", 5000, raising=False)
+    target, state = scratch_path(spark, "t"), scratch_path(spark, "s")
+    events = streams._events(spark, SOURCE.rpartition("/")[0])
+    running = metrics.start(events, metrics.batch_windows(target), state, "append")
+    running.awaitTermination()
+    assert metrics.last_batch_id(running) >= 4
+    assert metrics.summed_windows(spark, target).agg(F.sum("events")).first()[0] == spark.read.parquet(SOURCE).count()

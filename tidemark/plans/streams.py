@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,20 @@ from tidemark.session import scratch_path
 from tidemark.streaming import audit, metrics
 
 
+#: Bytes of the stored table in a micro-batch, about.
+BATCH_BYTES = 128 << 20
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table as a stream of several files, newest days first, one file a batch: most of it comes late."""
+    """The table as a stream of batches of about BATCH_BYTES, two at least, newest days first: most of it comes late."""
     path = scratch_path(spark, "events")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events.repartitionByRange(2, F.col("ts").desc()).write.parquet(path)
-    return metrics.stream_parquet(spark, path, "*.parquet", files_per_batch=1)
+    size = int(str(events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    batches = max(2, math.ceil(size / BATCH_BYTES))
+    events.repartitionByRange(batches, F.col("ts").desc()).write.parquet(path)
+    # A deployment may deal out more files than asked for; a batch then takes several.
+    files = len(spark.read.parquet(path).inputFiles())
+    return metrics.stream_parquet(spark, path, "*.parquet", files_per_batch=max(1, math.ceil(files / batches)))
 
 
 def _in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
