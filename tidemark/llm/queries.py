@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lm, minhash, mixing, quality, repeats, sharding, token_counts, token_files, url_rules
+from tidemark.llm import (
+    decontaminate,
+    fill_middle,
+    fingerprints,
+    lexical,
+    lm,
+    minhash,
+    mixing,
+    quality,
+    repeats,
+    sharding,
+    token_counts,
+    token_files,
+    url_rules,
+)
 from tidemark.llm.staging import staged
 from tidemark.session import scratch_path
 
@@ -237,3 +251,79 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scores")
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op11_fill_middle",
+    r"""
+    WITH cut AS (
+      SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+        sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+    ), drawn AS (
+      SELECT doc_id, text, units, len(units) AS n,
+        ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+      FROM cut
+    ), parts AS (
+      SELECT doc_id, text, n, CASE
+          WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+          WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+        array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+        array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix
+      FROM drawn
+    )
+    SELECT doc_id, n::BIGINT AS n, form,
+      CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+        ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+      sha256(text) AS restored_sha256 FROM parts
+    """,
+)
+def fill_middle_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.filled_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        F.col("record.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("fim", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("fim"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_simhash")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH texts AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM documents
+    ), items AS (
+      SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM benchmark
+    ), totals AS (
+      SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM texts WHERE len(terms) > 0
+    ), norms AS (
+      SELECT r, doc_id, 100 - 50 + ((50 * len(terms) * n_docs) // n_terms) AS m FROM texts, totals WHERE len(terms) > 0
+    ), asked AS (
+      SELECT i, item_id, term FROM (SELECT DISTINCT i, item_id, unnest(terms) AS term FROM items)
+    ), counts AS (
+      SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM texts)
+      WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+    ), weights AS (
+      SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM counts, totals GROUP BY term
+    ), scored AS (
+      SELECT i, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN norms USING (r) GROUP BY i, item_id, r, doc_id
+    )
+    SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """,
+)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
