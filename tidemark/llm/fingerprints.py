@@ -120,12 +120,12 @@ def links(nodes: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> Dat
     in the bit struck out, or, if they are equal, in the segment's first bucket only. Buckets of more than ``crowd`` fingerprints are not paired.
     Their fingerprints go to all numbers within half the distance of them: any two that are ``distance``
     apart share such a midpoint, and any two that share one are no further apart, so a chain of each
-    midpoint's fingerprints holds just the right links, in proportion to their number. A midpoint has one
-    row of each fingerprint, 1 in 2,081 of all rows at most.
+    midpoint's fingerprints holds just the right links, in proportion to their number. Neither can hold a
+    large share of the rows: a bucket has one of a fingerprint's 64 rows, a midpoint one of 2,081.
     """
     rows = variants(nodes, distance)
-    common = rows.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = staged(rows.join(common, ["slot", "part"]), "buckets")
+    sized = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("slot", "part")))
+    met = staged(sized.where("n > 1"), "buckets")
 
     few = met.where(F.col("n") <= crowd)
     one = few.select("slot", "part", F.col("fp").alias("a"))
