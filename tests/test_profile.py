@@ -1,12 +1,18 @@
 """Golden profiles of small CSV files."""
 
+import csv
+import io
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import profile, stats
-from tidemark.sources.files import duplicate_headers, scan_csv_raw, scan_csv_typed
+from tidemark.session import scratch_path
+from tidemark.sources.csv_records import ends_inside, marked_lines, records_of, running_state
+from tidemark.sources.files import cells_of, duplicate_headers, scan_csv_raw, scan_csv_typed
 
 GOLDEN = {
     "sales": (
@@ -71,7 +77,7 @@ def test_header_only(spark, write):
 
 def test_quoted_cells(spark, write):
     raw = scan_csv_raw(spark, write('a,b\n"x ""q"" y","l1\nl2"\n1,2,3\n4\n'))
-    assert [tuple(r) for r in raw.collect()] == [('x "q" y', "l1\nl2"), ("1", "2"), ("4", None)]
+    assert Counter(map(tuple, raw.collect())) == Counter([('x "q" y', "l1\nl2"), ("1", "2"), ("4", None)])
 
 
 def test_typed_scan(spark, write):
@@ -83,18 +89,102 @@ def test_typed_scan(spark, write):
 def test_scan_by_lines_reads_the_same_rows(spark, write, text):
     path = write(text)
     whole = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    assert scan_csv_raw(spark, path).collect() == whole.collect()
+    assert Counter(scan_csv_raw(spark, path).collect()) == Counter(whole.collect())
 
 
-def test_large_file_is_read_by_many_tasks(spark, write):
-    path = write("a,b\n" + "1,2\n" * 500_000)
+def cut_scan(spark, path, size):
+    """The scan with files cut every ``size`` bytes; what is kept in between is read as usual."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    kept = scratch_path(spark, "lines")
+    for n in names:
+        spark.conf.set(n, size)
+    try:
+        lines = marked_lines(spark, path)
+        lines.coalesce(4).write.parquet(kept)
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    records = records_of(spark.read.schema(lines.schema).parquet(kept))
+    return cells_of(records, whole_files(spark, path).schema)
+
+
+def whole_files(spark, path):
+    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+@pytest.mark.parametrize("size", ["1k", "61"])
+def test_cut_files_hold_the_records_of_whole_ones(spark, tmp_path, size):
+    """Random cells with quotes, line ends and junk after quotes, cut anywhere, also inside cells longer than a range."""
+    rng = np.random.default_rng(len(size) + int(size.rstrip("k")))
+    path = tmp_path / "cut"
+    path.mkdir()
+    for f in range(3):
+        cells = ["", "a", "b c", " ", '""', '"x,y"', '"l1\nl2"', '"\n\n"', '"q""q"', '"""\n"""', 'in"ner', '"junk"after', '"é\n日"', '"' + "long\n" * 30 + '"']
+        lines = ["a,b,c"] + [",".join(rng.choice(cells, rng.integers(1, 5))) for _ in range(150)]
+        end = rng.choice(["", "\n", "\n\n"])
+        (path / f"{f}.csv").write_text("\n".join(lines) + end, encoding="utf-8", newline="")
+    want = Counter(whole_files(spark, str(path)).collect())
+    assert Counter(cut_scan(spark, str(path), size).collect()) == want
+
+
+@pytest.mark.parametrize("text", ['a,b\n1,"never closed\n2,3\n\n4,"5\n', '"a\nz",b\n1,2\n', "\n\na,b\n1,2\n", '\ufeff"a",b\n"1\n",2\n', "", "a,b", "\n"])
+@pytest.mark.parametrize("size", ["4", "1m"])
+def test_odd_files(spark, write, text, size):
+    path = write(text)
+    want = whole_files(spark, path)
+    got = cut_scan(spark, path, size)
+    assert (got.columns, Counter(got.collect())) == (want.columns, Counter(want.collect()))
+
+
+def test_line_ends_in_cells_stay_as_they_are(spark, write):
+    text = 'a,b\r\n1,"x\r\ny\nz"\r\n\r\n3,4\r\n'
+    want = Counter((r["a"], r["b"]) for r in csv.DictReader(io.StringIO(text, newline="")))
+    assert Counter(map(tuple, cut_scan(spark, write(text), "4").collect())) == want
+
+
+def test_states_of_lines():
+    rng = np.random.default_rng(1)
+    block = np.sort(rng.integers(0, 20, 300))
+    to = np.array([(0, 1), (1, 0), (0, 0), (1, 1)], np.int8)[rng.choice(4, 300, p=[0.6, 0.3, 0.05, 0.05])]
+    for first in (0, 1):
+        want, state = [], first
+        for i in range(300):
+            state = first if i == 0 or block[i] != block[i - 1] else state
+            want.append(state)
+            state = to[i][state]
+        assert running_state(block, to, first).tolist() == want
+    assert ends_inside('a,"b', False) and not ends_inside('a"b,c', False) and ends_inside('x"y,"z', True)
+    assert not ends_inside('x"', True) and ends_inside('x""', True) and not ends_inside('"a"b"c,d', False)
+
+
+def test_folders_of_parts(spark, tmp_path):
+    for day in (1, 2):
+        part = tmp_path / "t" / f"day={day}"
+        part.mkdir(parents=True)
+        (part / "x.csv").write_text(f'a,b\n{day},"u\nv"\n5,6\n')
+    got = scan_csv_raw(spark, str(tmp_path / "t"))
+    assert got.columns == ["a", "b", "day"]
+    assert Counter(map(tuple, got.collect())) == Counter([("1", "u\nv", 1), ("5", "6", 1), ("2", "u\nv", 2), ("5", "6", 2)])
+
+
+def test_one_large_file_with_a_cell_over_lines_is_read_by_many_tasks(spark, write):
+    path = write("a,b\n" + "1,2\n" * 250_000 + '3,"x\ny"\n' + "1,2\n" * 250_000)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
     try:
+        assert marked_lines(spark, path).rdd.getNumPartitions() > 4
         raw = scan_csv_raw(spark, path)
-        assert raw.rdd.getNumPartitions() > 4 and raw.count() == 500_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert raw.count() == 500_001
+    assert raw.where("a = 3").collect()[0]["b"] == "x\ny"
+
+
+def test_types_of_texts(spark, write):
+    text = "i,l,w,d,n,t,b,s,e\n1,3000000000,12345678901234567890123,1.5,NaN,2024-01-02T03:04:05,TRUE,1d,\n-2,,0,1e3,-Inf,2024-01-02,false,2024-13-01,\n"
+    kinds = [f.dataType.simpleString() for f in scan_csv_typed(spark, write(text)).schema.fields]
+    assert kinds == ["int", "bigint", "decimal(38,0)", "double", "double", "timestamp", "boolean", "string", "string"]
 
 
 def test_duplicate_headers(spark, write):
