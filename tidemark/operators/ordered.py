@@ -54,6 +54,31 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str
     )
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """``before_<name>`` for each of ``sums``: its total over the key's earlier rows in ``order``, for keys of any size.
+
+    ``order`` must tell a key's rows apart. Rows are range-partitioned, summed within a partition, and shifted by
+    the key's totals in earlier partitions.
+    """
+    shared_dir(df.sparkSession)
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    ranged = df.repartitionByRange(*by).withColumn("_piece", F.spark_partition_id()).checkpoint()
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    carried = totals.select(
+        *[F.col(k).alias(f"_at_{k}") for k in keys], F.col("_piece").alias("_at_piece"),
+        *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_carried_{c}") for c in sums],
+    )
+    within = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    there = [f"_at_{k}" for k in keys]
+    return (
+        ranged.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
+        .join(carried, same_keys([*keys, "_piece"], [*there, "_at_piece"]))
+        .withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_carried_{c}") for c in sums})
+        .drop("_piece", "_at_piece", *there, *[f"_carried_{c}" for c in sums])
+    )
+
+
 def asof_last(
     df: DataFrame, key: str, order: list[str], piece: Column, is_source: Column, value: Column, name: str,
     strict: bool = False,

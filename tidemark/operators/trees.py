@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
 from tidemark.functions.cells import as_text, column, is_number, to_double
+from tidemark.operators.exact_trees import LOCAL_CELLS, ExactTree, train_exact
 from tidemark.session import scratch_path
 
 SEED = 42
@@ -103,74 +101,25 @@ def split_with_total(df: DataFrame, key: str, share: float = TEST_SHARE, seed: i
     return placed.withColumn("is_test", is_test).drop("_position"), total
 
 
-# --- encoding ------------------------------------------------------------------------------
-
-
-@dataclass
-class Encoding:
-    """Stages that turn coerced columns into a feature vector, and the vector's names."""
-
-    stages: list
-    numeric: list[str]
-    textual: list[str]
-
-
-def encoding_for(df: DataFrame, features: list[str]) -> Encoding:
-    """Choose stages per feature: a value slot if any cell is numeric, one slot per text value.
-
-    One aggregate decides. The model's artifact lists every text value, so the driver holds
-    the distinct values of the features, but no row.
-    """
-    checks = []
-    for name in features:
-        text = column(f"{name}#text")
-        checks += [
-            F.count_if(text.isNull()).alias(f"n:{name}"),
-            F.count(text).alias(f"t:{name}"),
-        ]
-    found = df.agg(*checks).first().asDict()
-    numeric = [n for n in features if found[f"n:{n}"]]
-    textual = [n for n in features if found[f"t:{n}"]]
-    stages: list = []
-    if textual:
-        indexed, slots = [f"{n}#index" for n in textual], [f"{n}#slots" for n in textual]
-        # "keep" gives null and unseen text a last index, which the encoder drops: no slot is set.
-        stages.append(
-            StringIndexer(
-                inputCols=[f"{n}#text" for n in textual], outputCols=indexed,
-                handleInvalid="keep", stringOrderType="alphabetAsc",
-            )
-        )
-        stages.append(OneHotEncoder(inputCols=indexed, outputCols=slots, dropLast=True))
-    inputs = [f"{n}#value" for n in numeric] + [f"{n}#slots" for n in textual]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return Encoding(stages, numeric, textual)
-
-
-def feature_names(model: PipelineModel, encoding: Encoding) -> list[str]:
-    """Vector slot names: ``column`` for values, ``column=text`` for text values."""
-    names = list(encoding.numeric)
-    if encoding.textual:
-        indexer = model.stages[0]
-        for name, labels in zip(encoding.textual, indexer.labelsArray):
-            names += [f"{name}{label}" for label in labels]
-    return names
-
-
 # --- training ------------------------------------------------------------------------------
 
 
 @dataclass
 class TrainedTree:
-    """A fitted model with its scores; every member is small."""
+    """A fitted model with its scores; the tree itself stays in tables."""
 
-    model: PipelineModel
+    model: ExactTree
     model_type: str
     metric_name: str
     train_score: float
     test_score: float
     overfit_detected: bool
-    importances: list[tuple[str, float]]
+    weights: DataFrame
+
+    @cached_property
+    def importances(self) -> list[tuple[str, float]]:
+        """Features with weight, the heaviest first."""
+        return [(r["name"], r["importance"]) for r in self.weights.orderBy(F.desc("importance"), "name").collect()]
 
 
 def _labelled(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -208,15 +157,16 @@ def check_labels(rows: DataFrame) -> None:
 
 
 def train_model(
-    df: DataFrame, target: str, task: str, key: str, artifact_path: str | None = None, max_depth: int = 30
+    df: DataFrame, target: str, task: str, key: str, artifact_path: str | None = None, local_cells: int = LOCAL_CELLS
 ) -> TrainedTree:
     """Train a tree on every column but ``target`` and ``key``; any task but regression classifies.
 
-    Raises ValueError for an empty dataset, a missing target or fewer than two labelled rows.
+    Splits are exact and depth is not bounded, see ``train_exact``. Raises ValueError for an empty dataset, a missing
+    target or fewer than two labelled rows.
     """
     if target not in df.columns:
         raise ValueError("Dataset is empty" if df.isEmpty() else f"Target column '{target}' was not found")
-    features = [n for n in df.columns if n not in (target, key)]
+    features = sorted(n for n in df.columns if n not in (target, key))
     labelled = _labelled(drop_unlabelled(df, target), target, task).select(key, "_label", *features)
     # Read many times: a table in the shared folder outlives executors.
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "training")
@@ -228,32 +178,15 @@ def train_model(
         raise ValueError("Need at least two labeled rows to train a model")
     if task == "regression":
         check_labels(rows)
-    encoding = encoding_for(rows, features)
-    stages = list(encoding.stages)
-    settings = {
-        "featuresCol": "features", "maxDepth": max_depth, "minInstancesPerNode": 1, "seed": SEED,
-        "maxBins": 32, "maxMemoryInMB": 1024,
-    }
+    model, predictions = train_exact(rows, features, task, local_cells)
     if task == "regression":
-        tree = DecisionTreeRegressor(labelCol="_label", **settings)
+        compared = predictions.select("is_test", F.col("truth_value").alias("_label"), F.col("value").alias("prediction"))
     else:
-        stages.append(StringIndexer(inputCol="_label", outputCol="label_index", stringOrderType="alphabetAsc"))
-        tree = DecisionTreeClassifier(labelCol="label_index", **settings)
-    # Encoders learn from all rows, the tree only from the training part.
-    encoder = Pipeline(stages=stages).fit(rows)
-    encoded = encoder.transform(rows)
-    fitted = tree.fit(encoded.where(~F.col("is_test")))
-    by_part = {r["is_test"]: r["score"] for r in scores(fitted.transform(encoded), task).collect()}
-    answer = []
-    if task != "regression":
-        answer = [IndexToString(inputCol="prediction", outputCol="predicted", labels=encoder.stages[-1].labels)]
-    model = PipelineModel(encoder.stages + [fitted] + answer)
-    names = feature_names(encoder, encoding)
-    weights = fitted.featureImportances.toArray()
-    ranked = sorted(((n, float(w)) for n, w in zip(names, weights) if w > 0), key=lambda item: -item[1])
+        compared = predictions.select("is_test", F.col("truth").alias("label_index"), F.col("label").alias("prediction"))
+    by_part = {r["is_test"]: r["score"] for r in scores(compared, task).collect()}
     train, test = float(by_part.get(False, math.nan)), float(by_part.get(True, math.nan))
     if artifact_path:
-        save_model(model, artifact_path)
+        model.save(artifact_path)
     return TrainedTree(
         model=model,
         model_type="DecisionTreeRegressor" if task == "regression" else "DecisionTreeClassifier",
@@ -261,7 +194,7 @@ def train_model(
         train_score=train,
         test_score=test,
         overfit_detected=train - test > fixed.OVERFIT_GAP,
-        importances=ranked,
+        weights=model.importances(),
     )
 
 
@@ -269,11 +202,6 @@ def artifact_name(workspace_id: int, dataset_id: int, target: str) -> str:
     return f"ws{workspace_id}_dataset{dataset_id}_{target}"
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Encoders and tree as one artifact."""
-    model.write().overwrite().save(path)
-
-
 def record_run(spark: SparkSession, trained: TrainedTree, artifact: str, path: str) -> None:
     """Append a training run's row to the registry table at ``path``."""
     row = (trained.model_type, trained.metric_name, trained.train_score, trained.test_score, trained.overfit_detected, artifact)
@@ -285,10 +213,13 @@ def record_run(spark: SparkSession, trained: TrainedTree, artifact: str, path: s
 
 
 def score_model(df: DataFrame, features: list[str], path: str) -> DataFrame:
-    """Predictions of a stored model for new rows; text values never seen count as none.
+    """Predictions of a stored model for new rows; text values never seen fit no split.
 
-    ``prediction`` is the number of the class or the predicted value; a classifier's label is ``predicted``.
+    Columns that are no features stay; a classifier's label is ``predicted``, a regressor's value ``prediction``.
     """
-    model = PipelineModel.load(path)
-    stages = [s for s in model.stages if not (s.__class__.__name__ == "StringIndexerModel" and s.isSet("inputCol"))]
-    return PipelineModel(stages).transform(coerce_features(df, features))
+    model = ExactTree.load(df.sparkSession, path)
+    missing = sorted(set(model.features) - set(features))
+    if missing:
+        raise ValueError(f"Features are missing: {', '.join(missing)}")
+    scored = model.predicted(coerce_features(df, model.features))
+    return scored.select("record.*", F.col("label").alias("predicted"), F.col("value").alias("prediction"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import normalise
-from tidemark.operators import trees
+from tidemark.operators import slots, trees
 from tidemark.operators.sql import run_sql
 from tidemark.plans.catalog import query
 from tidemark.plans.stand_ins import dirty_parts, dirty_sql, table
@@ -70,24 +70,26 @@ def _rule_score(model_type: str, metric: str, right: str, extra: str = "") -> st
 _ACCURACY = f"AVG(CASE WHEN ({_URGENT.format(p='o_orderpriority')} = 'urgent') = (o_orderpriority < '3') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
 
+_PART_SLOTS = (
+    "cells AS (SELECT p_partkey, unnest([struct_pack(name := 'p_name=' || p_name, v := 1.0::DOUBLE), struct_pack(name := 'p_brand=' || p_brand, v := 1.0), "
+    "struct_pack(name := 'p_type=' || p_type, v := 1.0), struct_pack(name := 'p_size', v := p_size::DOUBLE), struct_pack(name := 'p_retailprice', v := p_retailprice)]) AS c FROM part), "
+    "slots AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS slot FROM (SELECT DISTINCT c.name AS name FROM cells))"
+)
+
+
 @query(
     "encode_features",
-    "SELECT s_suppkey, CAST((SELECT COUNT(DISTINCT s_name) FROM supplier) + 2 AS INTEGER) AS width, "
-    "CAST((s_name IS NOT NULL)::INTEGER + (s_nationkey <> 0)::INTEGER + (s_acctbal <> 0)::INTEGER AS INTEGER) AS filled FROM supplier",
+    f"WITH {_PART_SLOTS} SELECT p_partkey, (SELECT COUNT(*) FROM slots)::BIGINT AS width, COUNT(*)::INTEGER AS filled, string_agg(slot::VARCHAR, ',' ORDER BY slot) AS slots, "
+    "SUM(slot * c.v)::DOUBLE AS weighted FROM cells JOIN slots ON slots.name = c.name WHERE c.v <> 0 GROUP BY p_partkey",
 )
 def encode_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector width and filled slots of every supplier: text becomes one slot per value."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
-    suppliers = table(spark, sf_dir, "supplier")
-    features = [c for c in suppliers.columns if c != "s_suppkey"]
-    cells = trees.coerce_features(suppliers, features)
-    encoder = Pipeline(stages=trees.encoding_for(cells, features).stages).fit(cells)
-    vector = vector_to_array("features")
-    return encoder.transform(cells).select(
-        "s_suppkey", F.size(vector).alias("width"), F.size(F.filter(vector, lambda x: x != 0)).alias("filled")
-    )
+    """Every part as a sparse vector: width, filled slots in order, and a sum over slots and values."""
+    parts = table(spark, sf_dir, "part")
+    features = [c for c in parts.columns if c != "p_partkey"]
+    cells = trees.coerce_features(parts, features)
+    vectors = slots.encoded(cells, features, slots.slot_table(cells, features), "p_partkey")
+    weighted = F.aggregate(F.arrays_zip("slots", "values"), F.lit(0.0), lambda total, c: total + c["slots"] * c["values"])
+    return vectors.select("p_partkey", "width", F.size("slots").alias("filled"), F.array_join("slots", ",").alias("slots"), weighted.alias("weighted"))
 
 
 def _scores(spark: SparkSession, trained: trees.TrainedTree) -> DataFrame:
@@ -115,6 +117,36 @@ def train_tree_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, trees.train_model(orders, "worth", "regression", "o_orderkey"))
 
 
+def _order_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines folded to one row per order, with a shape that takes several splits to tell."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("top_price"),
+        F.min("l_returnflag").alias("flag"), F.max("l_shipdate").cast("date").cast("string").alias("shipped"),
+    )
+    shape = F.when((F.col("lines") > 4) & (F.col("flag") != "R"), "many").when(F.col("top_price") > 60000, "costly").otherwise("plain")
+    return lines.withColumn("shape", shape)
+
+
+@query(
+    "train_tree_shapes",
+    "SELECT 'DecisionTreeClassifier' AS model_type, 1.0::DOUBLE AS train_score, TRUE AS tells_new_orders",
+)
+def train_tree_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of several levels over all order lines: right on every training order and nearly all others."""
+    trained = trees.train_model(_order_shapes(spark, sf_dir), "shape", "classification", "l_orderkey")
+    row = (trained.model_type, trained.train_score, trained.test_score > 0.97)
+    return spark.createDataFrame([row], "model_type string, train_score double, tells_new_orders boolean")
+
+
+@query("train_tree_prices", "SELECT 'DecisionTreeRegressor' AS model_type, 1.0::DOUBLE AS train_score, TRUE AS tells_new_parts")
+def train_tree_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retail prices of parts from their key digits and cells: one leaf for each part the tree was grown on."""
+    parts = table(spark, sf_dir, "part").withColumn("cell", F.col("p_partkey"))
+    trained = trees.train_model(parts, "p_retailprice", "regression", "p_partkey")
+    row = (trained.model_type, round(trained.train_score, 9), trained.test_score > 0.97)
+    return spark.createDataFrame([row], "model_type string, train_score double, tells_new_parts boolean")
+
+
 @query("train_model", _rule_score("DecisionTreeClassifier", "accuracy", _ACCURACY, ", 'ws1_dataset3_urgency' AS artifact, s AS metric_value"))
 def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, score and store a model; the run's row as it is read back from the registry."""
