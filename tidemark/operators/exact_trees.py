@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cells import column
 from tidemark.operators.ordered import running_sums
-from tidemark.session import scratch_path
+from tidemark.session import let_workers_import, scratch_path
 
 #: Cells of a node that one task may finish.
 LOCAL_CELLS = 1 << 21
@@ -303,6 +303,7 @@ class ExactTree:
         Rows walk down the top nodes by joins, then meet the nodes of their subtree; the rows of one
         subtree are dealt over as many tasks as their number asks for.
         """
+        let_workers_import(cells.sparkSession)
         width = len(self.features)
         rows = as_rows(cells, self.features).withColumn("node", F.lit(ROOT))
         inner = self.top.where("feature IS NOT NULL").select(F.col("node").alias("_node"), "feature", "is_text", "threshold", "text")
@@ -367,6 +368,7 @@ def train_exact(cells: DataFrame, features: list[str], task: str, local_cells: i
     numbers by variance; among equal splits the first feature, number before text, and lowest value wins. A node ends as a leaf when its
     targets agree or no cell differs, at whatever depth.
     """
+    let_workers_import(cells.sparkSession)
     regression = task == "regression"
     width = len(features)
     target = [F.col("_label").cast("string").alias("label"), F.lit(None).cast("double").alias("y")]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import scratch_path
+from tidemark.session import let_workers_import, scratch_path
 
 # A quoted cell's content, and cells that end on their line; what follows a closing quote belongs to the cell.
 _INSIDE = re.compile(r'[^"]*+(?:""[^"]*+)*+')
@@ -126,6 +126,7 @@ def _states(lines: DataFrame) -> DataFrame:
 
 def marked_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """folders, value, file, block, line, mark: every line with its place and its states, for whatever ranges Spark cuts."""
+    let_workers_import(spark)
     text = spark.read.option("lineSep", "\n").text(path)
     folders = [c for c in text.columns if c != "value"]
     read = text.select(
