@@ -7,15 +7,16 @@ pre-token there. The pieces' ids in a row are then exactly the ids of the whole
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
 
 from tidemark.llm.arrays import WHITE, hash_words
 
-#: Pieces that a worker remembers before it starts anew, and text of pieces encoded in one call.
-REMEMBERED = 1_000_000
-CALL_BYTES = 1 << 20
+#: Bytes of remembered pieces before a worker starts anew, and text of pieces encoded in one call.
+REMEMBERED_BYTES = 32 << 20
+CALL_BYTES = 1 << 18
 
 # May follow a cut: visible ASCII, and lead bytes under which Unicode has no white space.
 _PLAIN = np.zeros(256, dtype=bool)
@@ -26,6 +27,8 @@ _PLAIN[[0xE1, 0xE2, 0xE3]] = False
 
 def load(path: str):
     """The tokenizer of a file, without truncation and padding."""
+    # Each worker has one core: the library's own threads would only add memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
@@ -97,7 +100,7 @@ class PieceEncoder:
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         if not known.all():
-            if len(self.keys) + int((~known).sum()) > REMEMBERED:
+            if self.keys.nbytes + self.counts.nbytes + self.first.nbytes + self.ids.nbytes > REMEMBERED_BYTES:
                 self._forget()
                 known[:] = False
             new = where[~known]
@@ -128,7 +131,8 @@ _held: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def encoder(path: str, keep_ids: bool) -> PieceEncoder:
-    """This worker's encoder; it outlives a task."""
+    """This worker's encoder; it outlives a task, and another one takes its place."""
     if (path, keep_ids) not in _held:
+        _held.clear()
         _held[path, keep_ids] = PieceEncoder(path, keep_ids)
     return _held[path, keep_ids]
