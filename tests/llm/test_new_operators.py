@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_middle, fingerprints, lexical
+from tidemark.llm import fill_middle, fingerprints, lexical, minhash
 from tidemark.llm.arrays import flat
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -225,3 +225,18 @@ def test_ranking_of_odd_rows(spark, odd):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert Counter(tuple(r) for r in lexical.ranked(odd, asked).collect()) == plain_ranking(rows, rows, 50)
     assert lexical.ranked(odd, asked.limit(0)).count() == 0 and lexical.ranked(odd.limit(0), asked).count() == 0
+
+
+# --- near-duplicates: the bound by bits -------------------------------------------------------
+
+
+def test_bits_never_understate_the_overlap(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], rng.integers(1, 60))) for _ in range(40)]
+    owner, shingle, count = minhash.bags(*flat(pa.array(texts)))
+    bits = minhash.unit_bits(owner, shingle, count, len(texts))
+    held = [Counter(dict(zip(shingle[owner == i].tolist(), count[owner == i].tolist()))) for i in range(len(texts))]
+    rows = [(i, j, bits[i].tolist(), bits[j].tolist()) for i in range(40) for j in range(40)]
+    df = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>")
+    for r in df.select("i", "j", minhash.units_lost(F.col("a"), F.col("b")).alias("lost")).collect():
+        assert r.lost <= (held[r.i] - held[r.j]).total()

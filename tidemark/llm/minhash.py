@@ -22,6 +22,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 BATCH_BYTES = 1 << 20
+#: Bits that tell which units a multiset may hold.
+BITS = 4096
 #: Nodes of a bucket, after the first, that what is outside its largest class meets before all others.
 PIVOTS = 8
 
@@ -143,8 +145,18 @@ def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return rows.mapInArrow(sketch, "doc_id long, text_key binary, node binary, size long, bands array<long>")
 
 
+def unit_bits(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """(n, BITS / 64) words: one bit for each unit, the k-th repetition of a shingle, at a place that its hash gives."""
+    at = np.repeat(np.arange(len(owner)), np.minimum(count, BITS))
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(np.minimum(count, BITS)) - np.minimum(count, BITS), np.minimum(count, BITS))
+    place = (mix(shingle[at] + mix(nth.astype(np.uint64) + np.uint64(99))) % np.uint64(BITS)).astype(np.int64)
+    bits = np.zeros((n, BITS), bool)
+    bits[owner[at], place] = True
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
 def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """node, shingles, counts of the texts with the ``wanted`` text keys, one row for each node."""
+    """node, shingles, counts, bits of the texts with the ``wanted`` text keys, one row for each node."""
     rows = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     # Always a merge join: one plan at every size, and large groups of copies can be split.
     rows = rows.join(wanted.hint("merge"), "text_key", "left_semi")
@@ -168,11 +180,22 @@ def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
                         pa.array(_digests(owner, shingle, count, j - i), pa.binary()),
                         pa.ListArray.from_arrays(edges, pa.array(shingle.view(np.int64))),
                         pa.ListArray.from_arrays(edges, pa.array(count.astype(np.int32))),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(j - i + 1, dtype=np.int32) * (BITS // 64)),
+                            pa.array(unit_bits(owner, shingle, count, j - i).reshape(-1)),
+                        ),
                     ],
-                    names=["node", "shingles", "counts"],
+                    names=["node", "shingles", "counts", "bits"],
                 )
 
-    return rows.mapInArrow(bag, "node binary, shingles array<long>, counts array<int>").dropDuplicates(["node"])
+    schema = "node binary, shingles array<long>, counts array<int>, bits array<long>"
+    return rows.mapInArrow(bag, schema).dropDuplicates(["node"])
+
+
+def units_lost(a: Column, b: Column) -> Column:
+    """Units of a multiset that another cannot hold, at least: bits of ``a`` that are not set in ``b``."""
+    alone = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(alone, F.lit(0), lambda total, n: total + n)
 
 
 @F.pandas_udf(DoubleType())
@@ -186,24 +209,6 @@ def multiset_overlap(sa: pd.Series, ca: pd.Series, sb: pd.Series, cb: pd.Series)
     return pd.Series(out, dtype=float)
 
 
-def prefixes(units: DataFrame, spread: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """node, unit: each node's rarest units, of which a node as similar as ``similarity`` must share one.
-
-    A unit is the k-th repetition of a shingle. Two multisets of that similarity share at least that part of each one's
-    units. So of s units, in one order for all nodes, the first s - ceil(similarity * s) + 1 hold a shared one. The order
-    is by the number of nodes that hold the shingle.
-    """
-    known = units.join(nodes, "node", "left_semi").select("node", F.col("s.shingles").alias("_shingle"), F.col("s.counts").alias("count"))
-    ranked = known.join(spread.select("shingle", "n"), F.col("shingle") == F.col("_shingle"))
-    by_node = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "count"))).alias("held"), F.sum("count").alias("size"))
-    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    # No shingle gives more units than the prefix has.
-    each = F.flatten(F.transform("held", lambda h: F.transform(
-        F.sequence(F.lit(1), F.least(h["count"].cast("long"), length)), lambda k: F.xxhash64(h["shingle"], k)
-    )))
-    return by_node.select("node", F.explode(F.slice(each, F.lit(1), length.cast("int"))).alias("unit"))
-
-
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -212,10 +217,10 @@ def near_duplicates(
     Documents with one multiset of shingles are one node; only nodes are compared, so copies are
     never paired. Nodes that share a band meet in its bucket. There the node with the fewest shingles of
     its own is compared with all others, which joins most near copies, and the next PIVOTS nodes with
-    what is still outside the bucket's largest class; then what is outside is compared with those
-    members of other classes with which it shares one of its rarest units (see ``prefixes``). So no pair of two classes that share a band is
-    left out, and nodes that share only a common passage don't meet. A pair is spared if its sizes, or the shingles that
-    either shares with no other node, rule the similarity out. Pairs are verified on the exact multisets.
+    what is still outside the bucket's largest class; then everything outside is compared with all
+    members of other classes, since nodes of one class need no more links. So no pair of two classes that share a band is left out, and a
+    bucket of n near copies costs about n pairs. A pair is spared if its sizes, the shingles that
+    either shares with no other node, or the bits of units that one has and the other has not, rule the similarity out. Pairs are verified on the exact multisets.
     Nodes and links are tables; nothing of all documents reaches the driver.
 
     Texts without words form classes of their own. ``class_id`` is the smallest ``key`` of the class, null if
@@ -239,13 +244,13 @@ def near_duplicates(
     # Shingles of one node alone cannot be shared; among the crowded nodes, as only those are compared by this.
     members = crowded.select("m.node").distinct()
     units = held.join(members, "node").select("node", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
-    spread = staged(
-        units.groupBy(F.col("s.shingles").alias("shingle")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("s.counts").alias("units")
-        ),
-        "spread",
+    own = (
+        units.groupBy("s.shingles")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("s.counts").alias("units"))
+        .where("n = 1")
+        .groupBy("node")
+        .agg(F.sum("units").alias("own"))
     )
-    own = spread.where("n = 1").groupBy("node").agg(F.sum("units").alias("own"))
     crowd = crowded.join(own.withColumnRenamed("node", "_node"), F.col("m.node") == F.col("_node"), "left")
     m = F.struct(F.col("m.node").alias("node"), F.col("m.size").alias("size"), (F.col("m.size") - F.coalesce("own", F.lit(0))).alias("shared"))
     crowd = staged(crowd.select("bucket", m.alias("m")), "crowd")
@@ -292,12 +297,14 @@ def near_duplicates(
         others = open_ if last else open_.join(centres.where("nth > 1"), "bucket").where("m.node = p.node")
         others = others.select(F.col("bucket").alias("_bucket"), "m", "component")
         apart = (F.col("bucket") == F.col("_bucket")) & (F.col("component") != F.col("_component"))
+        likely = possible(F.col("m"), F.col("o"))
         if last:
-            first_units = staged(prefixes(units, spread, open_.select("m.node").distinct(), similarity), "prefixes")
-            outside = outside.join(first_units, F.col("o.node") == F.col("node")).drop("node")
-            others = others.join(first_units.withColumnRenamed("unit", "_unit"), F.col("m.node") == F.col("node")).drop("node")
-            apart = apart & (F.col("unit") == F.col("_unit"))
-        crossing = others.join(outside, apart & possible(F.col("m"), F.col("o")))
+            bits = held.select("node", "bits")
+            outside = outside.join(bits, F.col("o.node") == F.col("node")).drop("node")
+            others = others.join(bits.withColumnRenamed("bits", "_bits"), F.col("m.node") == F.col("node")).drop("node")
+            most = F.least(F.col("m.size") - units_lost(F.col("_bits"), F.col("bits")), F.col("o.size") - units_lost(F.col("bits"), F.col("_bits")))
+            likely = likely & (most >= F.lit(similarity - 1e-9) * (F.col("m.size") + F.col("o.size") - most))
+        crossing = others.join(outside, apart & likely)
         fresh = pairs_of(crossing.select(F.col("m").alias("a"), F.col("o").alias("b"))).join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh, "pairs")
         tested = tested.unionByName(fresh)
