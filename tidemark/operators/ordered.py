@@ -7,9 +7,10 @@ pieces, and carries a small summary (one row per piece) from piece to piece.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir
@@ -80,17 +81,24 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: list[st
 
 
 def asof_last(
-    df: DataFrame, key: str, order: list[str], piece: Column, is_source: Column, value: Column, name: str,
+    df: DataFrame, key: str, order: list[str], piece: Column | None, is_source: Column, value: Column, name: str,
     strict: bool = False,
 ) -> DataFrame:
     """For every row, the value of the key's newest source row at or before it (null if none).
 
     ``strict`` leaves the row itself out, which gives the previous source row.
     ``piece`` must rise with ``order`` (such as the hour of the time column): a piece of a key
-    is sorted in one task, and the newest value of each piece is carried to the next ones. Rows with
+    is sorted in one task, and the newest value of each piece is carried to the next ones. Without it, pieces are
+    cut where the rows lie, by sampled quantiles of key and order, so that a hot hour of a key is several. Rows with
     a null key form a key of their own; null times come first.
     """
-    pieces = df.withColumn("_piece", piece).withColumn("_source", F.when(is_source, value))
+    marked = df.withColumn("_source", F.when(is_source, value))
+    if piece is None:
+        shared_dir(df.sparkSession)
+        ranged = marked.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (key, *order)])
+        pieces = ranged.withColumn("_piece", F.spark_partition_id()).checkpoint()
+    else:
+        pieces = marked.withColumn("_piece", piece)
     within = Window.partitionBy(key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -155,3 +163,97 @@ def count_in_ranges(
         .groupBy(F.col("_range").alias(range_id))
         .agg(F.sum(F.col("_sign") * (F.col("_here") + F.col("_offset"))).alias(name))
     )
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, key: str, at: str, right_id: str, name: str, piece: Column | None = None
+) -> DataFrame:
+    """The rows of ``left`` with ``name``: the ``right_id`` of the key's newest row of ``right`` at or before ``at`` (null if none).
+
+    Both tables have ``key`` and ``at``; of right rows at one time the largest id counts. Rows of both stand in one order, so no pair is built;
+    see ``asof_last`` for how keys of any size are cut.
+    """
+    rows = left.select(F.struct(*left.columns).alias("_row"), F.col(key), F.col(at), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"))
+    sources = right.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(key), F.col(at), F.lit(0).alias("_side"), F.col(right_id).alias("_id"))
+    both = rows.unionByName(sources)
+    found = asof_last(both, key, [at, "_side", "_id"], piece, F.col("_side") == 0, F.col("_id"), "_found")
+    # A null key or time is before or after nothing.
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    return found.where("_side = 1").select("_row.*", F.when(known, F.col("_found")).alias(name))
+
+
+def pairs_in_ranges(
+    points: DataFrame, ranges: DataFrame, key: str, point_id: str, range_id: str, at: str, low: str, high: str, width: int,
+    most: int = 100_000,
+) -> DataFrame:
+    """range_id, point_id: every pair of one key with the point in (low, high].
+
+    Positions are whole numbers, cut into buckets of ``width``. A point has one bucket and a range all it touches, so a pair
+    meets once. A bucket of a key with more than ``most`` points is dealt over several tasks, each with all its ranges.
+    Null keys and positions match nothing.
+    """
+    held = points.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(point_id), F.col(at).alias("_at"), F.floor(F.col(at) / width).alias("_bucket")
+    )
+    wanted = ranges.where(F.col(key).isNotNull() & (F.col(low) < F.col(high))).select(
+        F.col(key).alias("_own"), F.col(range_id), F.col(low).alias("_low"), F.col(high).alias("_high"),
+        F.explode(F.sequence(F.floor((F.col(low) + 1) / width), F.floor(F.col(high) / width))).alias("_place"),
+    )
+    crowded = held.groupBy("_key", "_bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")).where("_parts > 1")
+    crowded = crowded.withColumnsRenamed({"_key": "_hot_key", "_bucket": "_hot_bucket"})
+    here = (F.col("_key") == F.col("_hot_key")) & (F.col("_bucket") == F.col("_hot_bucket"))
+    there = (F.col("_own") == F.col("_hot_key")) & (F.col("_place") == F.col("_hot_bucket"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = held.join(crowded, here, "left").withColumn("_part", F.pmod(F.xxhash64(point_id, "_at"), parts).cast("int"))
+    copied = wanted.join(crowded, there, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt, copied = (d.drop("_hot_key", "_hot_bucket", "_parts") for d in (dealt, copied))
+    match = (
+        (F.col("_key") == F.col("_own")) & (F.col("_bucket") == F.col("_place")) & (F.col("_part") == F.col("_copy"))
+        & (F.col("_at") > F.col("_low")) & (F.col("_at") <= F.col("_high"))
+    )
+    return dealt.join(copied, match).select(range_id, point_id)
+
+
+def framed(df: DataFrame, keys: list[str], order: list[Column], before: int, after: int, columns: dict[str, Callable[[WindowSpec], Column]], size: int = 1 << 16) -> DataFrame:
+    """Window expressions over frames of ``before`` preceding and ``after`` following rows, for keys of any size.
+
+    ``columns``: name to a function of the ordered window; it may look no further than the frame (``lag(x, before)``,
+    ``sum(x).over(w.rowsBetween(-before, after))``). Rows are numbered within their key and cut into pieces of ``size``; a piece also gets
+    copies of the rows before and after it that its frames reach.
+    """
+    size = max(size, before + after, 1)
+    numbered = number_within(df, keys, order, "_position")
+    place = F.col("_position") - 1
+    home, inside = F.floor(place / size), place % size
+    pieces = F.array_compact(F.array(home, F.when(inside >= size - before, home + 1), F.when((inside < after) & (home > 0), home - 1)))
+    spread = numbered.withColumn("_home", home).withColumn("_in", F.explode(pieces))
+    window = Window.partitionBy(*keys, "_in").orderBy("_position")
+    done = spread.withColumns({name: make(window) for name, make in columns.items()})
+    return done.where(F.col("_in") == F.col("_home")).drop("_position", "_home", "_in")
+
+
+def ranked_within(df: DataFrame, keys: list[str], order: list[str], buckets: int) -> DataFrame:
+    """position, rank, tile, percent_rank, cume_dist of every row in ``order`` (ascending, nulls first), for keys of any size.
+
+    All follow from positions over the whole key: a row's rank is the first position of its equals, its cumulative share
+    their last. Equal rows get positions in arbitrary order.
+    """
+    numbered = number_within(df, keys, [F.col(c).asc_nulls_first() for c in order], "position")
+    equals = numbered.groupBy(*keys, *order).agg(F.min("position").alias("rank"), F.max("position").alias("_last"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    mine = [*keys, *order]
+    equals = equals.withColumnsRenamed({c: f"_e_{c}" for c in mine})
+    counts = counts.withColumnsRenamed({c: f"_c_{c}" for c in keys})
+    joined = numbered.join(equals, same_keys(mine, [f"_e_{c}" for c in mine])).join(counts, same_keys(keys, [f"_c_{c}" for c in keys]))
+    n, small, long = F.col("_rows"), F.floor(F.col("_rows") / buckets), F.col("_rows") % buckets
+    edge = long * (small + 1)
+    tile = F.when(F.col("position") <= edge, F.floor((F.col("position") - 1) / (small + 1)) + 1).otherwise(
+        long + F.floor((F.col("position") - 1 - edge) / F.greatest(small, F.lit(1))) + 1
+    )
+    return joined.withColumns(
+        {
+            "tile": tile,
+            "percent_rank": F.when(n > 1, (F.col("rank") - 1) / F.greatest(n - 1, F.lit(1))).otherwise(F.lit(0.0)),
+            "cume_dist": F.col("_last") / n,
+        }
+    ).drop("_last", "_rows", *[f"_e_{c}" for c in mine], *[f"_c_{c}" for c in keys])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import asof_last, count_in_ranges
+from tidemark.operators.ordered import asof_join as asof_join_tables
+from tidemark.operators.ordered import asof_last, count_in_ranges, framed, pairs_in_ranges, ranked_within, running_sums
+from tidemark.operators.selection import modes, quantiles, sample_rows
 from tidemark.operators.sql import capped, run_sql, suggested_sql
 from tidemark.plans.catalog import query
 from tidemark.plans.stand_ins import table
@@ -134,6 +136,33 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("event_type = 'purchase' AND view_id IS NOT NULL").select("event_id", "view_id")
 
 
+@query(
+    "sql_range_pairs",
+    "SELECT p.event_id AS purchase_id, e.event_id FROM events p JOIN events e ON e.user_id = p.user_id AND e.ts > p.ts "
+    "AND e.ts <= p.ts + INTERVAL 1 HOUR WHERE p.event_type = 'purchase'",
+)
+def range_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of the same user within an hour after each purchase."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", at.alias("at"))
+    ranges = events.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("purchase_id"), "user_id", F.col("at").alias("low"), (F.col("at") + HOUR_MICROS).alias("high")
+    )
+    return pairs_in_ranges(events, ranges, "user_id", "event_id", "purchase_id", "at", "low", "high", HOUR_MICROS)
+
+
+@query(
+    "sql_asof_tables",
+    "SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders) o ASOF LEFT JOIN "
+    "(SELECT user_id, ts - INTERVAL 6 YEAR AS ts, max(event_id) AS event_id FROM events GROUP BY ALL) e ON e.user_id = o.o_custkey AND e.ts <= o.o_orderdate",
+)
+def asof_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer's newest event (moved to the orders' years) before each order: two tables, pieces cut where the rows lie."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 6 YEAR")).alias("ts"))
+    return asof_join_tables(orders, events, "user_id", "ts", "event_id", "event_id").select("o_orderkey", "event_id")
+
+
 # --- aggregates ----------------------------------------------------------------------------
 
 statement(
@@ -183,6 +212,26 @@ statement(
     "SELECT l_returnflag, l_quantity AS common_quantity FROM (SELECT l_returnflag, l_quantity, row_number() OVER "
     "(PARTITION BY l_returnflag ORDER BY COUNT(*) DESC, l_quantity) AS n FROM dataset GROUP BY l_returnflag, l_quantity) t WHERE n = 1",
 )
+@query(
+    "sql_wide_percentiles",
+    "SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.5), 6) AS median_price, ROUND(quantile_cont(l_extendedprice, 0.9), 6) AS p90, "
+    "quantile_disc(l_extendedprice, 0.25) AS p25 FROM lineitem GROUP BY l_returnflag",
+)
+def wide_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of a column with nearly as many values as rows."""
+    found = quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"median_price": 0.5, "p90": 0.9}, {"p25": 0.25})
+    return found.select("l_returnflag", F.round("median_price", 6).alias("median_price"), F.round("p90", 6).alias("p90"), "p25")
+
+
+@query(
+    "sql_wide_mode",
+    "SELECT l_returnflag, l_extendedprice, times FROM (SELECT l_returnflag, l_extendedprice, COUNT(*) AS times, row_number() OVER "
+    "(PARTITION BY l_returnflag ORDER BY COUNT(*) DESC, l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag, l_extendedprice) t WHERE n = 1",
+)
+def wide_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modes(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
+
+
 statement(
     "sql_string_agg", "orders",
     "SELECT o_custkey, listagg(DISTINCT o_orderpriority, ',') WITHIN GROUP (ORDER BY o_orderpriority) AS priorities FROM dataset GROUP BY o_custkey",
@@ -232,6 +281,70 @@ _monthly(
     "MAX(n) OVER (PARTITION BY p) AS peak",
 )
 
+# --- windows over raw rows: three keys hold all lines -------------------------------------------
+
+_LINE = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+_LINE_ORDER = f"(PARTITION BY l_returnflag ORDER BY {', '.join(_LINE)})"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", *_LINE)
+
+
+@query(
+    "sql_wide_frames",
+    "SELECT l_returnflag, l_extendedprice, l_orderkey, l_linenumber, SUM(l_quantity) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last_three, "
+    "MAX(l_quantity) OVER (w ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING) AS around, lag(l_extendedprice, 2) OVER w AS before, "
+    f"lead(l_extendedprice, 3) OVER w AS later FROM lineitem WINDOW w AS {_LINE_ORDER}",
+)
+def wide_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving sums, lag and lead over all order lines of a return flag."""
+    done = framed(
+        _lines(spark, sf_dir), ["l_returnflag"], [F.col(c) for c in _LINE], 2, 3,
+        {
+            "last_three": lambda w: F.sum("l_quantity").over(w.rowsBetween(-2, 0)),
+            "around": lambda w: F.max("l_quantity").over(w.rowsBetween(-1, 3)),
+            "before": lambda w: F.lag("l_extendedprice", 2).over(w),
+            "later": lambda w: F.lead("l_extendedprice", 3).over(w),
+        },
+    )
+    return done.drop("l_partkey", "l_suppkey", "l_quantity")
+
+
+@query(
+    "sql_wide_running",
+    f"SELECT l_returnflag, l_extendedprice, CAST(SUM(SUM(l_linenumber)) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS BIGINT) AS running "
+    "FROM lineitem GROUP BY l_returnflag, l_extendedprice",
+)
+def wide_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals by price over all order lines of a return flag."""
+    prices = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.sum("l_linenumber").alias("lines"))
+    done = running_sums(prices, ["l_returnflag"], ["l_extendedprice"], ["lines"])
+    return done.select("l_returnflag", "l_extendedprice", (F.col("before_lines") + F.col("lines")).alias("running"))
+
+
+@query(
+    "sql_wide_analytic",
+    "SELECT l_returnflag, l_quantity, l_orderkey, l_linenumber, CAST(rank() OVER w AS BIGINT) AS rank, ROUND(percent_rank() OVER w, 9) AS percent_rank, "
+    "ROUND(cume_dist() OVER w, 9) AS cume_dist FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity)",
+)
+def wide_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks and shares over all order lines of a return flag, with many equal rows."""
+    done = ranked_within(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_orderkey", "l_linenumber"), ["l_returnflag"], ["l_quantity"], 4)
+    return done.select(
+        "l_returnflag", "l_quantity", "l_orderkey", "l_linenumber", "rank", F.round("percent_rank", 9).alias("percent_rank"), F.round("cume_dist", 9).alias("cume_dist")
+    )
+
+
+@query(
+    "sql_wide_tiles",
+    f"SELECT l_returnflag, tile, COUNT(*) AS n, MAX(l_extendedprice) AS top FROM (SELECT *, CAST(ntile(7) OVER {_LINE_ORDER} AS BIGINT) AS tile FROM lineitem) t GROUP BY l_returnflag, tile",
+)
+def wide_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = ranked_within(_lines(spark, sf_dir), ["l_returnflag"], _LINE, 7)
+    return done.groupBy("l_returnflag", "tile").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("top"))
+
+
 # --- set operations, order, subqueries, CTEs -------------------------------------------------
 
 statement(
@@ -290,8 +403,32 @@ statement(
     "SELECT measure, COUNT(*) AS n, ROUND(SUM(amount), 2) AS total FROM (SELECT l_quantity, l_discount, l_tax FROM dataset) "
     "UNPIVOT (amount FOR measure IN (l_quantity, l_discount, l_tax)) GROUP BY measure",
 )
+_SAMPLED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+_IDENTITY = "concat_ws(':', {})".format(", ".join(f"CAST({c} AS VARCHAR)" for c in ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
+_PICKED = ", ".join(_SAMPLED)
+
+
+def _identity() -> Column:
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]])
+
+
+@query("sql_sample", f"SELECT {_PICKED} FROM lineitem ORDER BY md5('42:' || {_IDENTITY}) LIMIT 1000")
+def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand order lines drawn from all: the same ones however the table is dealt."""
+    return sample_rows(table(spark, sf_dir, "lineitem").select(_SAMPLED), 1000, _identity())
+
+
+@query(
+    "sql_sample_strata",
+    f"SELECT l_returnflag, {_PICKED} FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42:' || {_IDENTITY})) <= 200",
+)
+def sample_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred order lines of each return flag."""
+    return sample_rows(table(spark, sf_dir, "lineitem").select("l_returnflag", *_SAMPLED), 200, _identity(), ["l_returnflag"])
+
+
 statement(
-    "sql_sample", "orders",
+    "sql_sample_share", "orders",
     "WITH picked AS (SELECT * FROM dataset TABLESAMPLE (10 PERCENT) REPEATABLE (42)), counted AS "
     "(SELECT COUNT(*) AS rows_in_all, (SELECT COUNT(*) FROM picked) AS rows_picked, "
     "(SELECT COUNT(*) FROM picked p LEFT ANTI JOIN dataset d ON p.o_orderkey = d.o_orderkey AND p.o_totalprice = d.o_totalprice) AS strangers FROM dataset) "
