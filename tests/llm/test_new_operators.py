@@ -236,7 +236,10 @@ def test_bits_never_understate_the_overlap(spark):
     owner, shingle, count = minhash.bags(*flat(pa.array(texts)))
     bits = minhash.unit_bits(owner, shingle, count, len(texts))
     held = [Counter(dict(zip(shingle[owner == i].tolist(), count[owner == i].tolist()))) for i in range(len(texts))]
-    rows = [(i, j, bits[i].tolist(), bits[j].tolist()) for i in range(40) for j in range(40)]
-    df = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>")
-    for r in df.select("i", "j", minhash.units_lost(F.col("a"), F.col("b")).alias("lost")).collect():
-        assert r.lost <= (held[r.i] - held[r.j]).total()
+    sizes = [c.total() for c in held]
+    rows = [(i, j, bits[i].tolist(), bits[j].tolist(), sizes[i], sizes[j]) for i in range(40) for j in range(40)]
+    df = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>, m long, n long")
+    n_bits = [F.aggregate(c, F.lit(0), lambda total, w: total + F.bit_count(w)) for c in ("a", "b")]
+    most = minhash.most_shared(F.col("a"), F.col("b"), F.col("m"), F.col("n"), *n_bits)
+    for r in df.select("i", "j", most.alias("most")).collect():
+        assert r.most >= (held[r.i] & held[r.j]).total()

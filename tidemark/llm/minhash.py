@@ -23,7 +23,7 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 BATCH_BYTES = 1 << 20
 #: Bits that tell which units a multiset may hold.
-BITS = 4096
+BITS = 2048
 #: Nodes of a bucket, after the first, that what is outside its largest class meets before all others.
 PIVOTS = 8
 
@@ -192,10 +192,14 @@ def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
     return rows.mapInArrow(bag, schema).dropDuplicates(["node"])
 
 
-def units_lost(a: Column, b: Column) -> Column:
-    """Units of a multiset that another cannot hold, at least: bits of ``a`` that are not set in ``b``."""
-    alone = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
-    return F.aggregate(alone, F.lit(0), lambda total, n: total + n)
+def common_bits(a: Column, b: Column) -> Column:
+    """Bits that two multisets share. A bit that only one has stands for a unit that only it has."""
+    return sum((F.bit_count(a[i].bitwiseAND(b[i])) for i in range(BITS // 64)), F.lit(0))
+
+
+def most_shared(a: Column, b: Column, size_a: Column, size_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """No fewer than the units that two multisets share; ``bits_a`` and ``bits_b`` are their numbers of bits."""
+    return common_bits(a, b) + F.least(size_a - bits_a, size_b - bits_b)
 
 
 @F.pandas_udf(DoubleType())
@@ -299,11 +303,13 @@ def near_duplicates(
         apart = (F.col("bucket") == F.col("_bucket")) & (F.col("component") != F.col("_component"))
         likely = possible(F.col("m"), F.col("o"))
         if last:
-            bits = held.select("node", "bits")
+            set_bits = F.aggregate("bits", F.lit(0), lambda total, w: total + F.bit_count(w))
+            bits = staged(held.join(open_.select("m.node").distinct(), "node", "left_semi").select("node", "bits", set_bits.alias("n_bits")), "bits")
             outside = outside.join(bits, F.col("o.node") == F.col("node")).drop("node")
-            others = others.join(bits.withColumnRenamed("bits", "_bits"), F.col("m.node") == F.col("node")).drop("node")
-            most = F.least(F.col("m.size") - units_lost(F.col("_bits"), F.col("bits")), F.col("o.size") - units_lost(F.col("bits"), F.col("_bits")))
-            likely = likely & (most >= F.lit(similarity - 1e-9) * (F.col("m.size") + F.col("o.size") - most))
+            others = others.join(bits.withColumnsRenamed({"bits": "_bits", "n_bits": "_n_bits"}), F.col("m.node") == F.col("node")).drop("node")
+            sizes = F.col("m.size"), F.col("o.size")
+            most = most_shared(F.col("_bits"), F.col("bits"), *sizes, F.col("_n_bits"), F.col("n_bits"))
+            likely = likely & (most >= F.lit(similarity / (1 + similarity)) * (sizes[0] + sizes[1]) - 1e-6)
         crossing = others.join(outside, apart & likely)
         fresh = pairs_of(crossing.select(F.col("m").alias("a"), F.col("o").alias("b"))).join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh, "pairs")
