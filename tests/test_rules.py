@@ -1,5 +1,7 @@
 """Rules over workspace signals, charts and translations."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,35 @@ def test_actions_see_what_earlier_ones_made(spark):
     assert [s for _, s, _ in got] == ["skipped", "executed", "executed", "skipped", "skipped", "executed", "executed", "deferred"]
 
 
+def test_plans_of_a_workspace_see_what_earlier_plans_made(spark):
+    """Two plans that both onboard: the second is skipped; other workspaces don't notice. Results are stored in plan order."""
+    rows = [
+        (3, 1, ["Profile newest dataset", "Activate collaboration"]), (1, 1, ["Profile newest dataset"]), (2, 1, ["Onboard first dataset", "Create a working dashboard"]),
+        (4, 1, ["Onboard first dataset"]), (5, 2, ["Onboard first dataset"]), (6, 2, []), (7, None, ["Define a pipeline cadence"]), (8, None, ["Define a pipeline cadence"]),
+    ]
+    plans = spark.createDataFrame(rows, "plan_id int, workspace_id bigint, action_names array<string>")
+    none = spark.createDataFrame([], "workspace_id bigint, insight_id bigint, title string")
+    found = rules.action_outcomes(rules.in_workspace_order(plans), signals(spark), none)
+    got = {(r["plan_id"], r["position"]): r["status"] for r in found.collect()}
+    assert got == {
+        (1, 0): "skipped", (2, 0): "executed", (2, 1): "executed", (3, 0): "executed", (3, 1): "executed", (4, 0): "skipped", (5, 0): "failed",
+        (7, 0): "executed", (8, 0): "skipped",
+    }
+    stored = {r["plan_id"]: r for r in rules.execution_results(found).collect()}
+    document = json.loads(stored[2]["execution_results_json"])
+    assert document["status"] == stored[2]["execution_status"] == "completed"
+    assert [a["status"] for a in document["actions_executed"]] == ["executed", "executed"]
+    again = {r["plan_id"]: r["execution_id"] for r in rules.execution_results(found).collect()}
+    assert again == {p: r["execution_id"] for p, r in stored.items()} and len(set(again.values())) == len(again)
+
+
+def test_many_plans_of_one_workspace(spark):
+    plans = spark.range(3000).selectExpr("CAST(id AS INT) AS plan_id", "1L AS workspace_id", "array('Onboard first dataset') AS action_names").repartition(5)
+    none = spark.createDataFrame([], "workspace_id bigint, insight_id bigint, title string")
+    found = rules.action_outcomes(rules.in_workspace_order(plans), signals(spark), none)
+    assert [r["plan_id"] for r in found.where("status = 'executed'").collect()] == [0] and found.where("status = 'skipped'").count() == 2999
+
+
 def test_unlisted_workspace_cannot_be_onboarded(spark):
     assert outcomes(spark, ["Onboard first dataset"], signals(spark), workspace=5) == [
         ("Onboard first dataset", "failed", "Workspace not found")

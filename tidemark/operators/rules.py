@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
+from tidemark.operators.ordered import running_sums
 from tidemark.functions.cells import strip
 
 c = F.col
@@ -228,8 +229,11 @@ def action_outcomes(plans: DataFrame, signals: DataFrame, untranslated: DataFram
     """Per plan action: executor, status and reason, judged in plan order.
 
     ``plans``: plan_id, workspace_id, action_names (array). ``untranslated``: workspace_id, one
-    row per insight that would be translated. An action sees what earlier ones in its plan made.
+    row per insight that would be translated. An action sees what earlier ones in its plan made, and what the
+    executors in ``made_before`` made, if ``plans`` has that array (see ``in_workspace_order``).
     """
+    if "made_before" not in plans.columns:
+        plans = plans.withColumn("made_before", F.array().cast("array<string>"))
     pending = untranslated.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("pending"))
     state = signals.withColumn("listed", F.lit(True))
     rows = (
@@ -241,7 +245,7 @@ def action_outcomes(plans: DataFrame, signals: DataFrame, untranslated: DataFram
         .select("*", F.posexplode("action_names").alias("position", "action_name"))
     )
     executor = F.element_at("executors", c("position") + 1)
-    earlier = F.slice("executors", F.lit(1), c("position"))
+    earlier = F.concat("made_before", F.slice("executors", F.lit(1), c("position")))
 
     def before(kind: str) -> Column:
         return F.array_contains(earlier, kind)
@@ -306,6 +310,36 @@ def action_outcomes(plans: DataFrame, signals: DataFrame, untranslated: DataFram
     )
 
 
+#: Executors whose work later actions find done.
+LASTING = ("onboard", "dashboard", "cadence", "translate")
+
+
+def in_workspace_order(plans: DataFrame) -> DataFrame:
+    """``plans`` with ``made_before``: the lasting executors that earlier plans of the workspace have run, by ascending plan_id.
+
+    Each plan is summed up in one row; running sums over range partitions carry the sums along a workspace, however many plans it has.
+    """
+    executors = F.transform("action_names", action_dispatch)
+    sums = plans.select("plan_id", "workspace_id", *[F.array_contains(executors, kind).cast("int").alias(kind) for kind in LASTING])
+    sums = running_sums(sums, ["workspace_id"], ["plan_id"], list(LASTING))
+    made = F.array_compact(F.array(*[F.when(c(f"before_{kind}") > 0, kind) for kind in LASTING]))
+    made = sums.select(c("plan_id").alias("_plan"), made.alias("made_before"))
+    return plans.join(made, c("plan_id") == c("_plan")).drop("_plan")
+
+
+def execution_results(outcomes: DataFrame) -> DataFrame:
+    """plan_id, workspace_id, execution_id, execution_status, execution_results_json: what is stored of every executed plan.
+
+    The document lists the plan's actions in order. The id follows from plan and document, so running a plan again
+    under the same circumstances replaces its row.
+    """
+    entry = F.struct("position", F.struct("action", "status", "reason", "translations_created").alias("result"))
+    plans = outcomes.groupBy("plan_id", "workspace_id").agg(F.sort_array(F.collect_list(entry)).alias("actions"))
+    document = F.to_json(F.struct(F.lit("completed").alias("status"), c("actions.result").alias("actions_executed")))
+    stored = plans.select("plan_id", "workspace_id", F.lit("completed").alias("execution_status"), document.alias("execution_results_json"))
+    return stored.withColumn("execution_id", F.xxhash64("plan_id", "execution_results_json"))
+
+
 def rows_to_append(outcomes: DataFrame, dashboards: DataFrame, untranslated: DataFrame) -> dict[str, DataFrame]:
     """Registry rows the executed actions add: datasets, dashboards, pipelines, shares, translations.
 

@@ -38,7 +38,7 @@ def run_sql(sql: str, dataset: DataFrame, **views: DataFrame) -> DataFrame:
     text = re.sub(r"(\s|;[ \t]*--[^\n]*|\n[ \t]*--[^\n]*|;)+\Z", "", sql)
     with _analysis, _quoted_names(spark):
         own = {"dataset": dataset, **views}
-        held = {n: spark.table(n) for n in own if any(t.name.lower() == n.lower() and t.isTemporary for t in spark.catalog.listTables())}
+        held = {n: spark.table(n) for n in own if any(t.isTemporary for t in spark.catalog.listTables(pattern=n))}
         for name, df in own.items():
             df.createOrReplaceTempView(name)
         try:

@@ -11,6 +11,7 @@ from tidemark.operators.signals import guidance_signals, recommendation_signals
 from tidemark.plans import stand_ins as si
 from tidemark.plans.catalog import query
 from tidemark.plans.stand_ins import SIGNALS_SQL, table
+from tidemark.session import scratch_path
 
 OBJECTIVE = "Improve reporting"
 
@@ -329,6 +330,43 @@ def action_outcome_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("plan_id", "workspace_id", "executor", "status")
 
 
+_EARLIER = "bool_or(p.executor = '{kind}') OVER (PARTITION BY p.workspace_id ORDER BY plan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_IN_ORDER = (
+    "CASE WHEN executor = 'onboard' THEN CASE WHEN datasets > 0 OR (onboarded AND listed) THEN 'skipped' WHEN NOT listed THEN 'failed' ELSE 'executed' END "
+    "WHEN executor = 'profile' THEN CASE WHEN datasets > 0 OR (onboarded AND listed) THEN 'executed' ELSE 'skipped' END "
+    "WHEN executor = 'dashboard' THEN CASE WHEN boards > 0 OR boarded THEN 'skipped' ELSE 'executed' END "
+    "WHEN executor = 'train' THEN CASE WHEN models > 0 THEN 'skipped' ELSE 'deferred' END "
+    "WHEN executor = 'collaborate' THEN CASE WHEN boards > 0 OR boarded THEN 'executed' ELSE 'skipped' END "
+    "WHEN executor = 'translate' THEN CASE WHEN insights > 0 THEN 'executed' ELSE 'skipped' END "
+    "WHEN executor = 'cadence' THEN CASE WHEN pipelines > 0 OR paced THEN 'skipped' ELSE 'executed' END ELSE 'skipped' END"
+)
+
+
+@query(
+    "plan_execution",
+    f"WITH {SIGNALS_SQL}, plans AS (SELECT o_orderkey AS plan_id, CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE o_custkey END AS workspace_id, "
+    f"{_EXECUTOR} AS executor FROM orders), states AS (SELECT p.*, s.workspace_id IS NOT NULL AS listed, coalesce(dataset_count, 0) AS datasets, "
+    "coalesce(dashboard_count, 0) AS boards, coalesce(model_count, 0) AS models, coalesce(insight_count, 0) AS insights, coalesce(pipeline_count, 0) AS pipelines, "
+    + ", ".join(f"coalesce({_EARLIER.format(kind=k)}, FALSE) AS {n}" for k, n in (("onboard", "onboarded"), ("dashboard", "boarded"), ("cadence", "paced")))
+    + f" FROM plans p LEFT JOIN signals s ON s.workspace_id = p.workspace_id) SELECT plan_id, workspace_id, {_IN_ORDER} AS status, 'completed' AS execution_status, 1 AS actions FROM states",
+)
+def plan_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans run one after the other in their workspace; the outcome as it is read back from the stored document."""
+    plans = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS plan_id",
+        "CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE o_custkey END AS workspace_id",
+        f"array({_ACTION_NAME}) AS action_names",
+    )
+    found = rules.action_outcomes(rules.in_workspace_order(plans), si.signals(spark, sf_dir), _untranslated(spark, sf_dir))
+    path = scratch_path(spark, "executions")
+    rules.execution_results(found).write.parquet(path)
+    stored = F.from_json("execution_results_json", "status string, actions_executed array<struct<status:string>>")
+    return spark.read.parquet(path).select("plan_id", "workspace_id", stored.alias("s")).select(
+        "plan_id", "workspace_id", F.col("s.actions_executed")[0]["status"].alias("status"), F.col("s.status").alias("execution_status"),
+        F.size("s.actions_executed").alias("actions"),
+    )
+
+
 @query(
     "action_rows",
     f"WITH {SIGNALS_SQL}, {_UNTRANSLATED} SELECT 'datasets' AS target, COUNT(*) AS new_rows FROM signals WHERE dataset_count = 0 "

@@ -12,7 +12,8 @@ def land_raw(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace the given partitions with ``df``; other partitions stay.
 
     ``rebalance`` gathers small partitions into few files and lets a large one be written by
-    many tasks. The commit step swaps whole partitions, so readers see old or new rows only.
+    many tasks. The commit step swaps partition by partition: a reader sees a partition's old rows or its new ones, but may
+    see some partitions before and others after the swap, and on object stores files of both until it ends.
     """
     (
         df.hint("rebalance", *partition_by)
