@@ -257,7 +257,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
     The query set is every passage of every document. The items' index is broadcast in blocks of
     bounded size, with one pass over the documents for each block; documents don't move. A pair is reported once, with
-    its best passage. Null and empty texts hold nothing; an empty table on either side gives no rows;
+    its best passage. A very long text is read whole, passage by passage. Null and empty texts hold nothing; an empty table on either side gives no rows;
     rows with one key are judged each on its own; equal items are each reported.
     """
     let_workers_import(docs.sparkSession)

@@ -227,7 +227,7 @@ def near_duplicates(
     either shares with no other node, or the bits of units that one has and the other has not, rule the similarity out. Pairs are verified on the exact multisets.
     Nodes and links are tables; nothing of all documents reaches the driver.
 
-    Texts without words form classes of their own. ``class_id`` is the smallest ``key`` of the class, null if
+    A very long text is one multiset, held whole by the task that reads it. Texts without words form classes of their own. ``class_id`` is the smallest ``key`` of the class, null if
     it has none. Rows repeated in full are documents like others. An empty table gives no rows.
     """
     sketches = staged(sketched(docs, text, key), "sketches")

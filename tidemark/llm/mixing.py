@@ -112,7 +112,8 @@ def mixed(
     ``times`` is how often the mix repeats the row: the source's whole repetitions and, for the rows
     first in the seeded order, one more. Reruns agree, in any partitioning. Rows equal in key and text
     share a draw and so are taken alike. A null source is a source of its own, a null text has size 0; a source
-    without words has target 0 and is not taken. An empty table gives no rows.
+    without words has target 0 and is not taken. A very long text is taken or left whole, so it may move its source off target by half
+    its size. An empty table gives no rows.
     """
     rows = docs.select(
         F.struct("*").alias("record"),

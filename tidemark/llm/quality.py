@@ -98,7 +98,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with COUNTS and ``base_failed``, which replace columns of those names.
 
     Counts are exact over whole texts; a null text has none and fails. Windows and lines are compared
-    by 64-bit hash within a text. No row moves between tasks.
+    by 64-bit hash within a text. No row moves between tasks. A very long text is counted alone, in memory of some ten times its bytes.
     """
     let_workers_import(docs.sparkSession)
 

@@ -124,7 +124,7 @@ def judged(pages: DataFrame, rules=RULES, url: str = "url", otherwise: str = "al
     Without one the verdict is ``otherwise``. A null URL or one without ``://`` has an empty host and
     path, which no rule fits. ``host``, ``path``, ``rule`` and ``verdict`` replace columns of those
     names. No row moves between tasks; a batch is cut into lots of BATCH URLs, and a URL whose state
-    cannot change leaves its lot early.
+    cannot change leaves its lot early; a very long URL is read to its end, one step a character.
     """
     let_workers_import(pages.sparkSession)
     ordered = sorted(rules, key=lambda r: -len(r[0]))
