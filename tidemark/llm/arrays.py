@@ -46,6 +46,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget_powers() -> None:
+    """Drop powers that a long range has asked for."""
+    if _powers and len(_powers[0]) > 1 << 16:
+        _powers.clear()
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of data[s:e] for each pair; equal bytes give equal hashes wherever they stand."""
     up, down = powers(len(data) + 1)

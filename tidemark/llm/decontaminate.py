@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import WHITE, flat, groups_of_bytes, hash_words, owners, word_edges
-from tidemark.llm.staging import let_workers_import, staged
+from tidemark.llm.staging import lean, let_workers_import, staged
 from tidemark.llm.windows import window_hashes
 
 K1, B = 1.2, 0.75
@@ -217,6 +217,7 @@ def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[Index]
     spark = items.sparkSession
     let_workers_import(spark)
 
+    @lean
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -267,6 +268,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     for index in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @lean
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = flat(batch.column("text"))
@@ -292,6 +294,7 @@ def _leaking(shared: Broadcast):
     """A column function: whether a text holds an item of the broadcast index."""
 
     @F.arrow_udf("boolean")
+    @lean
     def leaking(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             data, offsets = flat(texts)

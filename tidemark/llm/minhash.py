@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from tidemark.llm.arrays import flat, groups_of_bytes, hash_words, mix, owners, run_starts, word_edges
 from tidemark.llm.graph import components
-from tidemark.llm.staging import let_workers_import, staged
+from tidemark.llm.staging import lean, let_workers_import, release, staged
 from tidemark.llm.windows import inside_one, window_hashes
 
 SHINGLE = 5
@@ -121,6 +121,7 @@ def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """
     let_workers_import(docs.sparkSession)
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
@@ -149,6 +150,7 @@ def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
     # Always a merge join: one plan at every size, and large groups of copies can be split.
     rows = rows.join(wanted.hint("merge"), "text_key", "left_semi")
 
+    @lean
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
@@ -183,6 +185,7 @@ def multiset_overlap(sa: pd.Series, ca: pd.Series, sb: pd.Series, cb: pd.Series)
         _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
         shared = int(np.minimum(nx[i], ny[j]).sum())
         out.append(shared / (int(nx.sum()) + int(ny.sum()) - shared))
+    release()
     return pd.Series(out, dtype=float)
 
 

@@ -136,3 +136,8 @@ def encoder(path: str, keep_ids: bool) -> PieceEncoder:
         _held.clear()
         _held[path, keep_ids] = PieceEncoder(path, keep_ids)
     return _held[path, keep_ids]
+
+
+def forget_encoder() -> None:
+    """Drop this worker's encoder and what it remembers."""
+    _held.clear()

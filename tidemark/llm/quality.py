@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import WHITE, flat, groups_of_bytes, hash_words, owners, per_text, run_starts, word_edges
-from tidemark.llm.staging import let_workers_import, staged
+from tidemark.llm.staging import lean, let_workers_import, staged
 from tidemark.llm.windows import inside_one, keyed, window_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -103,6 +103,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     let_workers_import(docs.sparkSession)
 
     @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    @lean
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             data, offsets = flat(texts)

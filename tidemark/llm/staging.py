@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 import tidemark
+from tidemark.llm import arrays
 from tidemark.session import scratch_path
 
 
@@ -38,3 +43,25 @@ def let_workers_import(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def release() -> None:
+    """Give the free memory of this process back to the system: an idle worker then holds little."""
+    arrays.forget_powers()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a task's batches, with the worker's free memory released when the task ends."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run

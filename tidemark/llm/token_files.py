@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import flat, groups_of_bytes, owners
-from tidemark.llm.pieces import encoder
-from tidemark.llm.staging import let_workers_import, staged
+from tidemark.llm.pieces import encoder, forget_encoder
+from tidemark.llm.staging import lean, let_workers_import, staged
 
 #: Ids in a block, text in a file on average, text encoded together.
 BLOCK_IDS = 1 << 16
@@ -80,6 +80,7 @@ def write_token_files(
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(max(1, math.ceil(total / file_bytes)), *order).sortWithinPartitions(*order)
 
+    @lean
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, packer = encoder(tokenizer, keep_ids=True), zstandard.ZstdCompressor(level=LEVEL)
         file = TaskContext.get().partitionId()
@@ -118,6 +119,7 @@ def write_token_files(
                     doc += 1
         if held:
             yield close(held)
+        forget_encoder()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -156,6 +158,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     let_workers_import(spark)
     table = spark.read.schema(SCHEMA).parquet(path)
 
+    @lean
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
