@@ -40,23 +40,27 @@ def _checks(field: T.StructField) -> tuple[Column, Column, Column]:
     return missing, ~missing, ~missing & F.lit(not isinstance(dtype, FLOATING))
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, missing, sample_size, inferred_type.
-
-    One plain aggregate over all columns: nothing but one row per task is shuffled.
-    """
-    totals, rows = [F.count(F.lit(1)).alias("n")], []
-    for i, field in enumerate(df.schema.fields):
+def column_totals(schema: T.StructType) -> list[Column]:
+    """For column i of a table: m missing cells, i no integers, f no numbers."""
+    totals = []
+    for i, field in enumerate(schema.fields):
         missing, not_integer, not_number = _checks(field)
         totals += [
             F.count_if(missing).alias(f"m{i}"),
             F.count_if(not_integer).alias(f"i{i}"),
             F.count_if(not_number).alias(f"f{i}"),
         ]
+    return totals
+
+
+def column_rows(names: list[str]) -> Column:
+    """The rows of ``profile_columns``, from one row of ``column_totals`` and the number ``n`` of rows."""
+    rows = []
+    for i, name in enumerate(names):
         rows.append(
             F.struct(
                 F.lit(i).alias("position"),
-                F.lit(field.name).alias("name"),
+                F.lit(name).alias("name"),
                 F.col(f"m{i}").alias("missing"),
                 (F.col("n") - F.col(f"m{i}")).alias("sample_size"),
                 F.when(F.col("n") == F.col(f"m{i}"), "string")
@@ -66,7 +70,16 @@ def profile_columns(df: DataFrame) -> DataFrame:
                 .alias("inferred_type"),
             )
         )
-    return df.agg(*totals).where("n > 0").select(F.inline(F.array(*rows)))
+    return F.array(*rows)
+
+
+def profile_columns(df: DataFrame) -> DataFrame:
+    """One row per column: position, name, missing, sample_size, inferred_type.
+
+    One plain aggregate over all columns: nothing but one row per task is shuffled.
+    """
+    totals = df.agg(F.count(F.lit(1)).alias("n"), *column_totals(df.schema))
+    return totals.where("n > 0").select(F.inline(column_rows(df.columns)))
 
 
 def row_digest(schema: T.StructType) -> Column:
@@ -83,14 +96,18 @@ def row_digest(schema: T.StructType) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
+def blank_row(schema: T.StructType) -> Column:
+    """Whether all cells of a row are missing."""
+    return reduce(Column.__and__, [as_text(f.name, f.dataType) == "" for f in schema.fields])
+
+
 def row_totals(df: DataFrame) -> DataFrame:
     """One row: row_count, distinct_rows, blank_rows over normalised rows.
 
     Copies collapse before the shuffle, so a row repeated in a third of the table costs one
     record per task, and a record is a 32-byte digest, whatever the width of the table.
     """
-    blank = reduce(Column.__and__, [as_text(f.name, f.dataType) == "" for f in df.schema.fields])
-    rows = df.select(row_digest(df.schema).alias("row"), blank.alias("blank"))
+    rows = df.select(row_digest(df.schema).alias("row"), blank_row(df.schema).alias("blank"))
     return (
         rows.groupBy(*rows.columns)
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -134,8 +151,12 @@ def profile_table(df: DataFrame) -> DataFrame:
 
     Columns: row_count, rejected_rows, quality_score, columns, issues, missing_cells, duplicate_rows.
     """
-    width = len(df.columns)
-    per_column = profile_columns(df).agg(
+    return assembled(profile_columns(df), row_totals(df), len(df.columns))
+
+
+def assembled(columns: DataFrame, totals: DataFrame, width: int) -> DataFrame:
+    """The profile of a table of ``width`` columns from what ``profile_columns`` and ``row_totals`` say."""
+    per_column = columns.agg(
         F.sum("missing").alias("missing_cells"),
         F.transform(
             F.sort_array(F.collect_list(F.struct("position", "name", "missing", "sample_size", "inferred_type"))),
@@ -148,7 +169,7 @@ def profile_table(df: DataFrame) -> DataFrame:
         ).alias("columns"),
     )
     merged = (
-        per_column.unionByName(row_totals(df), allowMissingColumns=True)
+        per_column.unionByName(totals, allowMissingColumns=True)
         .agg(*[F.first(c, ignorenulls=True).alias(c) for c in
                ("row_count", "distinct_rows", "blank_rows", "missing_cells", "columns")])
         .select(

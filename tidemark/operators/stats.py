@@ -32,7 +32,7 @@ def _cell(field: T.StructField, family: str) -> Column:
     return column(field.name).cast(family)
 
 
-def _value_key(field: T.StructField) -> Column:
+def value_key(field: T.StructField) -> Column:
     """At most 32 bytes that values share exactly when they are equal; null for a missing cell.
 
     Longer text is replaced by its SHA-256, which no shorter text can equal. Zero has no sign.
@@ -44,34 +44,28 @@ def _value_key(field: T.StructField) -> Column:
     return F.when(F.octet_length(text) < 32, F.encode(text, "UTF-8")).otherwise(F.unhex(F.sha2(text, 256)))
 
 
-def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column (see STATISTICS); empty when the table has no rows.
+def cell_figures(field: T.StructField) -> tuple[Column, Column, Column]:
+    """(cell, aggregate of cells that are no number, number) of one column; missing cells are null."""
+    family, cell = _family(field.dataType), column(field.name)
+    if family == "string":
+        cell = _cell(field, family)
+        return cell, F.count_if(cell.isNotNull() & ~is_number(cell)), to_double(cell)
+    if family == "timestamp_ntz":
+        cell = cell if isinstance(field.dataType, T.DateType) else cell.cast("timestamp_ntz")
+        return cell, F.count(cell), F.lit(None).cast("double")
+    return cell, F.lit(0), cell
 
-    Counts, ranges and means come from one plain aggregate, which shuffles a row per task. Only the exact
-    distinct counts shuffle values, as keys of 32 bytes at most that collapse before the shuffle.
-    ``min_exact`` and ``max_exact`` hold a numeric column's range in its own type, as text.
+
+def figure_rows(fields: list[T.StructField]) -> Column:
+    """The rows of STATISTICS but distinct_count, from one row of figures.
+
+    For column i: n present, w no numbers, l and h range as double, m mean, a and z range as text, le and he
+    range of numbers in their own type as text; and ``rows``.
     """
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    totals, rows = [F.count(F.lit(1)).alias("rows")], []
+    rows = []
     for i, field in enumerate(fields):
-        family, cell, words = _family(field.dataType), column(field.name), F.lit(0)
-        if family == "string":
-            cell = _cell(field, family)
-            words, number = F.count_if(cell.isNotNull() & ~is_number(cell)), to_double(cell)
-        elif family == "timestamp_ntz":
-            words, number = F.count(cell), F.lit(None).cast("double")
-            cell = cell if isinstance(field.dataType, T.DateType) else cell.cast("timestamp_ntz")
-        else:
-            number = cell
-        low, high = F.min(number), F.max(number)
-        totals += [
-            F.count(cell).alias(f"n{i}"), words.alias(f"w{i}"),
-            low.cast("double").alias(f"l{i}"), high.cast("double").alias(f"h{i}"), F.avg(number).cast("double").alias(f"m{i}"),
-            F.min(cell).cast("string").alias(f"a{i}"), F.max(cell).cast("string").alias(f"z{i}"),
-            low.cast("string").alias(f"le{i}"), high.cast("string").alias(f"he{i}"),
-        ]
         present, numeric = F.col(f"n{i}"), (F.col(f"w{i}") == 0) & (F.col(f"n{i}") > 0)
-        kind = F.when(numeric, "number").otherwise("datetime" if family == "timestamp_ntz" else "string")
+        kind = F.when(numeric, "number").otherwise("datetime" if _family(field.dataType) == "timestamp_ntz" else "string")
         rows.append(
             F.struct(
                 F.lit(i).alias("position"),
@@ -85,8 +79,29 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
                 *[F.when(numeric, F.col(f"{c}{i}")).alias(n) for c, n in (("le", "min_exact"), ("he", "max_exact"))],
             )
         )
-    figures = df.agg(*totals).where("rows > 0").select(F.inline(F.array(*rows)))
-    keys = F.array(*[F.struct(F.lit(i).alias("position"), _value_key(f).alias("value")) for i, f in enumerate(fields)])
+    return F.array(*rows)
+
+
+def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per column (see STATISTICS); empty when the table has no rows.
+
+    Counts, ranges and means come from one plain aggregate, which shuffles a row per task. Only the exact
+    distinct counts shuffle values, as keys of 32 bytes at most that collapse before the shuffle.
+    ``min_exact`` and ``max_exact`` hold a numeric column's range in its own type, as text.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    totals = [F.count(F.lit(1)).alias("rows")]
+    for i, field in enumerate(fields):
+        cell, words, number = cell_figures(field)
+        low, high = F.min(number), F.max(number)
+        totals += [
+            F.count(cell).alias(f"n{i}"), words.alias(f"w{i}"),
+            low.cast("double").alias(f"l{i}"), high.cast("double").alias(f"h{i}"), F.avg(number).cast("double").alias(f"m{i}"),
+            F.min(cell).cast("string").alias(f"a{i}"), F.max(cell).cast("string").alias(f"z{i}"),
+            low.cast("string").alias(f"le{i}"), high.cast("string").alias(f"he{i}"),
+        ]
+    figures = df.agg(*totals).where("rows > 0").select(F.inline(figure_rows(fields)))
+    keys = F.array(*[F.struct(F.lit(i).alias("position"), value_key(f).alias("value")) for i, f in enumerate(fields)])
     distinct = (
         df.select(F.inline(keys))
         .where("value IS NOT NULL")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import normalise_row, to_double, to_long
-from tidemark.operators import profile, stats
+from tidemark.operators import profile, states, stats
 from tidemark.plans.catalog import query
 from tidemark.plans.stand_ins import DIRTY_COLUMNS, dirty_parts, dirty_sql, inferred_sql, table
+from tidemark.session import scratch_path
 
 NAMES = list(DIRTY_COLUMNS)
 CELLS = dirty_sql()
@@ -319,6 +320,29 @@ def dataset_statistics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.column_statistics(dirty_parts(spark, sf_dir))).drop("position")
 
 
+def _appended_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """lineitem, and the figures and keys of three appends that make it up: by ship date, and rows without one."""
+    lines, path = table(spark, sf_dir, "lineitem"), scratch_path(spark, "states")
+    early = F.col("l_shipdate") < "1995-06-17"
+    for version, part in enumerate((early, ~early, early.isNull())):
+        states.append_state(lines.where(part), path, version)
+    return lines, *states.read_states(spark, path)
+
+
+@query("merged_statistics", _stats_check("lineitem", _LINES, "*"))
+def merged_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, figures, keys = _appended_lines(spark, sf_dir)
+    return _rounded(states.merged_statistics(figures, keys, lines.schema))
+
+
+@query("merged_profile", _typed_profile_check("lineitem", LINEITEM))
+def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, figures, keys = _appended_lines(spark, sf_dir)
+    return states.merged_profile(figures, keys, lines.columns).select(
+        "row_count", "rejected_rows", "quality_score", "duplicate_rows", F.inline("columns")
+    )
+
+
 _LINE_COLUMNS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     "l_returnflag", "l_linestatus", "l_shipdate",
