@@ -274,6 +274,38 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(kept) == sorted(set(got.values()))
 
 
+def test_near_duplicates_around_a_common_passage(spark):
+    """Many texts meet in the buckets of a passage without being near, some at a little more or less than 0.8."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(rng.choice(words, 100))
+    texts = [f"{passage} {' '.join(rng.choice(words, int(n)))}" for n in rng.integers(8, 90, 80)]
+    texts += [t + " " + " ".join(rng.choice(words, int(n))) for t, n in zip(texts, rng.integers(1, 40, 80))]
+    rows = dict(enumerate(texts))
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == plain_classes(rows)
+
+
+def test_kept_bits_of_registers_bound_how_far_apart_a_pair_may_be(spark):
+    rng = np.random.default_rng(5)
+    most, counts = minhash.most_apart(0.8), []
+    planes = []
+    for _ in range(200):  # 400 of 500 shared: exactly 0.8
+        units = rng.integers(0, 2**63, 500).astype(np.uint64)
+        a, b = np.sort(units[:450]), np.sort(np.concatenate([units[:400], units[450:]]))
+        found = minhash.signatures(np.repeat([0, 1], 450), np.concatenate([a, b]), np.ones(900, int), 2)
+        bits = minhash.bit_planes(found)
+        x = (bits[0] ^ bits[1]).reshape(minhash.PLANES, -1)
+        counts.append(int(np.bitwise_count(np.bitwise_or.reduce(x, axis=0).view(np.uint64)).sum()))
+        assert counts[-1] <= int((found[0] != found[1]).sum())
+        planes.append([int(v) for v in bits.reshape(-1)])
+    assert max(counts) <= most and abs(np.mean(counts) - minhash.REGISTERS * 0.2 * 15 / 16) < 2
+    width = len(planes[0]) // 2
+    schema = ", ".join(f"{c}{i} long" for c in "ab" for i in range(width))
+    frame = spark.createDataFrame(planes, schema).select(minhash.registers_apart("a", "b").alias("n"))
+    assert sorted(r.n for r in frame.collect()) == sorted(counts)
+
+
 def test_near_duplicates_of_the_table(spark, documents):
     got = {r.doc_id: r.class_id for r in QUERIES["op3_near_dedup"](spark, SF_DIR).collect()}
     assert got == plain_classes(dict(zip(documents.doc_id.tolist(), documents.text)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 BATCH_BYTES = 1 << 20
+#: Bits kept of each register, to estimate how alike two nodes are.
+PLANES = 4
 #: Nodes of a bucket, after the first, that what is outside its largest class meets before all others.
 PIVOTS = 8
 
@@ -98,6 +102,29 @@ def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return out
 
 
+def bit_planes(registers: np.ndarray) -> np.ndarray:
+    """(n, words): PLANES bits of a hash of each register, bit by bit: all registers' first bits, then their second ones, …"""
+    hashes = mix(registers.astype(np.float32).view(np.uint32).astype(np.uint64)) >> np.uint64(64 - PLANES)
+    hashes = np.pad(hashes, ((0, 0), (0, -hashes.shape[1] % 64)))
+    bits = (hashes[:, None, :] >> np.arange(PLANES, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8), axis=2).reshape(len(registers), -1).view(np.int64)
+
+
+def registers_apart(a: str, b: str, words: int = -(-REGISTERS // 64)) -> Column:
+    """Registers whose kept bits differ, from columns a0, a1, … and b0, b1, … with the words of ``bit_planes``."""
+    apart = F.lit(0)
+    for w in range(words):
+        planes = [F.col(f"{a}{p * words + w}").bitwiseXOR(F.col(f"{b}{p * words + w}")) for p in range(PLANES)]
+        apart = apart + F.bit_count(reduce(Column.bitwiseOR, planes))
+    return apart
+
+
+def most_apart(similarity: float, m: int = REGISTERS) -> int:
+    """Registers in which a pair of ``similarity`` or more differs at most, but for a chance of about one in ten million: six deviations."""
+    p = (1 - similarity) * (1 - 2.0**-PLANES)
+    return math.floor(m * p + 6 * math.sqrt(m * p * (1 - p)))
+
+
 def _digests(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> list[bytes]:
     """128 bits that equal multisets share, whatever the order of their words."""
     halves = []
@@ -115,7 +142,7 @@ def text_key(text: Column) -> Column:
 
 
 def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, text_key, node, size, bands: a text's multiset as a node, its shingles, its band keys.
+    """doc_id, text_key, node, size, bands, planes: a text's multiset as a node, its shingles, its band keys and registers' bits.
 
     ``node`` is null for a text without words.
     """
@@ -129,19 +156,21 @@ def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 n = j - i
                 owner, shingle, count = bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 size = np.bincount(owner, count, n).astype(np.int64)
-                keys = band_keys(signatures(owner, shingle, count, n)).view(np.int64)
+                registers = signatures(owner, shingle, count, n)
+                keys, planes = band_keys(registers).view(np.int64), bit_planes(registers)
                 empty = size == 0
                 nodes = pa.array(_digests(owner, shingle, count, n), pa.binary(), mask=empty)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1))
-                )
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+                    for x in (keys, planes)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, n), batch.column("text_key").slice(i, n), nodes, pa.array(size), lists],
-                    names=["doc_id", "text_key", "node", "size", "bands"],
+                    [batch.column("doc_id").slice(i, n), batch.column("text_key").slice(i, n), nodes, pa.array(size), *lists],
+                    names=["doc_id", "text_key", "node", "size", "bands", "planes"],
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, text_key binary, node binary, size long, bands array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, text_key binary, node binary, size long, bands array<long>, planes array<long>")
 
 
 def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -200,7 +229,8 @@ def near_duplicates(
     what is still outside the bucket's largest class; then everything outside is compared with all
     members of other classes, since nodes of one class need no more links. So no pair of two classes that share a band is left out, and a
     bucket of n near copies costs about n pairs. A pair is spared if its sizes, or the shingles that
-    either shares with no other node, rule the similarity out. Pairs are verified on the exact multisets.
+    either shares with no other node, rule the similarity out; in the last step also if more registers of the two
+    differ than ``most_apart`` allows. Pairs are verified on the exact multisets.
     Nodes and links are tables; nothing of all documents reaches the driver.
 
     A very long text is one multiset, held whole by the task that reads it. Texts without words form classes of their own. ``class_id`` is the smallest ``key`` of the class, null if
@@ -210,7 +240,7 @@ def near_duplicates(
     nodes = (
         sketches.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+        .agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
     )
     nodes = staged(nodes, "nodes")
     rows = nodes.select(F.explode("bands").alias("bucket"), F.struct("node", "size").alias("m"))
@@ -272,12 +302,19 @@ def near_duplicates(
         parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
         split = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component")).alias("main"))
         split = split.where("parts > 1").select("bucket", F.col("main.component").alias("main"))
-        open_ = staged(placed.join(split, "bucket"), "open")
-        outside = open_.where("component != main").select("bucket", F.col("m").alias("o"), F.col("component").alias("_component"))
+        open_ = placed.join(split, "bucket")
+        if last:
+            open_ = open_.join(nodes.select(F.col("node").alias("_node"), "planes"), F.col("m.node") == F.col("_node")).drop("_node")
+        open_ = staged(open_, "open")
+        words = range(PLANES * -(-REGISTERS // 64) if last else 0)
+        outside = open_.where("component != main").select(
+            "bucket", F.col("m").alias("o"), F.col("component").alias("_component"), *[F.col("planes")[w].alias(f"o{w}") for w in words]
+        )
         others = open_ if last else open_.join(centres.where("nth > 1"), "bucket").where("m.node = p.node")
-        others = others.select(F.col("bucket").alias("_bucket"), "m", "component")
+        others = others.select(F.col("bucket").alias("_bucket"), "m", "component", *[F.col("planes")[w].alias(f"m{w}") for w in words])
         apart = (F.col("bucket") == F.col("_bucket")) & (F.col("component") != F.col("_component"))
-        crossing = others.join(outside, apart & possible(F.col("m"), F.col("o")))
+        near = registers_apart("m", "o") <= most_apart(similarity) if last else F.lit(True)
+        crossing = others.join(outside, apart & possible(F.col("m"), F.col("o")) & near)
         fresh = pairs_of(crossing.select(F.col("m").alias("a"), F.col("o").alias("b"))).join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh, "pairs")
         tested = tested.unionByName(fresh)
