@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import asof_last, count_in_ranges, number_within
+from tidemark.operators.ordered import asof_last, count_in_ranges, number_within, range_frames
 from tidemark.operators.registry import newest_first_page, newest_per_key, replace_open
 from tidemark.operators.trees import held_out_rows, split_with_total
 
@@ -116,3 +116,22 @@ def test_split_is_exact_and_stable(spark, share):
         chosen = {r["id"] for r in split.where("is_test").collect()}
         assert total == rows and len(chosen) == held_out_rows(rows, share)
         assert chosen == {r["id"] for r in again.where("is_test").collect()}
+
+
+@pytest.mark.parametrize("before, after", [(0, 0), (5, 3), (0, 1000), (1000, 0), (1000, 1000)])
+def test_range_frames(spark, before, after):
+    draw = random.Random(before + after)
+    rows = [("hot" if draw.random() < 0.7 else draw.choice(["a", None]), draw.choice([None, *range(-40, 40)]), draw.choice([None, 1, -2, 30]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, x long, v int, id int")
+    got = range_frames(df, ["k"], "x", before, after, {"total": F.col("v"), "n": F.lit(1)}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        frame = [v for k, x, v, _ in rows if k == r.k and (x is None if r.x is None else x is not None and r.x - before <= x <= r.x + after)]
+        assert (r.total, r.n) == (sum(v or 0 for v in frame), len(frame))
+
+
+def test_range_frames_of_decimals_and_of_nothing(spark):
+    df = spark.sql("SELECT * FROM VALUES ('k', 1.5D, 0.10BD), ('k', 2.0D, 0.25BD), ('k', 9.0D, 1.00BD) AS t(k, x, v)")
+    got = {r.x: str(r.total) for r in range_frames(df, ["k"], "x", 0.5, 0.0, {"total": F.col("v")}).collect()}
+    assert got == {1.5: "0.10", 2.0: "0.35", 9.0: "1.00"}
+    assert range_frames(df.limit(0), ["k"], "x", 1, 1, {"total": F.col("v")}).count() == 0

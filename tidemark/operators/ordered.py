@@ -232,6 +232,31 @@ def framed(df: DataFrame, keys: list[str], order: list[Column], before: int, aft
     return done.where(F.col("_in") == F.col("_home")).drop("_position", "_home", "_in")
 
 
+def range_frames(df: DataFrame, keys: list[str], at: str, before: Column | float, after: Column | float, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with sums over RANGE frames: of the key's rows whose ``at`` lies in [at - before, at + after], for keys of any size.
+
+    ``sums``: name to a column of whole numbers or decimals (``lit(1)`` counts); sums of floats would lose digits. A frame's sum is the
+    running sum at its upper end less that at its lower end, so frames may be as wide as the key and no pair of rows is built. Rows of
+    one key and position collapse first, and frame ends stand among them as rows, read once. Rows without a position have each other as
+    frame, as in SQL, and rows with a null key are a key. A frame without values sums to 0. ``before`` and ``after`` must not be negative, and at - before and at + after must fit
+    the type of ``at``.
+    """
+    peers = df.groupBy(*keys, at).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    ends = F.array(
+        F.struct((F.col(at) - before).alias("_at"), F.lit(0).alias("_side")), F.struct((F.col(at) + after).alias("_at"), F.lit(2).alias("_side"))
+    )
+    ends = peers.select(*keys, F.col(at).alias("_home"), F.inline(ends))
+    here = peers.select(*keys, F.col(at).alias("_home"), F.col(at).alias("_at"), F.lit(1).alias("_side"), *sums)
+    line = here.unionByName(ends, allowMissingColumns=True).na.fill(0, list(sums))
+    # At one position a lower end stands before the rows there, an upper end after them.
+    run = running_sums(line, keys, ["_at", "_side", "_home"], list(sums)).where("_side != 1")
+    sign = F.col("_side") - 1
+    frames = run.groupBy(*keys, "_home").agg(*[F.sum(sign * F.col(f"before_{name}")).alias(name) for name in sums])
+    frames = frames.withColumnsRenamed({c: f"_f_{c}" for c in (*keys, "_home")})
+    there = [f"_f_{c}" for c in (*keys, "_home")]
+    return df.join(frames, same_keys([*keys, at], there)).drop(*there)
+
+
 def ranked_within(df: DataFrame, keys: list[str], order: list[str], buckets: int) -> DataFrame:
     """position, rank, tile, percent_rank, cume_dist of every row in ``order`` (ascending, nulls first), for keys of any size.
 

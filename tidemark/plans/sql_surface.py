@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import asof_join as asof_join_tables
-from tidemark.operators.ordered import asof_last, count_in_ranges, framed, pairs_in_ranges, ranked_within, running_sums
+from tidemark.operators.ordered import asof_last, count_in_ranges, framed, pairs_in_ranges, ranked_within, range_frames, running_sums
 from tidemark.operators.selection import modes, quantiles, sample_rows
 from tidemark.operators.sql import capped, run_sql, suggested_sql
 from tidemark.plans.catalog import query
@@ -323,6 +323,19 @@ def wide_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("l_returnflag", "l_extendedprice", (F.col("before_lines") + F.col("lines")).alias("running"))
 
 
+_BY_KEY = "OVER (PARTITION BY l_returnflag ORDER BY l_orderkey RANGE BETWEEN 1000 PRECEDING AND 500 FOLLOWING)"
+
+
+@query(
+    "sql_wide_ranges",
+    f"SELECT l_returnflag, l_orderkey, l_linenumber, CAST(SUM(l_linenumber) {_BY_KEY} AS BIGINT) AS lines, COUNT(*) {_BY_KEY} AS n FROM lineitem",
+)
+def wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RANGE frames over all order lines of a return flag."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return range_frames(lines, ["l_returnflag"], "l_orderkey", 1000, 500, {"lines": F.col("l_linenumber"), "n": F.lit(1)})
+
+
 @query(
     "sql_wide_analytic",
     "SELECT l_returnflag, l_quantity, l_orderkey, l_linenumber, CAST(rank() OVER w AS BIGINT) AS rank, ROUND(percent_rank() OVER w, 9) AS percent_rank, "
