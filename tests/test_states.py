@@ -76,3 +76,18 @@ def test_text_cells_decide_types_over_all_appends(spark):
         rows = states.merged_profile(figures, keys, ["t"]).select(F.inline("columns")).collect()
         assert [r["inferred_type"] for r in rows] == [kind]
         _same(spark, df.where(F.col("part").isin([p for part in parts for p in part])), figures, keys)
+
+
+def test_every_generated_method_is_small_enough_to_be_compiled(spark):
+    columns = [F.col("id").alias(f"k{i}") for i in range(4)] + [(F.col("id") / (i + 2)).alias(f"v{i}") for i in range(4)]
+    columns += [F.concat(F.lit("t"), "id").alias(f"t{i}") for i in range(4)]
+    wide = spark.range(8).select(columns)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = debug.codegenStringSeq(states.keys_of(wide)._jdf.queryExecution().executedPlan())
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sizes and max(sizes) <= 8000

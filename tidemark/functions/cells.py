@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,9 +54,19 @@ def to_double(text: Column) -> Column:
 
 def as_text(name: str, dtype: T.DataType) -> Column:
     """Any column as normalised cell text."""
+    return normalise(column(name)) if isinstance(dtype, T.StringType) else stripped_text(name, dtype)
+
+
+def stripped(df: DataFrame) -> DataFrame:
+    """``df`` with its text cells normalised, for expressions that use them many times."""
+    return df.select([normalise(column(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else column(f.name) for f in df.schema.fields])
+
+
+def stripped_text(name: str, dtype: T.DataType) -> Column:
+    """``as_text`` of a column of a ``stripped`` table."""
     cell = column(name)
     if isinstance(dtype, T.StringType):
-        return normalise(cell)
+        return cell
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         return F.coalesce(F.to_json(cell), F.lit(""))
     return F.coalesce(cell.cast("string"), F.lit(""))

@@ -18,6 +18,8 @@ from tidemark.functions.cells import (
     is_integer,
     is_number,
     normalise,
+    stripped,
+    stripped_text,
     to_double,
 )
 from tidemark.operators.ordered import asof_last
@@ -26,10 +28,10 @@ _COLUMN_STRUCT = "struct<name:string,missing:bigint,sample_size:bigint,inferred_
 
 
 def _checks(field: T.StructField) -> tuple[Column, Column, Column]:
-    """(missing, not an integer, not a number) for one column, by declared type where it decides."""
+    """(missing, not an integer, not a number) for one column of a ``stripped`` table, by declared type where it decides."""
     cell, dtype = column(field.name), field.dataType
     if isinstance(dtype, T.StringType):
-        text = as_text(field.name, dtype)
+        text = stripped_text(field.name, dtype)
         missing = text == ""
         return missing, ~missing & ~is_integer(text), ~missing & ~is_number(text)
     missing = cell.isNull()
@@ -41,7 +43,7 @@ def _checks(field: T.StructField) -> tuple[Column, Column, Column]:
 
 
 def column_totals(schema: T.StructType) -> list[Column]:
-    """For column i of a table: m missing cells, i no integers, f no numbers."""
+    """For column i of a ``stripped`` table: m missing cells, i no integers, f no numbers."""
     totals = []
     for i, field in enumerate(schema.fields):
         missing, not_integer, not_number = _checks(field)
@@ -78,18 +80,18 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
     One plain aggregate over all columns: nothing but one row per task is shuffled.
     """
-    totals = df.agg(F.count(F.lit(1)).alias("n"), *column_totals(df.schema))
+    totals = stripped(df).agg(F.count(F.lit(1)).alias("n"), *column_totals(df.schema))
     return totals.where("n > 0").select(F.inline(column_rows(df.columns)))
 
 
 def row_digest(schema: T.StructType) -> Column:
-    """32 bytes that rows share exactly when all their normalised cells are equal.
+    """32 bytes that rows of a ``stripped`` table share exactly when all their cells are equal.
 
     Each cell carries its length, so cells cannot run together. Zero has no sign.
     """
     parts = []
     for field in schema.fields:
-        text = as_text(field.name, field.dataType)
+        text = stripped_text(field.name, field.dataType)
         if isinstance(field.dataType, FLOATING):
             text = F.coalesce((column(field.name) + F.lit(0.0)).cast("string"), F.lit(""))
         parts += [F.length(text).cast("string"), F.lit(":"), text]
@@ -97,8 +99,8 @@ def row_digest(schema: T.StructType) -> Column:
 
 
 def blank_row(schema: T.StructType) -> Column:
-    """Whether all cells of a row are missing."""
-    return reduce(Column.__and__, [as_text(f.name, f.dataType) == "" for f in schema.fields])
+    """Whether all cells of a row of a ``stripped`` table are missing."""
+    return reduce(Column.__and__, [stripped_text(f.name, f.dataType) == "" for f in schema.fields])
 
 
 def row_totals(df: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def row_totals(df: DataFrame) -> DataFrame:
     Copies collapse before the shuffle, so a row repeated in a third of the table costs one
     record per task, and a record is a 32-byte digest, whatever the width of the table.
     """
-    rows = df.select(row_digest(df.schema).alias("row"), blank_row(df.schema).alias("blank"))
+    rows = stripped(df).select(row_digest(df.schema).alias("row"), blank_row(df.schema).alias("blank"))
     return (
         rows.groupBy(*rows.columns)
         .agg(F.count(F.lit(1)).alias("copies"))

@@ -7,12 +7,15 @@ types. ``keys`` has one row for each distinct cell of a column (position 0, 1, 
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.cells import stripped
 from tidemark.operators.profile import assembled, blank_row, column_rows, column_totals, row_digest
-from tidemark.operators.stats import STATISTICS, cell_figures, figure_rows, value_key
+from tidemark.operators.stats import STATISTICS, cell_figures, cell_keys, figure_rows
 
 ROW = -1
 #: How a figure of several states becomes one; its name is one of these letters and the column's position.
@@ -21,6 +24,7 @@ MERGES = {"n": F.sum, "w": F.sum, "m": F.sum, "i": F.sum, "f": F.sum, "s": F.sum
 
 def figures_of(df: DataFrame) -> DataFrame:
     """One row of figures, by one plain aggregate: a row per task is shuffled. A table without rows has zeros and nulls."""
+    df = stripped(df)
     totals = [F.count(F.lit(1)).alias("rows"), *column_totals(df.schema)]
     for i, field in enumerate(df.schema.fields):
         cell, words, number = cell_figures(field)
@@ -34,10 +38,17 @@ def figures_of(df: DataFrame) -> DataFrame:
 
 
 def keys_of(df: DataFrame) -> DataFrame:
-    """position, value, blank, copies: the distinct cells and rows of a table; copies collapse before the shuffle."""
-    cells = [F.struct(F.lit(i).alias("position"), value_key(f).alias("value"), F.lit(False).alias("blank")) for i, f in enumerate(df.schema.fields)]
-    row = F.struct(F.lit(ROW).alias("position"), row_digest(df.schema).alias("value"), blank_row(df.schema).alias("blank"))
-    found = df.select(F.inline(F.array(row, *cells))).where("value IS NOT NULL")
+    """position, value, blank, copies: the distinct cells and rows of a table; copies collapse before the shuffle.
+
+    Rows are grouped by themselves, and so are the columns of each table of ``cell_keys``; the table is read once for each.
+    """
+    df = stripped(df)
+    rows = df.select(F.lit(ROW).alias("position"), row_digest(df.schema).alias("value"), blank_row(df.schema).alias("blank"))
+    cells = [keys.withColumn("blank", F.lit(False)) for keys in cell_keys(df)]
+    return reduce(DataFrame.unionByName, [_copies(found) for found in (rows, *cells)])
+
+
+def _copies(found: DataFrame) -> DataFrame:
     return found.groupBy("position", "value", "blank").agg(F.count(F.lit(1)).alias("copies"))
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.cells import FLOATING, INTEGRAL, TEMPORAL, as_text, column, is_number, to_double
+from tidemark.functions.cells import FLOATING, INTEGRAL, TEMPORAL, as_text, column, is_number, stripped, stripped_text, to_double
 
 STATISTICS = [
     "position", "name", "data_type", "row_count", "non_null_count", "null_count", "distinct_count",
     "min_num", "max_num", "mean_num", "min_str", "max_str", "min_exact", "max_exact",
 ]
 
+#: Columns whose keys one generated method makes; the JVM interprets a method of more than 8,000 bytes of code, never compiling it.
+COLUMNS_AT_ONCE = 4
+
 
 def _family(dtype: T.DataType) -> str:
     if isinstance(dtype, INTEGRAL):
@@ -27,25 +32,40 @@ def _family(dtype: T.DataType) -> str:
 def _cell(field: T.StructField, family: str) -> Column:
     if family == "string":
         # Blank text counts as missing.
-        text = as_text(field.name, field.dataType)
+        text = stripped_text(field.name, field.dataType)
         return F.when(text != "", text)
     return column(field.name).cast(family)
 
 
-def value_key(field: T.StructField) -> Column:
-    """At most 32 bytes that values share exactly when they are equal; null for a missing cell.
-
-    Longer text is replaced by its SHA-256, which no shorter text can equal. Zero has no sign.
-    """
+def _key_text(field: T.StructField) -> Column:
+    """A cell of a ``stripped`` table as text that values share exactly when they are equal; null if missing. Zero has no sign."""
     cell = _cell(field, _family(field.dataType)) if _family(field.dataType) == "string" else column(field.name)
     if isinstance(field.dataType, FLOATING):
         cell = cell + F.lit(0.0)
-    text = cell.cast("string")
+    return cell.cast("string")
+
+
+def value_key(text: Column) -> Column:
+    """At most 32 bytes that texts share exactly when they are equal; longer text is replaced by its SHA-256, which no shorter text can equal."""
     return F.when(F.octet_length(text) < 32, F.encode(text, "UTF-8")).otherwise(F.unhex(F.sha2(text, 256)))
 
 
+def cell_keys(df: DataFrame) -> list[DataFrame]:
+    """position, value: a key for every cell of a ``stripped`` table that is not missing, in tables of ``COLUMNS_AT_ONCE`` columns each.
+
+    Every table reads ``df`` once. A cell's text is projected first, as the key uses it more than once.
+    """
+    fields, tables = list(enumerate(df.schema.fields)), []
+    for first in range(0, len(fields), COLUMNS_AT_ONCE):
+        some = fields[first : first + COLUMNS_AT_ONCE]
+        texts = df.select([_key_text(f).alias(str(i)) for i, f in some])
+        keys = [F.struct(F.lit(i).alias("position"), value_key(column(str(i))).alias("value")) for i, _ in some]
+        tables.append(texts.select(F.inline(F.array(*keys))).where("value IS NOT NULL"))
+    return tables
+
+
 def cell_figures(field: T.StructField) -> tuple[Column, Column, Column]:
-    """(cell, aggregate of cells that are no number, number) of one column; missing cells are null."""
+    """(cell, aggregate of cells that are no number, number) of one column of a ``stripped`` table; missing cells are null."""
     family, cell = _family(field.dataType), column(field.name)
     if family == "string":
         cell = _cell(field, family)
@@ -89,7 +109,8 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
     distinct counts shuffle values, as keys of 32 bytes at most that collapse before the shuffle.
     ``min_exact`` and ``max_exact`` hold a numeric column's range in its own type, as text.
     """
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    df = stripped(df if columns is None else df.select([column(f) for f in df.columns if f in columns]))
+    fields = df.schema.fields
     totals = [F.count(F.lit(1)).alias("rows")]
     for i, field in enumerate(fields):
         cell, words, number = cell_figures(field)
@@ -101,14 +122,8 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
             low.cast("string").alias(f"le{i}"), high.cast("string").alias(f"he{i}"),
         ]
     figures = df.agg(*totals).where("rows > 0").select(F.inline(figure_rows(fields)))
-    keys = F.array(*[F.struct(F.lit(i).alias("position"), value_key(f).alias("value")) for i, f in enumerate(fields)])
-    distinct = (
-        df.select(F.inline(keys))
-        .where("value IS NOT NULL")
-        .distinct()
-        .groupBy("position")
-        .agg(F.count(F.lit(1)).alias("distinct_count"))
-    )
+    keys = reduce(DataFrame.unionByName, [cells.distinct() for cells in cell_keys(df)])
+    distinct = keys.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"))
     return figures.join(distinct, "position", "left").na.fill(0, ["distinct_count"]).select(*STATISTICS)
 
 
@@ -117,7 +132,7 @@ def approximate_statistics(df: DataFrame, relative_error: float = 0.02) -> DataF
 
     For tables too wide or too varied for exact distinct counts.
     """
-    totals, rows = [], []
+    df, totals, rows = stripped(df), [], []
     for i, field in enumerate(df.schema.fields):
         cell = _cell(field, _family(field.dataType))
         totals += [F.count(cell).alias(f"n{i}"), F.approx_count_distinct(cell, relative_error).alias(f"d{i}")]
