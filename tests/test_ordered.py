@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.operators.ordered import asof_last, count_in_ranges, number_within, range_frames
 from tidemark.operators.registry import newest_first_page, newest_per_key, replace_open
 from tidemark.operators.trees import held_out_rows, split_with_total
@@ -135,3 +136,35 @@ def test_range_frames_of_decimals_and_of_nothing(spark):
     got = {r.x: str(r.total) for r in range_frames(df, ["k"], "x", 0.5, 0.0, {"total": F.col("v")}).collect()}
     assert got == {1.5: "0.10", 2.0: "0.35", 9.0: "1.00"}
     assert range_frames(df.limit(0), ["k"], "x", 1, 1, {"total": F.col("v")}).count() == 0
+
+
+def test_pieces_follow_the_count_of_rows(spark, monkeypatch):
+    """Before, Spark merged small range partitions by bytes, so that a task's rows grew with the table."""
+    monkeypatch.setattr(ordered, "PIECE_ROWS", 1000)
+    lines = spark.range(60_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("at"), F.col("id"))
+    cut = ordered.ranged_pieces(lines, [F.col("k"), F.col("at")])
+    sizes = [r["n"] for r in cut.groupBy("_piece").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 60_000 and len(sizes) > 50 and max(sizes) < 3000
+    spread = cut.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("_piece").alias("n")).collect()
+    assert max(r["n"] for r in spread) < 10
+
+
+def test_many_pieces_give_the_results_of_one(spark, frame, data, monkeypatch):
+    schema = frame.schema
+    rows = [*data, (None, 5, 900, True), (None, 7, 901, False), (0, None, 902, True), (0, None, 903, False)]
+    rows = spark.createDataFrame(rows, schema).repartition(5)
+
+    def results():
+        order = [F.col("at").asc_nulls_first(), F.col("id")]
+        frames = range_frames(rows, ["k"], "at", 20, 3, {"n": F.lit(1), "total": F.col("id"), "cents": F.col("id").cast("decimal(12,2)")})
+        found = [
+            number_within(rows, ["k"], order),
+            asof_last(rows, "k", ["at", "id"], None, F.col("mark"), F.col("id"), "found"),
+            frames,
+        ]
+        assert frames.schema["cents"].dataType.simpleString() == "decimal(38,2)"
+        return [sorted(map(str, f.collect())) for f in found]
+
+    few = results()
+    monkeypatch.setattr(ordered, "PIECE_ROWS", 40)
+    assert results() == few

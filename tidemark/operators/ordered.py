@@ -7,6 +7,7 @@ pieces, and carries a small summary (one row per piece) from piece to piece.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,6 +16,28 @@ from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir
 
+#: Rows of a piece that one task sorts, whatever the size of the table.
+PIECE_ROWS = 1 << 17
+#: Parts in which the rows of one position are first summed, so that a hot one spreads over tasks.
+PARTS = 16
+
+
+def pieces_of(rows: int) -> int:
+    """Pieces for so many rows."""
+    return max(1, math.ceil(rows / PIECE_ROWS))
+
+
+def ranged_pieces(df: DataFrame, by: list[Column], rows: int | None = None) -> DataFrame:
+    """``df`` cut into range partitions of about PIECE_ROWS rows, numbered in ``_piece``, each in one task.
+
+    Spark samples the cut points, so a hot key spreads over many pieces; the checkpoint fixes them for all uses. Their number
+    follows from the count of rows (``rows``, if known): partitions that Spark merges by bytes would be larger, and several of
+    them would meet in a task.
+    """
+    shared_dir(df.sparkSession)
+    n = pieces_of(df.count() if rows is None else rows)
+    return df.repartitionByRange(n, *by).withColumn("_piece", F.spark_partition_id()).checkpoint().repartition(n, "_piece")
+
 
 def same_keys(left: list[str], right: list[str]) -> Column:
     """Equality of keys under which null equals null, so that no row is lost by a join back."""
@@ -29,12 +52,7 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str
     the key's rows in earlier partitions. The checkpoint fixes the cut points for both uses,
     so pass only the columns that are needed.
     """
-    shared_dir(df.sparkSession)
-    ranged = (
-        df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
-        .withColumn("_piece", F.spark_partition_id())
-        .checkpoint()
-    )
+    ranged = ranged_pieces(df, [*[F.col(k).asc_nulls_first() for k in keys], *order])
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*keys, "_piece")
@@ -55,15 +73,13 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str
     )
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: list[str], rows: int | None = None) -> DataFrame:
     """``before_<name>`` for each of ``sums``: its total over the key's earlier rows in ``order``, for keys of any size.
 
     ``order`` must tell a key's rows apart. Rows are range-partitioned, summed within a partition, and shifted by
-    the key's totals in earlier partitions.
+    the key's totals in earlier partitions. ``rows`` is their number, if known.
     """
-    shared_dir(df.sparkSession)
-    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
-    ranged = df.repartitionByRange(*by).withColumn("_piece", F.spark_partition_id()).checkpoint()
+    ranged = ranged_pieces(df, [F.col(c).asc_nulls_first() for c in (*keys, *order)], rows)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*keys, "_piece").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     carried = totals.select(
@@ -94,9 +110,7 @@ def asof_last(
     """
     marked = df.withColumn("_source", F.when(is_source, value))
     if piece is None:
-        shared_dir(df.sparkSession)
-        ranged = marked.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (key, *order)])
-        pieces = ranged.withColumn("_piece", F.spark_partition_id()).checkpoint()
+        pieces = ranged_pieces(marked, [F.col(c).asc_nulls_first() for c in (key, *order)])
     else:
         pieces = marked.withColumn("_piece", piece)
     within = Window.partitionBy(key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
@@ -239,9 +253,16 @@ def range_frames(df: DataFrame, keys: list[str], at: str, before: Column | float
     running sum at its upper end less that at its lower end, so frames may be as wide as the key and no pair of rows is built. Rows of
     one key and position collapse first, and frame ends stand among them as rows, read once. Rows without a position have each other as
     frame, as in SQL, and rows with a null key are a key. A frame without values sums to 0. ``before`` and ``after`` must not be negative, and at - before and at + after must fit
-    the type of ``at``.
+    the type of ``at``. All but the last join is cut by the count of rows, so that a task holds about as many at every size.
     """
-    peers = df.groupBy(*keys, at).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    shared_dir(df.sparkSession)
+    n = pieces_of(df.count())
+    parts = df.select(*keys, at, *[c.alias(f"_v_{name}") for name, c in sums.items()])
+    parts = parts.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))).repartition(n, *keys, at, "_part")
+    parts = parts.groupBy(*keys, at, "_part").agg(*[F.sum(f"_v_{name}").alias(name) for name in sums])
+    whole = [F.sum(name).cast(parts.schema[name].dataType).alias(name) for name in sums]
+    peers = parts.repartition(n, *keys, at).groupBy(*keys, at).agg(*whole).checkpoint()
+    rows = 3 * peers.count()
     ends = F.array(
         F.struct((F.col(at) - before).alias("_at"), F.lit(0).alias("_side")), F.struct((F.col(at) + after).alias("_at"), F.lit(2).alias("_side"))
     )
@@ -249,9 +270,9 @@ def range_frames(df: DataFrame, keys: list[str], at: str, before: Column | float
     here = peers.select(*keys, F.col(at).alias("_home"), F.col(at).alias("_at"), F.lit(1).alias("_side"), *sums)
     line = here.unionByName(ends, allowMissingColumns=True).na.fill(0, list(sums))
     # At one position a lower end stands before the rows there, an upper end after them.
-    run = running_sums(line, keys, ["_at", "_side", "_home"], list(sums)).where("_side != 1")
+    run = running_sums(line, keys, ["_at", "_side", "_home"], list(sums), rows).where("_side != 1")
     sign = F.col("_side") - 1
-    frames = run.groupBy(*keys, "_home").agg(*[F.sum(sign * F.col(f"before_{name}")).alias(name) for name in sums])
+    frames = run.repartition(pieces_of(rows), *keys, "_home").groupBy(*keys, "_home").agg(*[F.sum(sign * F.col(f"before_{name}")).alias(name) for name in sums])
     frames = frames.withColumnsRenamed({c: f"_f_{c}" for c in (*keys, "_home")})
     there = [f"_f_{c}" for c in (*keys, "_home")]
     return df.join(frames, same_keys([*keys, at], there)).drop(*there)
