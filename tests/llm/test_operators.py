@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, lm, minhash, mixing, pieces, quality, repeats, sharding, token_files, url_rules
 from tidemark.llm.arrays import flat, owners
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, hung
 from tidemark.llm.queries import QUERIES
 from tidemark.session import scratch_path
 
@@ -317,6 +317,19 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_links_of_a_dense_group_are_hung_on_few(spark):
+    """Before, each of the 1,770 links of 60 nodes was joined in every round."""
+    rng = np.random.default_rng(4)
+    nodes = [int(n) for n in rng.permutation(1000)[:60]]
+    dense = {(min(a, b), max(a, b)) for a in nodes for b in nodes if a != b}
+    links = spark.createDataFrame(sorted(dense) + [(2000, 2001), (2001, 2002)], "a long, b long")
+    assert hung(links).count() == 59 + 2
+    both = links.union(links.select(F.col("b"), F.col("a"))).union(spark.createDataFrame([(3000, 3000)], "a long, b long"))
+    got = {r.node: r.component for r in components(both).collect()}
+    assert got == {**{n: min(nodes) for n in nodes}, 2000: 2000, 2001: 2000, 2002: 2000, 3000: 3000}
+    assert components(links.limit(0)).count() == 0
+
+
 # --- decontamination -------------------------------------------------------------------
 
 
