@@ -306,6 +306,58 @@ def test_kept_bits_of_registers_bound_how_far_apart_a_pair_may_be(spark):
     assert sorted(r.n for r in frame.collect()) == sorted(counts)
 
 
+def test_bits_of_units_never_rule_out_a_near_pair(spark):
+    rng = np.random.default_rng(6)
+    rows, exact = [], []
+    for size in [3, 20, 62, 63, 64, 65, 66, 146, 600, 5000]:
+        for change in (0.05, 0.1, 0.12, 0.17, 0.3):
+            a = rng.integers(0, 2**63, size).astype(np.uint64)
+            b = np.where(rng.random(size) < change, rng.integers(0, 2**63, size).astype(np.uint64), a)[: size - int(size * rng.random() * change)]
+            bags = [np.unique(np.append(x, x[: size // 8]), return_counts=True) for x in (a, b)]
+            units, counts = (np.concatenate([bag[i] for bag in bags]) for i in (0, 1))
+            owner = np.repeat([0, 1], [len(bag[0]) for bag in bags])
+            places, words = minhash.unit_bits(owner, units, counts, 2)
+            bits = [words.view(np.int64)[i:j].tolist() for i, j in zip(places[:-1], places[1:])]
+            (x, nx), (y, ny) = bags
+            _, i, j = np.intersect1d(x, y, return_indices=True)
+            shared = int(np.minimum(nx[i], ny[j]).sum())
+            exact.append((int(nx.sum()), int(ny.sum()), shared / (int(nx.sum()) + int(ny.sum()) - shared)))
+            rows += [(len(exact) - 1, exact[-1][0], bits[0], exact[-1][1], bits[1])]
+    frame = spark.createDataFrame(rows, "k int, a long, x array<long>, b long, y array<long>")
+    for first, second in (("a", "b"), ("b", "a")):
+        side = {"a": "x", "b": "y"}
+        may = minhash.enough_shared(F.col(first), F.col(side[first]), F.col(second), F.col(side[second]), 0.8)
+        got = {r.k: r.may for r in frame.select("k", may.alias("may")).collect()}
+        assert all(got[k] for k, (_, _, overlap) in enumerate(exact) if overlap >= 0.8)
+        assert not any(got[k] for k, (n, _, overlap) in enumerate(exact) if overlap < 0.6 and 20 < n < 1000)
+
+
+def test_last_join_of_near_copies_makes_few_rows(spark, monkeypatch):
+    """Copies of one text that are not near each other: candidates of the last join are verified by bits before they are rows."""
+    rng = np.random.default_rng(3)
+    base = rng.choice([f"w{i}" for i in range(3000)], 150)
+    edits = [[(int(p), f"e{p}") for p in rng.choice(150, 12, replace=False)] for _ in range(6)]
+    rows = {}
+    for i in range(240):  # shingles of an edit are shared, so they are no node's own
+        words = base.copy().tolist()
+        for p, w in [e for k in rng.choice(6, 1) for e in edits[k]][: int(rng.integers(6, 9))]:
+            words[p] = w
+        words[int(rng.integers(0, 150))] = f"x{i}"
+        rows[i] = " ".join(words)
+    stored, real = [], minhash.staged
+
+    def staged(df, label):
+        out = real(df, label)
+        if label == "pairs":
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "staged", staged)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == plain_classes(rows)
+    assert stored[-1] <= 10 * len(rows), stored
+
+
 def test_near_duplicates_of_the_table(spark, documents):
     got = {r.doc_id: r.class_id for r in QUERIES["op3_near_dedup"](spark, SF_DIR).collect()}
     assert got == plain_classes(dict(zip(documents.doc_id.tolist(), documents.text)))

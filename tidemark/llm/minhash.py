@@ -26,6 +26,8 @@ REGISTERS = BANDS * ROWS
 BATCH_BYTES = 1 << 20
 #: Bits kept of each register, to estimate how alike two nodes are.
 PLANES = 4
+#: Words of 64 bits that mark a node's units: the fewest, and the most whatever its size.
+LEAST_WORDS, MOST_WORDS = 4, 128
 #: Nodes of a bucket, after the first, that what is outside its largest class meets before all others.
 PIVOTS = 8
 
@@ -125,6 +127,35 @@ def most_apart(similarity: float, m: int = REGISTERS) -> int:
     return math.floor(m * p + 6 * math.sqrt(m * p * (1 - p)))
 
 
+def unit_bits(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n+1 offsets and the words of bits that the units of each multiset set: a power of two of them, for four bits a unit or more.
+
+    A unit is a shingle's first, second, third … copy. Fewer words hold the same bits, folded.
+    """
+    of = np.repeat(owner, count)
+    copy = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    h = mix(np.repeat(shingle, count) + copy.astype(np.uint64) * _STEP[2])
+    size = np.bincount(of, minlength=n)
+    words = np.exp2(np.ceil(np.log2(np.maximum(size, 1) / 16))).astype(np.int64).clip(LEAST_WORDS, MOST_WORDS)
+    offsets = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(int(offsets[-1]), np.uint64)
+    at = offsets[of] + ((h >> np.uint64(6)).astype(np.int64) & (words[of] - 1))
+    np.bitwise_or.at(out, at, np.uint64(1) << (h & np.uint64(63)))
+    return offsets, out
+
+
+def own_bits(more: Column, fewer: Column) -> Column:
+    """Bits of ``unit_bits`` set in ``more`` but not in ``fewer``, which has as many words or less: each is a unit that the other lacks."""
+    alone = F.transform(more, lambda x, i: F.bit_count(x.bitwiseAND(F.bitwise_not(F.get(fewer, i % F.size(fewer))))))
+    return F.aggregate(alone, F.lit(0), lambda n, x: n + x)
+
+
+def enough_shared(a: Column, a_bits: Column, b: Column, b_bits: Column, similarity: float) -> Column:
+    """Whether the bits of units leave room for ``similarity``; it never rules out a pair that has it."""
+    most = F.when(F.size(a_bits) >= F.size(b_bits), a - own_bits(a_bits, b_bits)).otherwise(b - own_bits(b_bits, a_bits))
+    return most >= F.lit((similarity - 1e-9) / (1 + similarity)) * (a + b)
+
+
 def _digests(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> list[bytes]:
     """128 bits that equal multisets share, whatever the order of their words."""
     halves = []
@@ -174,7 +205,7 @@ def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 
 def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """node, shingles, counts of the texts with the ``wanted`` text keys, one row for each node."""
+    """node, shingles, counts, units (their bits) of the texts with the ``wanted`` text keys, one row for each node."""
     rows = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     # Always a merge join: one plan at every size, and large groups of copies can be split.
     rows = rows.join(wanted.hint("merge"), "text_key", "left_semi")
@@ -194,16 +225,18 @@ def multisets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
             for i, j in groups_of_bytes(offsets, BATCH_BYTES):
                 owner, shingle, count = bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 edges = pa.array(np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32))
+                places, bits = unit_bits(owner, shingle, count, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(_digests(owner, shingle, count, j - i), pa.binary()),
                         pa.ListArray.from_arrays(edges, pa.array(shingle.view(np.int64))),
                         pa.ListArray.from_arrays(edges, pa.array(count.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(bits.view(np.int64))),
                     ],
-                    names=["node", "shingles", "counts"],
+                    names=["node", "shingles", "counts", "units"],
                 )
 
-    return rows.mapInArrow(bag, "node binary, shingles array<long>, counts array<int>").dropDuplicates(["node"])
+    return rows.mapInArrow(bag, "node binary, shingles array<long>, counts array<int>, units array<long>").dropDuplicates(["node"])
 
 
 @F.pandas_udf(DoubleType())
@@ -230,7 +263,7 @@ def near_duplicates(
     members of other classes, since nodes of one class need no more links. So no pair of two classes that share a band is left out, and a
     bucket of n near copies costs about n pairs. A pair is spared if its sizes, or the shingles that
     either shares with no other node, rule the similarity out; in the last step also if more registers of the two
-    differ than ``most_apart`` allows. Pairs are verified on the exact multisets.
+    differ than ``most_apart`` allows, or if the bits of their units (``enough_shared``) rule it out. Pairs are verified on the exact multisets.
     Nodes and links are tables; nothing of all documents reaches the driver.
 
     A very long text is one multiset, held whole by the task that reads it. Texts without words form classes of their own. ``class_id`` is the smallest ``key`` of the class, null if
@@ -305,15 +338,20 @@ def near_duplicates(
         open_ = placed.join(split, "bucket")
         if last:
             open_ = open_.join(nodes.select(F.col("node").alias("_node"), "planes"), F.col("m.node") == F.col("_node")).drop("_node")
+            open_ = open_.join(held.select(F.col("node").alias("_node"), "units"), F.col("m.node") == F.col("_node")).drop("_node")
         open_ = staged(open_, "open")
         words = range(PLANES * -(-REGISTERS // 64) if last else 0)
+        bits = ["units"] if last else []
         outside = open_.where("component != main").select(
-            "bucket", F.col("m").alias("o"), F.col("component").alias("_component"), *[F.col("planes")[w].alias(f"o{w}") for w in words]
+            "bucket", F.col("m").alias("o"), F.col("component").alias("_component"), *[F.col(c).alias(f"_{c}") for c in bits], *[F.col("planes")[w].alias(f"o{w}") for w in words]
         )
         others = open_ if last else open_.join(centres.where("nth > 1"), "bucket").where("m.node = p.node")
-        others = others.select(F.col("bucket").alias("_bucket"), "m", "component", *[F.col("planes")[w].alias(f"m{w}") for w in words])
+        others = others.select(F.col("bucket").alias("_bucket"), "m", "component", *bits, *[F.col("planes")[w].alias(f"m{w}") for w in words])
         apart = (F.col("bucket") == F.col("_bucket")) & (F.col("component") != F.col("_component"))
-        near = registers_apart("m", "o") <= most_apart(similarity) if last else F.lit(True)
+        near = F.lit(True)
+        if last:
+            near = registers_apart("m", "o") <= most_apart(similarity)
+            near = near & enough_shared(F.col("m.size"), F.col("units"), F.col("o.size"), F.col("_units"), similarity)
         crossing = others.join(outside, apart & possible(F.col("m"), F.col("o")) & near)
         fresh = pairs_of(crossing.select(F.col("m").alias("a"), F.col("o").alias("b"))).join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh, "pairs")
