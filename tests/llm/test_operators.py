@@ -139,6 +139,48 @@ def test_pieces_give_the_ids_of_whole_texts(name):
         assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_pieces_are_encoded_in_a_row():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, whole = pieces.PieceEncoder(path, keep_ids=True), pieces.load(path)
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    texts = [" ".join(f"word{i * 7919} é{i}," for i in range(3000)), "start  here ", " ", "", "x <|endoftext|>  y"]
+    broken = b"ab \xff\xfe \xf0\x9f z"  # no UTF-8: the bytes behind its ids are others
+    column = pa.array([*[t.encode() for t in texts], broken], pa.large_binary())
+    for _ in range(2):
+        data, offsets = flat(column)
+        starts, ends = encoder.cut(data, offsets)
+        places = encoder.places(data, starts, ends)
+    counts = np.bincount(owners(offsets, starts), encoder.counts[places], len(column)).astype(int)
+    ids = np.split(encoder.ids_of(places), np.cumsum(counts)[:-1])
+    for text, got in zip([*texts, broken.decode("utf-8", "replace")], ids):
+        assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    calls.clear()
+    some = np.frombuffer(b"first" + b"".join(b" new%d" % i for i in range(5000)), np.uint8)
+    starts, ends = encoder.cut(some, np.array([0, len(some)]))
+    places = encoder.places(some, starts, ends)
+    assert encoder.counts[places].sum() == len(whole.encode(some.tobytes().decode()).ids)
+    assert len(calls) < 20
+
+
+def test_blocks_are_read_in_small_groups(spark, tmp_path):
+    from pyarrow import parquet
+
+    rng = np.random.default_rng(3)
+    text = " ".join(map(str, rng.integers(0, 10**9, 300_000)))
+    docs = spark.createDataFrame([(i, text) for i in range(12)], "doc_id long, text string")
+    token_files.write_token_files(docs, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"))
+    groups = [parquet.ParquetFile(f).metadata for f in (tmp_path / "t").glob("*.parquet")]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) > 20 << 20 and max(sizes) < 20 << 20
+
+
 def test_token_counts(spark, documents):
     whole = pieces.load(public_tokenizers.path("word_bpe_49k.json"))
     got = QUERIES["op7_token_counts"](spark, SF_DIR).toPandas().sort_values("doc_id")

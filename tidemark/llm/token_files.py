@@ -21,6 +21,8 @@ from tidemark.llm.staging import lean, let_workers_import, staged
 #: Ids in a block, text in a file on average, text encoded together.
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 64 << 20
+#: Bytes of blocks that a writer gathers and a reader decodes together.
+GROUP_BYTES = 16 << 20
 BATCH_BYTES = 1 << 20
 LEVEL = 1
 END = 0
@@ -126,7 +128,8 @@ def write_token_files(
 
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
     # The planes are compressed already.
-    ranged.mapInArrow(blocks, SCHEMA).write.option("compression", "none").parquet(path)
+    written = ranged.mapInArrow(blocks, SCHEMA).write
+    written.option("compression", "none").option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 def _times(a: int, b: int) -> int:
