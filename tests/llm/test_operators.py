@@ -555,3 +555,61 @@ def test_vocabulary_follows_the_input(spark):
     assert len(set(ids)) == 3 and min(ids) > 1
     before = np.array([[5, 700]])
     assert sum(np.exp(model.log_shares(np.array([r]), before))[0] for r in range(902)) == pytest.approx(1, rel=1e-4)
+
+
+def plain_training(model, tokens, before, seed):
+    """``Model.train`` token by token, in doubles."""
+    rng, w, n = np.random.default_rng(seed), model.width, len(model.share)
+    p = {k: v.astype(float) for k, v in model.parts.items()}
+    squares = {k: np.full(v.shape, lm.WORD_START if k in ("seen", "said", "bias") else lm.DENSE_START) for k, v in p.items()}
+    of_kind, first = np.exp(p["kind_bias"]), model.share[:w]
+    draws = lm.Draws(rng, of_kind / of_kind.sum()), lm.Draws(rng, first / first.sum())
+    for i in range(0, len(tokens), lm.STEP_TOKENS):
+        own, seen = tokens[i : i + lm.STEP_TOKENS], before[i : i + lm.STEP_TOKENS]
+        kinds, heads = draws[0].some(), draws[1].some() if (own < w).any() else None
+        low = own[own >= w] // w * w
+        most = np.minimum(w, n - low)
+        drawn = low[:, None] + (rng.random((len(low), lm.INNER_NOISE)) * most[:, None]).astype(int)
+        tails, change = iter(zip(drawn, most)), {k: np.zeros(v.shape) for k, v in p.items()}
+        for t, b in zip(own, seen):
+            q, toward = sum(p["seen"][b[d]] @ p["turn"][d] for d in range(lm.CONTEXT)), 0
+            told = [("kind", "kind_bias", t // w, kinds, draws[0].logs)]
+            if t < w:
+                told.append(("said", "bias", t, heads, draws[1].logs))
+            else:
+                noise, size = next(tails)
+                told.append(("said", "bias", t, noise, np.full(n, np.log(lm.INNER_NOISE / size))))
+            for name, bias, true, noise, logs in told:
+                for row, sign in [(true, 1), *((r, -1) for r in noise)]:
+                    far = sign / (1 + np.exp(sign * (q @ p[name][row] + p[bias][row] - logs[row])))
+                    toward = toward + far * p[name][row]
+                    change[name][row] += far * q
+                    change[bias][row] += far
+            for d in range(lm.CONTEXT):
+                change["seen"][b[d]] += toward @ p["turn"][d].T
+                change["turn"][d] += np.outer(p["seen"][b[d]], toward)
+        for k in p:
+            squares[k] += (change[k] / len(own)) ** 2
+            p[k] += lm.RATE * change[k] / len(own) / np.sqrt(squares[k])
+    return p
+
+
+def test_training_reads_each_parameter_once_a_step():
+    rng = np.random.default_rng(4)
+    model = lm.Model.fresh(np.arange(60, dtype=np.uint64), np.arange(60, 0, -1) ** 2, 10, 40)
+    tokens, before = rng.integers(0, 62, 700), rng.integers(0, 62, (700, lm.CONTEXT))
+    want = plain_training(model, tokens, before, 3)
+    groups = lm.Groups.of(np.array([7, 3, 7, 9]))
+    assert groups.keys.tolist() == [3, 7, 9] and groups.times.tolist() == [1, 2, 1] and groups.place.tolist() == [1, 0, 1, 2]
+    assert groups.sums(np.array([[1.0], [2.0], [4.0], [8.0]])).tolist() == [[2.0], [5.0], [8.0]]
+    touched = model.train(iter([(tokens, before)]), 3)
+    assert touched.tokens == 700 and touched.seen.sum() == 1400
+    for k, v in want.items():
+        assert model.parts[k] == pytest.approx(v, rel=1e-3, abs=1e-4), k
+
+
+def test_scores_of_any_size():
+    q, said = np.full((3, lm.SIZE), 9, np.float32), np.full((4, lm.SIZE), 1, np.float32)
+    said *= np.array([1, -1, 2, 0.9], np.float32)[:, None]
+    got = lm._log_softmax(q, said, np.zeros(4, np.float32), np.array([2, 0, 1]))
+    assert got == pytest.approx([0, -144, -432], abs=1e-3)

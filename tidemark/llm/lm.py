@@ -24,7 +24,10 @@ NOISE, INNER_NOISE, STEP_TOKENS, RATE, ROUNDS = 64, 4, 512, 0.2, 1
 DENSE_START, WORD_START = 1e-3, 1e-5
 #: A word with at least this part of all training tokens is looked up in a broadcast table.
 FREQUENT = 1_000_000
-SCORED_TOKENS = 1024
+#: Tokens scored together: their scores for all rows of a class stay in a core's cache.
+SCORED_TOKENS = 256
+#: A float's exp and sums of many such are finite and above zero for scores within these bounds.
+SAFE = 60
 BATCH_BYTES = 1 << 20
 #: Rows of parameters of an Arrow batch.
 SENT_ROWS = 1 << 14
@@ -171,88 +174,110 @@ class Model:
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> Touched:
         """NCE steps over (tokens, before) arrays, with Adagrad; how often each row took part."""
         rng = np.random.default_rng(seed)
-        single = ("seen", "said", "bias")
-        squares = {k: np.full(v.shape, WORD_START if k in single else DENSE_START, np.float32) for k, v in self.parts.items()}
+        n, kinds = len(self.share), len(self.parts["kind"])
+        rows = self.rows()
+        # A row of parameters and its squares lie together: a step reads and writes each place once.
+        state = np.concatenate([rows, np.full(rows.shape, WORD_START, np.float32)], axis=1)
+        state[2 * n :, SIZE + 1 :] = DENSE_START
         of_kind = np.exp(self.parts["kind_bias"].astype(float))
         first = self.share[: self.width]
         draws = Draws(rng, of_kind / of_kind.sum()), Draws(rng, first / first.sum())
-        touched = Touched(0, np.zeros(len(self.share), np.int64), np.zeros(len(self.share), np.int64))
+        times = np.zeros(2 * n + kinds, np.int64)
+        total = 0
         for tokens, before in batches:
-            touched.tokens += len(tokens)
+            total += len(tokens)
             for i in range(0, len(tokens), STEP_TOKENS):
-                self._step(tokens[i : i + STEP_TOKENS], before[i : i + STEP_TOKENS], rng, draws, squares, touched)
-        return touched
+                self._step(tokens[i : i + STEP_TOKENS], before[i : i + STEP_TOKENS], rng, draws, state, times)
+        self.parts = self.parts_of(state[:, : SIZE + 1])
+        return Touched(total, times[:n], times[n : 2 * n])
 
-    def _step(self, own, seen, rng, draws, squares, touched) -> None:
-        p, width = self.parts, self.width
-        q = self.expected(seen)
-        toward, kind, kind_bias = _against_shared(q, own // width, p["kind"], p["kind_bias"], draws[0])
+    def _step(self, own, seen, rng, draws, state, times) -> None:
+        n, width, m = len(self.share), self.width, len(own)
         # Rows of the first class, which most tokens are of, share their noise; rarer ones have their class's at equal chances.
-        head = np.flatnonzero(own < width)
-        rows, said, bias = [], [], []
+        head, tail = np.flatnonzero(own < width), np.flatnonzero(own >= width)
+        kind_noise, head_noise = draws[0].some(), draws[1].some() if len(head) else own[:0]
+        low = own[tail] // width * width
+        most = np.minimum(width, n - low)
+        both = np.empty((len(tail), 1 + INNER_NOISE), np.int64)
+        both[:, 0] = own[tail]
+        if len(tail):
+            both[:, 1:] = low[:, None] + (rng.random((len(tail), INNER_NOISE)) * most[:, None]).astype(np.int64)
+        places = [
+            own // width + 2 * n, kind_noise + 2 * n, own[head], head_noise, both.ravel(), seen.T.ravel() + n,
+            np.arange(len(times), len(state)),  # the rows of "turn" stand last
+        ]
+        edges = np.cumsum([len(p) for p in places]).tolist()
+        groups = Groups.of(np.concatenate(places))
+        block = state[groups.keys]
+        held = np.ascontiguousarray(block[:, : SIZE + 1])
+        rows = held[groups.place]
+        values = np.empty((edges[-1], SIZE + 1), np.float32)
+        context = rows[edges[4] : edges[5], :SIZE].reshape(CONTEXT, m, SIZE)
+        turn = rows[edges[5] :, :SIZE].reshape(CONTEXT, SIZE, SIZE)
+        q = np.ones((m, SIZE + 1), np.float32)  # the last number meets the bias
+        q[:, :SIZE] = np.matmul(context, turn).sum(axis=0)
+        toward = _against_shared(q, rows[: edges[1]], places[0] - 2 * n, kind_noise, draws[0].logs, values[: edges[1]])
         if len(head):
-            pull, said_head, bias_head = _against_shared(q[head], own[head], p["said"][:width], p["bias"][:width], draws[1])
-            toward[head] += pull
-            rows, said, bias = [np.arange(len(said_head))], [said_head], [bias_head]
-        tail = np.flatnonzero(own >= width)
+            inside = slice(edges[1], edges[3])
+            toward[head] += _against_shared(q[head], rows[inside], own[head], head_noise, draws[1].logs, values[inside])
         if len(tail):
-            low = own[tail] // width * width
-            most = np.minimum(width, len(self.share) - low)
-            drawn = low[:, None] + (rng.random((len(tail), INNER_NOISE)) * most[:, None]).astype(np.int64)
-            both = np.concatenate([own[tail, None], drawn], axis=1)
-            vectors = p["said"][both]
-            scores = np.matmul(vectors, q[tail][:, :, None])[:, :, 0] + p["bias"][both]
+            inside = slice(edges[3], edges[4])
+            vectors, q_tail = rows[inside].reshape(*both.shape, SIZE + 1), q[tail]
+            scores = np.einsum("tks,ts->tk", vectors, q_tail)
             scores -= np.log(INNER_NOISE / most)[:, None].astype(np.float32)
-            change = -1 / (1 + np.exp(np.clip(-scores, -30, 30)))
+            change = -_chance(scores)
             change[:, 0] += 1
-            toward[tail] += np.matmul(change[:, None, :], vectors)[:, 0]
-            values = np.concatenate([change[:, :, None] * q[tail][:, None, :], change[:, :, None]], axis=2)
-            at, sums, times = _sums(both.ravel(), values.reshape(-1, SIZE + 1))
-            touched.said[at] += times
-            rows, said, bias = [*rows, at], [*said, sums[:, :SIZE]], [*bias, sums[:, SIZE]]
-        turned = [toward @ p["turn"][d].T for d in range(CONTEXT)]
-        turn = np.stack([p["seen"][seen[:, d]].T @ toward for d in range(CONTEXT)])
-        context, sums, times = _sums(seen.T.ravel(), np.concatenate(turned))
-        touched.seen[context] += times
-        rows = np.concatenate(rows)
-        all_rows = slice(None)
-        for name, at, gradient in (
-            ("kind", all_rows, kind), ("kind_bias", all_rows, kind_bias), ("turn", all_rows, turn), ("seen", context, sums),
-            ("said", rows, np.concatenate(said)), ("bias", rows, np.concatenate(bias)),
-        ):
-            gradient = gradient / len(own)
-            square = squares[name][at] + gradient * gradient
-            squares[name][at] = square
-            p[name][at] += RATE * gradient / np.sqrt(square)
+            toward[tail] += np.einsum("tk,tks->ts", change, vectors)[:, :SIZE]
+            np.multiply(change[:, :, None], q_tail[:, None, :], out=values[inside].reshape(vectors.shape))
+        values[edges[4] :, SIZE] = 0
+        values[edges[4] : edges[5], :SIZE] = np.matmul(toward, turn.transpose(0, 2, 1)).reshape(-1, SIZE)
+        values[edges[5] :, :SIZE] = np.matmul(context.transpose(0, 2, 1), toward).reshape(-1, SIZE)
+        gradient = groups.sums(values)
+        words = groups.keys[: len(groups.keys) - CONTEXT * SIZE]
+        times[words] += groups.times[: len(words)]
+        gradient /= m
+        square = block[:, SIZE + 1 :]
+        square += gradient * gradient
+        gradient *= RATE
+        gradient /= np.sqrt(square)
+        block[:, : SIZE + 1] += gradient
+        state[groups.keys] = block
+
+    def rows(self) -> np.ndarray:
+        """All parameters, SIZE + 1 numbers a row: of words as target, with the bias last, as context, of classes, of "turn"."""
+        p, n = self.parts, len(self.share)
+        out = np.zeros((2 * n + len(p["kind"]) + CONTEXT * SIZE, SIZE + 1), np.float32)
+        out[:, :SIZE] = np.concatenate([p["said"], p["seen"], p["kind"], p["turn"].reshape(-1, SIZE)])
+        out[:n, SIZE], out[2 * n : 2 * n + len(p["kind"]), SIZE] = p["bias"], p["kind_bias"]
+        return out
+
+    def parts_of(self, rows: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts that ``rows`` hold."""
+        n, kinds = len(self.share), len(self.parts["kind"])
+        said, seen, kind, turn = np.split(rows, [n, 2 * n, 2 * n + kinds])
+        parts = {
+            "said": said[:, :SIZE], "bias": said[:, SIZE], "seen": seen[:, :SIZE], "kind": kind[:, :SIZE], "kind_bias": kind[:, SIZE],
+            "turn": turn[:, :SIZE].reshape(CONTEXT, SIZE, SIZE),
+        }
+        return {k: np.ascontiguousarray(v) for k, v in parts.items()}
 
     def places(self, touched: Touched) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place, weight and SIZE + 1 numbers of every row of parameters that training changed.
 
         A word's row weighs as often as it took part, so that tasks without the word don't dilute what others learned.
         """
-        p, n = self.parts, len(self.share)
         said, seen = touched.said.copy(), touched.seen
         said[: self.width] = touched.tokens
-        rest = np.full(len(p["kind"]) + CONTEXT * SIZE, touched.tokens)
+        rest = np.full(len(self.parts["kind"]) + CONTEXT * SIZE, touched.tokens)
         weights = np.concatenate([said, seen, rest])
         at = np.flatnonzero(weights)
-        values = np.zeros((len(weights), SIZE + 1), np.float32)
-        values[:, :SIZE] = np.concatenate([p["said"], p["seen"], p["kind"], p["turn"].reshape(-1, SIZE)])
-        values[:n, SIZE], values[2 * n : 2 * n + len(p["kind"]), SIZE] = p["bias"], p["kind_bias"]
-        return at, weights[at], values[at]
+        return at, weights[at], self.rows()[at]
 
     def with_places(self, at: np.ndarray, values: np.ndarray) -> Model:
         """The model with these rows of parameters in place of its own."""
-        n, kinds = len(self.share), len(self.parts["kind"])
-        everything = Touched(1, np.ones(n, np.int64), np.ones(n, np.int64))
-        _, _, rows = self.places(everything)
+        rows = self.rows()
         rows[at] = values
-        said, seen, kind, turn = np.split(rows, [n, 2 * n, 2 * n + kinds])
-        parts = {
-            "said": said[:, :SIZE], "bias": said[:, SIZE], "seen": seen[:, :SIZE], "kind": kind[:, :SIZE], "kind_bias": kind[:, SIZE],
-            "turn": turn[:, :SIZE].reshape(CONTEXT, SIZE, SIZE),
-        }
-        return Model(self.keys, self.ids, self.share, self.width, {k: np.ascontiguousarray(v) for k, v in parts.items()})
+        return Model(self.keys, self.ids, self.share, self.width, self.parts_of(rows))
 
 
 @dataclass
@@ -275,43 +300,79 @@ class Draws:
         return np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.upto) - 1)
 
 
-def _against_shared(q, own, said, bias, draws: Draws) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients of ``q``, ``said`` and ``bias`` where all tokens are told from the same noise."""
-    drawn = draws.some()
-    true = (q * said[own]).sum(axis=1) + bias[own] - draws.logs[own]
-    false = q @ said[drawn].T + bias[drawn] - draws.logs[drawn]
-    up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # how far a true row is from certain
-    down = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-    rows = np.concatenate([own, drawn])
-    values = np.empty((len(rows), SIZE + 1), np.float32)
-    values[: len(own), :SIZE], values[: len(own), SIZE] = up[:, None] * q, up
-    values[len(own) :, :SIZE], values[len(own) :, SIZE] = down.T @ q, down.sum(axis=0)
-    at, sums, _ = _sums(rows, values)
-    change = np.zeros((len(said), SIZE + 1), np.float32)
-    change[at] = sums
-    return up[:, None] * said[own] + down @ said[drawn], change[:, :SIZE], change[:, SIZE]
+def _chance(scores: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-scores)), in place."""
+    np.negative(scores, out=scores)
+    np.exp(np.minimum(scores, 30, out=scores), out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
+
+
+def _against_shared(q, rows, own, drawn, logs, values) -> np.ndarray:
+    """Gradient of ``q`` without its last number, where all tokens are told from the same noise; those of ``rows`` go to ``values``.
+
+    ``rows`` are those of the tokens' own places, then of the drawn ones.
+    """
+    said, noise = rows[: len(own)], rows[len(own) :]
+    shifted = noise.copy()
+    shifted[:, SIZE] -= logs[drawn]
+    up = _chance(logs[own] - np.einsum("ts,ts->t", q, said))  # how far a true row is from certain
+    down = _chance(q @ shifted.T)
+    np.multiply(up[:, None], q, out=values[: len(own)])
+    np.negative(down.T @ q, out=values[len(own) :])
+    toward = up[:, None] * said[:, :SIZE]
+    toward -= down @ noise[:, :SIZE]
+    return toward
 
 
 def _log_softmax(q: np.ndarray, said: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Log-probability of row ``own`` of ``said`` for every row of ``q``."""
     out = np.empty(len(own))
+    lot = min(len(own), SCORED_TOKENS)
+    both = np.concatenate([said, bias[:, None]], axis=1).T
+    ones, room, first = np.ones(len(said), np.float32), np.empty((lot, len(said)), np.float32), np.ones((lot, SIZE + 1), np.float32)
     for i in range(0, len(own), SCORED_TOKENS):
-        scores = q[i : i + SCORED_TOKENS] @ said.T
-        scores += bias
-        scores -= scores.max(axis=1, keepdims=True)
         rows = own[i : i + SCORED_TOKENS]
-        out[i : i + SCORED_TOKENS] = scores[np.arange(len(rows)), rows]
-        out[i : i + SCORED_TOKENS] -= np.log(np.exp(scores, out=scores).sum(axis=1))
+        first[: len(rows), :SIZE] = q[i : i + SCORED_TOKENS]
+        scores = np.matmul(first[: len(rows)], both, out=room[: len(rows)])
+        mine = scores[np.arange(len(rows)), rows]
+        if scores.max() > SAFE or mine.min() < -SAFE:
+            most = scores.max(axis=1)
+            scores -= most[:, None]
+            mine -= most
+        out[i : i + SCORED_TOKENS] = mine - np.log(np.exp(scores, out=scores) @ ones)
     return out
 
 
-def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different ``rows``, sums of their values, and how often each stands there."""
-    order = np.argsort(rows)
-    new = np.flatnonzero(run_starts(rows[order]))
-    if not len(new):
-        return rows, values, rows
-    return rows[order][new], np.add.reduceat(values[order], new, axis=0), np.diff(np.append(new, len(rows)))
+@dataclass
+class Groups:
+    """The different ``keys`` of rows, ascending, how often each stands there, and the place of every row's key."""
+
+    keys: np.ndarray
+    times: np.ndarray
+    place: np.ndarray
+    order: np.ndarray  # rows by key
+    first: np.ndarray  # where in it a key begins
+
+    @staticmethod
+    def of(rows: np.ndarray) -> Groups:
+        order = np.argsort(rows)
+        ordered = rows[order]
+        new = run_starts(ordered)
+        first = np.flatnonzero(new)
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return Groups(ordered[first], np.diff(first, append=len(rows)), place, order, first)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the rows' values by key; a key that stands there once needs none."""
+        out = values[self.order[self.first]]
+        several = self.times > 1
+        if several.any():
+            times = self.times[several]
+            rows = self.order[np.repeat(several, self.times)]
+            out[several] = np.add.reduceat(values[rows], np.cumsum(times) - times, axis=0)
+        return out
 
 
 def _hashed(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
