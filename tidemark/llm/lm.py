@@ -155,7 +155,7 @@ class Model:
         return tokens, text, before
 
     def expected(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.parts["seen"][before[:, d]] @ self.parts["turn"][d] for d in range(CONTEXT))
+        return sum(self.parts["seen"].take(before[:, d], axis=0) @ self.parts["turn"][d] for d in range(CONTEXT))
 
     def log_shares(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural log-probability of every token's row: its class's among classes, and its own within the class."""
@@ -168,7 +168,7 @@ class Model:
             at = order[i:j]
             low = int(kinds[at[0]]) * self.width
             rows = slice(low, low + self.width)
-            out[at] += _log_softmax(q[at], self.parts["said"][rows], self.parts["bias"][rows], tokens[at] - low)
+            out[at] += _log_softmax(q.take(at, axis=0), self.parts["said"][rows], self.parts["bias"][rows], tokens[at] - low)
         return out
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> Touched:
@@ -208,9 +208,9 @@ class Model:
         ]
         edges = np.cumsum([len(p) for p in places]).tolist()
         groups = Groups.of(np.concatenate(places))
-        block = state[groups.keys]
+        block = state.take(groups.keys, axis=0)
         held = np.ascontiguousarray(block[:, : SIZE + 1])
-        rows = held[groups.place]
+        rows = held.take(groups.place, axis=0)
         values = np.empty((edges[-1], SIZE + 1), np.float32)
         context = rows[edges[4] : edges[5], :SIZE].reshape(CONTEXT, m, SIZE)
         turn = rows[edges[5] :, :SIZE].reshape(CONTEXT, SIZE, SIZE)
@@ -219,10 +219,10 @@ class Model:
         toward = _against_shared(q, rows[: edges[1]], places[0] - 2 * n, kind_noise, draws[0].logs, values[: edges[1]])
         if len(head):
             inside = slice(edges[1], edges[3])
-            toward[head] += _against_shared(q[head], rows[inside], own[head], head_noise, draws[1].logs, values[inside])
+            toward[head] += _against_shared(q.take(head, axis=0), rows[inside], own[head], head_noise, draws[1].logs, values[inside])
         if len(tail):
             inside = slice(edges[3], edges[4])
-            vectors, q_tail = rows[inside].reshape(*both.shape, SIZE + 1), q[tail]
+            vectors, q_tail = rows[inside].reshape(*both.shape, SIZE + 1), q.take(tail, axis=0)
             scores = np.einsum("tks,ts->tk", vectors, q_tail)
             scores -= np.log(INNER_NOISE / most)[:, None].astype(np.float32)
             change = -_chance(scores)
@@ -357,7 +357,7 @@ class Groups:
     @staticmethod
     def of(rows: np.ndarray) -> Groups:
         order = np.argsort(rows)
-        ordered = rows[order]
+        ordered = rows.take(order)
         new = run_starts(ordered)
         first = np.flatnonzero(new)
         place = np.empty(len(rows), np.int64)
@@ -366,12 +366,12 @@ class Groups:
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sums of the rows' values by key; a key that stands there once needs none."""
-        out = values[self.order[self.first]]
+        out = values.take(self.order.take(self.first), axis=0)
         several = self.times > 1
         if several.any():
             times = self.times[several]
             rows = self.order[np.repeat(several, self.times)]
-            out[several] = np.add.reduceat(values[rows], np.cumsum(times) - times, axis=0)
+            out[several] = np.add.reduceat(values.take(rows, axis=0), np.cumsum(times) - times, axis=0)
         return out
 
 
