@@ -613,3 +613,40 @@ def test_scores_of_any_size():
     said *= np.array([1, -1, 2, 0.9], np.float32)[:, None]
     got = lm._log_softmax(q, said, np.zeros(4, np.float32), np.array([2, 0, 1]))
     assert got == pytest.approx([0, -144, -432], abs=1e-3)
+
+
+def plain_log_shares(model, tokens, before):
+    """``Model.log_shares`` token by token, in doubles."""
+    p, out = {k: v.astype(float) for k, v in model.parts.items()}, []
+    for t, b in zip(tokens, before):
+        q = sum(p["seen"][r] @ p["turn"][d] for d, r in enumerate(b))
+        kinds = p["kind"] @ q + p["kind_bias"]
+        low = t // model.width * model.width
+        inside = (p["said"] @ q + p["bias"])[low : low + model.width]
+        out.append(kinds[t // model.width] - np.logaddexp.reduce(kinds) + inside[t - low] - np.logaddexp.reduce(inside))
+    return out
+
+
+def test_tokens_after_the_same_words_share_a_softmax(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = lm.Model.fresh(np.arange(60, dtype=np.uint64), np.arange(60, 0, -1) ** 2, 10, 40)
+    tokens, before = rng.integers(0, 62, 900), rng.integers(0, 5, (900, lm.CONTEXT))
+    sizes, real = [], lm._log_softmax
+    monkeypatch.setattr(lm, "_log_softmax", lambda q, *a: sizes.append(len(q)) or real(q, *a))
+    got = model.log_shares(tokens, before)
+    assert got == pytest.approx(plain_log_shares(model, tokens, before), rel=1e-5)
+    inside = {(*b, t // model.width) for t, b in zip(tokens.tolist(), before.tolist())}
+    assert sizes[0] == 25 and sum(sizes[1:]) == len(inside) < 900
+    model.parts["said"] *= 300  # scores beyond what a float's power can hold
+    assert np.isfinite(model.log_shares(tokens, before)).all()
+    assert model.log_shares(tokens, before) == pytest.approx(plain_log_shares(model, tokens, before), rel=1e-4)
+
+
+def test_hashes_are_found_by_their_top_bits():
+    rng = np.random.default_rng(8)
+    last = 2**64 - 1
+    for keys in ([], [0], [5], [last], [0, 1, 2, 3, last - 1, last], np.unique(rng.integers(0, last, 3000, np.uint64))):
+        keys = np.array(keys, np.uint64)
+        asked = np.concatenate([keys, rng.integers(0, last, 500, np.uint64), np.array([0, 1, 2**63, last - 1, last], np.uint64)])
+        at = {int(k): i for i, k in enumerate(keys)}
+        assert lm.Index.of(keys).places(asked).tolist() == [at.get(int(h), len(keys)) for h in asked]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import flat, groups_of_bytes, hash_words, owners, per_text, run_starts, word_edges
-from tidemark.llm.staging import let_workers_import, staged
+from tidemark.llm.staging import lean, let_workers_import, staged
 
 #: Numbers of a word vector, earlier tokens that the network sees.
 SIZE, CONTEXT = 16, 2
@@ -26,13 +26,21 @@ DENSE_START, WORD_START = 1e-3, 1e-5
 FREQUENT = 1_000_000
 #: Tokens scored together: their scores for all rows of a class stay in a core's cache.
 SCORED_TOKENS = 256
+#: Contexts whose expected vectors are made together.
+EXPECTED = 1 << 13
 #: A float's exp and sums of many such are finite and above zero for scores within these bounds.
 SAFE = 60
 BATCH_BYTES = 1 << 20
+#: Text counted or scored at once: a word is sent once with its count, tokens after the same words share a softmax.
+LOT_BYTES = 1 << 22
 #: Rows of parameters of an Arrow batch.
 SENT_ROWS = 1 << 14
 OTHER, END = 0, 1
 
+_DONE_BY = np.lib.introspect.opt_func_info(func_name="^exp2$", signature="float32") if hasattr(np.lib, "introspect") else {}
+#: Powers of 2 stand for powers of e where numpy has vector code for them, as that is quicker: power, logarithm, natural logarithm of the base.
+POWER, LOG, UNIT = (np.exp2, np.log2, math.log(2)) if "AVX512" in str(_DONE_BY) else (np.exp, np.log, 1.0)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,10 +75,36 @@ class Words:
         return pa.Array.from_buffers(pa.large_string(), len(at), held).cast(pa.string())
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words, int]]:
+@dataclass
+class Index:
+    """Finds hashes among ascending ones: their top bits tell where to begin, with a key for every second slot or fewer."""
+
+    keys: np.ndarray  # with one more, the largest, at the end
+    first: np.ndarray
+    shift: np.uint64
+
+    @staticmethod
+    def of(keys: np.ndarray) -> Index:
+        bits = len(keys).bit_length() + 1
+        shift = np.uint64(64 - bits)
+        slots = np.bincount((keys >> shift).view(np.int64), minlength=1 << bits)
+        return Index(np.append(keys, ~np.uint64(0)), np.cumsum(slots) - slots, shift)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of every hash; one past the last for a hash that is not there."""
+        at = self.first.take((hashes >> self.shift).view(np.int64))
+        left = np.flatnonzero(self.keys.take(at) < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys.take(at.take(left)) < hashes.take(left)]
+        at[self.keys.take(at) != hashes] = len(self.keys) - 1
+        return at
+
+
+def _batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, Words, int]]:
     for batch in batches:
         data, offsets = flat(batch.column("text"))
-        for i, j in groups_of_bytes(offsets, BATCH_BYTES):
+        for i, j in groups_of_bytes(offsets, most):
             yield batch.slice(i, j - i), Words.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), j - i
 
 
@@ -87,10 +121,13 @@ class Counts:
 def counted(rows: DataFrame) -> Counts:
     """Counts over the training rows of ``rows`` (text, held_out); the end of a text is a token too."""
 
+    @lean
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found, _ in _batches(batches):
-            _, at, n = np.unique(found.hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([found.strings(at), pa.array(n)], names=["word", "n"])
+        for _, found, _ in _batches(batches, LOT_BYTES):
+            order = np.argsort(found.hashes)
+            first = np.flatnonzero(run_starts(found.hashes[order]))
+            n = np.diff(first, append=len(order))
+            yield pa.RecordBatch.from_arrays([found.strings(order[first]), pa.array(n)], names=["word", "n"])
 
     training = rows.where(~F.col("held_out"))
     table = training.select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
@@ -138,16 +175,13 @@ class Model:
         order = np.argsort(hashes)
         return Model(hashes[order], row[order], share, width, {k: v.astype(np.float32) for k, v in parts.items()})
 
-    def tokens(self, words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows and texts of all tokens, an end after each text, and the (tokens, CONTEXT) rows before them."""
-        row = np.zeros(len(words.hashes), np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, words.hashes), len(self.keys) - 1)
-            row = np.where(self.keys[at] == words.hashes, self.ids[at], OTHER)
-        counts = np.bincount(words.owner, minlength=n)
+    @staticmethod
+    def tokens(row: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and texts of all tokens of words' rows, an end after each text, and the (tokens, CONTEXT) rows before them."""
+        counts = np.bincount(owner, minlength=n)
         text = np.repeat(np.arange(n), counts + 1)
         tokens = np.full(len(text), END)
-        tokens[np.arange(len(row)) + words.owner] = row
+        tokens[np.arange(len(row)) + owner] = row
         before = np.full((len(tokens), CONTEXT), END)
         for d in range(1, CONTEXT + 1):
             same = text[d:] == text[:-d]
@@ -155,30 +189,47 @@ class Model:
         return tokens, text, before
 
     def expected(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.parts["seen"].take(before[:, d], axis=0) @ self.parts["turn"][d] for d in range(CONTEXT))
+        out = np.zeros((len(before), SIZE), np.float32)
+        for i in range(0, len(before), EXPECTED):
+            for d in range(CONTEXT):
+                out[i : i + EXPECTED] += self.parts["seen"].take(before[i : i + EXPECTED, d], axis=0) @ self.parts["turn"][d]
+        return out
 
     def log_shares(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural log-probability of every token's row: its class's among classes, and its own within the class."""
-        q = self.expected(before)
+        key = np.zeros(len(tokens), np.int64)
+        for d in range(CONTEXT):
+            key = key * len(self.share) + before[:, d]
+        # Tokens by what stands before them: equal contexts have one expected vector and one softmax.
+        by_context = np.argsort(key)
+        key, tokens = key.take(by_context), tokens.take(by_context)
+        new = run_starts(key)
+        context = np.cumsum(new) - 1
+        q = self.expected(before.take(by_context[new], axis=0))
+        del key, new
         kinds = tokens // self.width
-        out = _log_softmax(q, self.parts["kind"], self.parts["kind_bias"], kinds)
-        order = np.argsort(kinds, kind="stable")
+        logs = _log_softmax(q, self.parts["kind"], self.parts["kind_bias"], kinds, context)
+        order = np.argsort(kinds.astype(np.min_scalar_type(len(self.parts["kind"]))), kind="stable")
         edges = np.append(np.flatnonzero(run_starts(kinds[order])), len(order))
         for i, j in zip(edges[:-1], edges[1:]):
             at = order[i:j]
             low = int(kinds[at[0]]) * self.width
             rows = slice(low, low + self.width)
-            out[at] += _log_softmax(q.take(at, axis=0), self.parts["said"][rows], self.parts["bias"][rows], tokens[at] - low)
+            seen = context.take(at)
+            new = run_starts(seen)
+            inside = q.take(seen[new], axis=0)
+            logs[at] += _log_softmax(inside, self.parts["said"][rows], self.parts["bias"][rows], tokens.take(at) - low, np.cumsum(new) - 1)
+        out = np.empty(len(logs))
+        out[by_context] = logs
         return out
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> Touched:
         """NCE steps over (tokens, before) arrays, with Adagrad; how often each row took part."""
         rng = np.random.default_rng(seed)
         n, kinds = len(self.share), len(self.parts["kind"])
-        rows = self.rows()
-        # A row of parameters and its squares lie together: a step reads and writes each place once.
-        state = np.concatenate([rows, np.full(rows.shape, WORD_START, np.float32)], axis=1)
-        state[2 * n :, SIZE + 1 :] = DENSE_START
+        state = self.rows()
+        squares = np.full(state.shape, WORD_START, np.float32)
+        squares[2 * n :] = DENSE_START
         of_kind = np.exp(self.parts["kind_bias"].astype(float))
         first = self.share[: self.width]
         draws = Draws(rng, of_kind / of_kind.sum()), Draws(rng, first / first.sum())
@@ -186,12 +237,13 @@ class Model:
         total = 0
         for tokens, before in batches:
             total += len(tokens)
-            for i in range(0, len(tokens), STEP_TOKENS):
-                self._step(tokens[i : i + STEP_TOKENS], before[i : i + STEP_TOKENS], rng, draws, state, times)
-        self.parts = self.parts_of(state[:, : SIZE + 1])
+            with np.errstate(over="ignore"):
+                for i in range(0, len(tokens), STEP_TOKENS):
+                    self._step(tokens[i : i + STEP_TOKENS], before[i : i + STEP_TOKENS], rng, draws, state, squares, times)
+        self.parts = self.parts_of(state)
         return Touched(total, times[:n], times[n : 2 * n])
 
-    def _step(self, own, seen, rng, draws, state, times) -> None:
+    def _step(self, own, seen, rng, draws, state, squares, times) -> None:
         n, width, m = len(self.share), self.width, len(own)
         # Rows of the first class, which most tokens are of, share their noise; rarer ones have their class's at equal chances.
         head, tail = np.flatnonzero(own < width), np.flatnonzero(own >= width)
@@ -203,19 +255,17 @@ class Model:
         if len(tail):
             both[:, 1:] = low[:, None] + (rng.random((len(tail), INNER_NOISE)) * most[:, None]).astype(np.int64)
         places = [
-            own // width + 2 * n, kind_noise + 2 * n, own[head], head_noise, both.ravel(), seen.T.ravel() + n,
+            own // width + 2 * n, kind_noise + 2 * n, own[head], head_noise, both.ravel(), seen.ravel() + n,
             np.arange(len(times), len(state)),  # the rows of "turn" stand last
         ]
         edges = np.cumsum([len(p) for p in places]).tolist()
         groups = Groups.of(np.concatenate(places))
-        block = state.take(groups.keys, axis=0)
-        held = np.ascontiguousarray(block[:, : SIZE + 1])
+        held, square = state.take(groups.keys, axis=0), squares.take(groups.keys, axis=0)
         rows = held.take(groups.place, axis=0)
         values = np.empty((edges[-1], SIZE + 1), np.float32)
-        context = rows[edges[4] : edges[5], :SIZE].reshape(CONTEXT, m, SIZE)
-        turn = rows[edges[5] :, :SIZE].reshape(CONTEXT, SIZE, SIZE)
+        context, turn = rows[edges[4] : edges[5], :SIZE].reshape(m, CONTEXT * SIZE), rows[edges[5] :, :SIZE]
         q = np.ones((m, SIZE + 1), np.float32)  # the last number meets the bias
-        q[:, :SIZE] = np.matmul(context, turn).sum(axis=0)
+        q[:, :SIZE] = context @ turn
         toward = _against_shared(q, rows[: edges[1]], places[0] - 2 * n, kind_noise, draws[0].logs, values[: edges[1]])
         if len(head):
             inside = slice(edges[1], edges[3])
@@ -225,23 +275,27 @@ class Model:
             vectors, q_tail = rows[inside].reshape(*both.shape, SIZE + 1), q.take(tail, axis=0)
             scores = np.einsum("tks,ts->tk", vectors, q_tail)
             scores -= np.log(INNER_NOISE / most)[:, None].astype(np.float32)
+            scores /= np.float32(-UNIT)
             change = -_chance(scores)
             change[:, 0] += 1
             toward[tail] += np.einsum("tk,tks->ts", change, vectors)[:, :SIZE]
             np.multiply(change[:, :, None], q_tail[:, None, :], out=values[inside].reshape(vectors.shape))
         values[edges[4] :, SIZE] = 0
-        values[edges[4] : edges[5], :SIZE] = np.matmul(toward, turn.transpose(0, 2, 1)).reshape(-1, SIZE)
-        values[edges[5] :, :SIZE] = np.matmul(context.transpose(0, 2, 1), toward).reshape(-1, SIZE)
+        values[edges[4] : edges[5], :SIZE] = (toward @ turn.T).reshape(-1, SIZE)
+        values[edges[5] :, :SIZE] = context.T @ toward
         gradient = groups.sums(values)
         words = groups.keys[: len(groups.keys) - CONTEXT * SIZE]
         times[words] += groups.times[: len(words)]
         gradient /= m
-        square = block[:, SIZE + 1 :]
-        square += gradient * gradient
+        change = gradient * gradient
+        square += change
         gradient *= RATE
-        gradient /= np.sqrt(square)
-        block[:, : SIZE + 1] += gradient
-        state[groups.keys] = block
+        gradient /= np.sqrt(square, out=change)
+        held += gradient
+        # A row is written as one value.
+        whole = np.dtype((np.void, held.itemsize * (SIZE + 1)))
+        state.view(whole)[groups.keys] = held.view(whole)
+        squares.view(whole)[groups.keys] = square.view(whole)
 
     def rows(self) -> np.ndarray:
         """All parameters, SIZE + 1 numbers a row: of words as target, with the bias last, as context, of classes, of "turn"."""
@@ -300,12 +354,11 @@ class Draws:
         return np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.upto) - 1)
 
 
-def _chance(scores: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-scores)), in place."""
-    np.negative(scores, out=scores)
-    np.exp(np.minimum(scores, 30, out=scores), out=scores)
-    scores += 1
-    return np.reciprocal(scores, out=scores)
+def _chance(against: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-score)) of scores that come as -score / UNIT, in place; a power beyond all floats leaves 0."""
+    POWER(against, out=against)
+    against += 1
+    return np.reciprocal(against, out=against)
 
 
 def _against_shared(q, rows, own, drawn, logs, values) -> np.ndarray:
@@ -316,7 +369,8 @@ def _against_shared(q, rows, own, drawn, logs, values) -> np.ndarray:
     said, noise = rows[: len(own)], rows[len(own) :]
     shifted = noise.copy()
     shifted[:, SIZE] -= logs[drawn]
-    up = _chance(logs[own] - np.einsum("ts,ts->t", q, said))  # how far a true row is from certain
+    shifted /= np.float32(-UNIT)
+    up = _chance((np.einsum("ts,ts->t", q, said) - logs[own]) / np.float32(UNIT))  # how far a true row is from certain
     down = _chance(q @ shifted.T)
     np.multiply(up[:, None], q, out=values[: len(own)])
     np.negative(down.T @ q, out=values[len(own) :])
@@ -325,22 +379,30 @@ def _against_shared(q, rows, own, drawn, logs, values) -> np.ndarray:
     return toward
 
 
-def _log_softmax(q: np.ndarray, said: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log-probability of row ``own`` of ``said`` for every row of ``q``."""
+def _log_softmax(q: np.ndarray, said: np.ndarray, bias: np.ndarray, own: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Log-probability of row ``own`` of ``said`` for rows ``of``, ascending, of ``q``; for every row in turn without ``of``."""
+    of = np.arange(len(own)) if of is None else of
     out = np.empty(len(own))
-    lot = min(len(own), SCORED_TOKENS)
-    both = np.concatenate([said, bias[:, None]], axis=1).T
+    lot = min(len(q), SCORED_TOKENS)
+    both = (np.concatenate([said, bias[:, None]], axis=1) / np.float32(UNIT)).T
+    # No score is further from zero than the lengths of the vectors allow.
+    lengths = [math.sqrt(np.einsum("rs,rs->r", rows, rows).max(initial=0)) for rows in (q, said)]
+    safe = lengths[0] * lengths[1] + np.abs(bias).max(initial=0) <= SAFE
     ones, room, first = np.ones(len(said), np.float32), np.empty((lot, len(said)), np.float32), np.ones((lot, SIZE + 1), np.float32)
-    for i in range(0, len(own), SCORED_TOKENS):
-        rows = own[i : i + SCORED_TOKENS]
-        first[: len(rows), :SIZE] = q[i : i + SCORED_TOKENS]
-        scores = np.matmul(first[: len(rows)], both, out=room[: len(rows)])
-        mine = scores[np.arange(len(rows)), rows]
-        if scores.max() > SAFE or mine.min() < -SAFE:
+    lots = range(0, len(q), SCORED_TOKENS)
+    ends = np.searchsorted(of, np.arange(SCORED_TOKENS, len(q) + SCORED_TOKENS, SCORED_TOKENS)).tolist()
+    for i, a, b in zip(lots, [0, *ends], ends):
+        some = q[i : i + SCORED_TOKENS]
+        first[: len(some), :SIZE] = some
+        scores = np.matmul(first[: len(some)], both, out=room[: len(some)])
+        rows = of[a:b] - i
+        mine = scores[rows, own[a:b]]
+        if not safe and (scores.max() > SAFE / UNIT or mine.min() < -SAFE / UNIT):
             most = scores.max(axis=1)
             scores -= most[:, None]
-            mine -= most
-        out[i : i + SCORED_TOKENS] = mine - np.log(np.exp(scores, out=scores) @ ones)
+            mine -= most[rows]
+        out[a:b] = mine - LOG(POWER(scores, out=scores) @ ones)[rows]
+    out *= UNIT
     return out
 
 
@@ -356,18 +418,26 @@ class Groups:
 
     @staticmethod
     def of(rows: np.ndarray) -> Groups:
-        order = np.argsort(rows)
-        ordered = rows.take(order)
+        # Keys with their rows' numbers behind them sort as plain numbers.
+        bits = len(rows).bit_length()
+        ordered = rows << bits
+        ordered += np.arange(len(rows))
+        ordered.sort()
+        order = ordered & ((1 << bits) - 1)
+        ordered >>= bits
         new = run_starts(ordered)
         first = np.flatnonzero(new)
         place = np.empty(len(rows), np.int64)
         place[order] = np.cumsum(new) - 1
-        return Groups(ordered[first], np.diff(first, append=len(rows)), place, order, first)
+        times = np.append(first[1:], len(rows)) - first
+        return Groups(ordered[first], times, place, order, first)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sums of the rows' values by key; a key that stands there once needs none."""
+        """Sums of the rows' values by key; a key that stands there once needs none, and most others stand there twice."""
         out = values.take(self.order.take(self.first), axis=0)
-        several = self.times > 1
+        twice = np.flatnonzero(self.times == 2)
+        out[twice] += values.take(self.order.take(self.first.take(twice) + 1), axis=0)
+        several = self.times > 2
         if several.any():
             times = self.times[several]
             rows = self.order[np.repeat(several, self.times)]
@@ -410,12 +480,14 @@ def fitted(rows: DataFrame, counts: Counts, rounds: int = ROUNDS) -> tuple[Model
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
+        @lean
         def train(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             own = shared.value.with_places(np.zeros(0, np.int64), np.zeros((0, SIZE + 1), np.float32))
+            index, ids = Index.of(own.keys), np.append(own.ids, OTHER)
 
             def texts():
                 for _, found, n in _batches(batches):
-                    tokens, _, before = own.tokens(found, n)
+                    tokens, _, before = own.tokens(ids.take(index.places(found.hashes)), found.owner, n)
                     yield tokens, before
 
             touched = own.train(texts(), seed=turn + 1)
@@ -466,23 +538,20 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     # No word with vectors may be among the joined ones: those add their share within "other".
     often = min(math.ceil(max(counts.tokens, 1) / FREQUENT), fewest(counts.tokens))
     frequent, frequent_counts = _hashed(counts.table.where(F.col("c") >= often))
-    shared = spark.sparkContext.broadcast((model, frequent, frequent_counts))
+    # The frequent words, those with vectors among them, are looked up once, for row and count.
+    ids = np.full(len(frequent) + 1, OTHER)
+    ids[Index.of(frequent).places(model.keys)] = model.ids
+    shared = spark.sparkContext.broadcast((Model(frequent, ids, model.share, model.width, model.parts), np.append(frequent_counts, 0)))
     base_total = counts.tokens + 0.5 * (counts.kinds + 1)
     other_kinds = counts.kinds - (counts.texts > 0) - len(model.keys)
     other_total = counts.tokens - counts.texts - own_words + 0.5 * (other_kinds + 1)
     trained_texts = counts.texts
 
-    def looked_up(found: Words, table: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Counts of frequent words, 0 for others."""
-        if not len(table):
-            return np.zeros(len(found.hashes), np.int64)
-        at = np.minimum(np.searchsorted(table, found.hashes), len(table) - 1)
-        return np.where(table[at] == found.hashes, values[at], 0)
-
+    @lean
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table, values = shared.value
+        index = Index.of(shared.value[0].keys)
         for batch, found, n in _batches(batches):
-            rare = np.flatnonzero(looked_up(found, table, values) == 0)
+            rare = np.flatnonzero(index.places(found.hashes) == len(index.keys) - 1)
             order = rare[np.lexsort((found.hashes[rare], found.owner[rare]))]
             at = np.flatnonzero(run_starts(found.owner[order], found.hashes[order]))
             first = order[at]
@@ -492,12 +561,15 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
                 names=["row", "word", "times"],
             )
 
+    @lean
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table, values = shared.value
-        for batch, found, n in _batches(batches):
-            tokens, text, before = model.tokens(found, n)
+        model, values = shared.value
+        index = Index.of(model.keys)
+        for batch, found, n in _batches(batches, LOT_BYTES):
+            places = index.places(found.hashes)
+            tokens, text, before = model.tokens(model.ids.take(places), found.owner, n)
             score = np.bincount(text, model.log_shares(tokens, before), n) / np.log(10)
-            c = looked_up(found, table, values)
+            c = values.take(places)
             logs = np.where(c > 0, np.log10(c + 0.5), 0)
             # Of rare words, the sum of log10(c + 0.5) comes from the join.
             base = np.bincount(found.owner, logs, n) + np.log10(trained_texts + 0.5)
