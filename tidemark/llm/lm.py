@@ -519,7 +519,7 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     that all words, and an unseen one, add up to 1.
 
     Words with vectors, and those with at least a FREQUENT-th of all training tokens, are looked up in a
-    broadcast table of 16 bytes each; all rarer ones are joined by word, and as each is rare, no key is hot.
+    broadcast table of 24 bytes each; all rarer ones are joined by word, and as each is rare, no key is hot.
     Texts are written once with a row number, so that equal keys and texts stay apart. A null text
     is empty and has the end alone; a null key is trained on. A very long text is scored whole, lot by lot. Without training texts every
     share is 1 or uniform; an empty table gives no rows.
