@@ -642,6 +642,13 @@ def test_tokens_after_the_same_words_share_a_softmax(monkeypatch):
     assert model.log_shares(tokens, before) == pytest.approx(plain_log_shares(model, tokens, before), rel=1e-4)
 
 
+def test_powers_follow_the_code_in_use():
+    built = "AVX512_SKX baseline(SSE SSE2 SSE3)"
+    assert lm._powers({"exp2": {"ff": {"current": "AVX512_SKX", "available": built}}})[0] is np.exp2
+    assert lm._powers({"exp2": {"ff": {"current": "baseline(SSE SSE2 SSE3)", "available": built}}})[0] is np.exp
+    assert lm._powers({})[0] is np.exp
+
+
 def test_hashes_are_found_by_their_top_bits():
     rng = np.random.default_rng(8)
     last = 2**64 - 1

@@ -37,9 +37,14 @@ LOT_BYTES = 1 << 22
 SENT_ROWS = 1 << 14
 OTHER, END = 0, 1
 
-_DONE_BY = np.lib.introspect.opt_func_info(func_name="^exp2$", signature="float32") if hasattr(np.lib, "introspect") else {}
-#: Powers of 2 stand for powers of e where numpy has vector code for them, as that is quicker: power, logarithm, natural logarithm of the base.
-POWER, LOG, UNIT = (np.exp2, np.log2, math.log(2)) if "AVX512" in str(_DONE_BY) else (np.exp, np.log, 1.0)
+
+def _powers(done_by: dict) -> tuple[np.ufunc, np.ufunc, float]:
+    """Power, logarithm, natural logarithm of the base: 2 where numpy's code in use for it is vector code, as that is quicker, otherwise e."""
+    quick = any("AVX512" in code["current"] for kinds in done_by.values() for code in kinds.values())
+    return (np.exp2, np.log2, math.log(2)) if quick else (np.exp, np.log, 1.0)
+
+
+POWER, LOG, UNIT = _powers(np.lib.introspect.opt_func_info(func_name="^exp2$", signature="float32") if hasattr(np.lib, "introspect") else {})
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
